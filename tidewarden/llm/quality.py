@@ -160,21 +160,26 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rat
     return Forest(feature, threshold, value, bias, depth)
 
 
+def _fitted(stats: DataFrame, labels: DataFrame, learn_from: Column | None, id_col: str, label_col: str, max_labelled: int) -> Forest:
+    known = labels.where(F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).alias("_y"))
+    if learn_from is not None:
+        known = known.where(learn_from)
+    sample = stats.join(known, id_col).orderBy(F.xxhash64(F.col(id_col)), "_y").limit(max_labelled).select("stats", "_y").toArrow()
+    y = sample["_y"].to_numpy().astype(np.float64)
+    x = np.array(sample["stats"].combine_chunks().flatten(), dtype=np.float32).reshape(len(y), len(STATISTICS))
+    return fit_trees(x, y)
+
+
 def quality_scores(documents: DataFrame, labels: DataFrame, learn_from: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """``id_col`` and ``score`` (0 to 1, higher: label 1 likelier) for every document.
 
     ``learn_from`` is a predicate on ``id_col`` that marks the rows whose label
-    may be learned from.
+    may be learned from. The statistics are written once in the shared folder
+    and serve both the fit and the scores.
     """
     shared_dir(documents.sparkSession)
     stats = document_statistics(documents, id_col, text_col).checkpoint()
-    known = labels.where(F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).alias("_y"))
-    if learn_from is not None:
-        known = known.where(learn_from)
-    sample = stats.join(known, id_col).orderBy(F.xxhash64(F.col(id_col)), "_y").limit(max_labelled).select("stats", "_y").toArrow()
-    y = sample["_y"].to_numpy().astype(np.float64)
-    x = np.array(sample["stats"].combine_chunks().flatten(), dtype=np.float32).reshape(len(y), len(STATISTICS))
-    forest = fit_trees(x, y)
+    forest = _fitted(stats, labels, learn_from, id_col, label_col, max_labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,3 +189,16 @@ def quality_scores(documents: DataFrame, labels: DataFrame, learn_from: Column |
 
     kind = documents.schema[id_col].dataType.simpleString()
     return stats.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+
+
+def keep_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, learn_from: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """The rows whose score is ``threshold`` or more, whole and without a shuffle of texts."""
+    forest = _fitted(document_statistics(documents, id_col, text_col), labels, learn_from, id_col, label_col, max_labelled)
+    at = documents.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, off in text_chunks(batch.column(at)):
+                yield batch.slice(i, j - i).filter(pa.array(forest.score(_statistics(data, off)) >= threshold))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewarden.llm import bpe, mixing, quality, sharding
+from tidewarden.llm import bpe, jaccard, mixing, quality, sharding
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TIDEWARDEN_TOKENIZERS", "/opt/tokenizers")
@@ -96,13 +96,18 @@ FROM rows
 """
 
 
+def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document (Jaccard of word 5-grams 0.75 or more)."""
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and what decoding them gives, as digests."""
     return bpe.bpe_digests(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_trees, op3_poisson_mix, op4_rendezvous_shards, op10_bpe]
+    found = [op1_quality_trees, op3_poisson_mix, op4_rendezvous_shards, op8_parity_join, op10_bpe]
     return {f.__name__: f for f in found}
 
 
