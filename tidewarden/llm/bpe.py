@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 #: The split before the merges, a fixed value of this tokenizer family.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -240,7 +241,7 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_c
                 ids = pa.array(_encoded(part.column(at), table), pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, ids_col])
 
-    schema = df.schema.add(ids_col, "binary")
+    schema = StructType([*df.schema.fields]).add(ids_col, "binary")
     return df.mapInArrow(run, schema)
 
 
@@ -258,7 +259,7 @@ def bpe_decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_col
                 texts = pa.array([b.decode("utf-8", "replace") for b in decode_rows(raw, table)], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, out_col])
 
-    schema = df.schema.add(out_col, "string")
+    schema = StructType([*df.schema.fields]).add(out_col, "string")
     return df.mapInArrow(run, schema)
 
 
