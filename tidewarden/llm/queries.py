@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewarden.llm import bpe, jaccard, mixing, quality, sharding
+from tidewarden.llm import bpe, html_extract, jaccard, mixing, mpegts, quality, sharding, unigram
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TIDEWARDEN_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,18 +97,37 @@ FROM rows
 """
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = _table(spark, sf_dir, "pages")
+    found = html_extract.extract_main_text(pages, html_extract.learn_weights(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op7_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the piece vocabulary with Zipf scores."""
+    with open(PIECES, "rb") as f:
+        vocabulary, _ = unigram.zipf_vocabulary(f.read())
+    return unigram.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).select("doc_id", "n_tokens")
+
+
 def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document (Jaccard of word 5-grams 0.75 or more)."""
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a transport stream and read back, as digests."""
+    return mpegts.media_digests(_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and what decoding them gives, as digests."""
     return bpe.bpe_digests(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_trees, op3_poisson_mix, op4_rendezvous_shards, op8_parity_join, op10_bpe]
+    found = [op1_quality_trees, op3_poisson_mix, op4_rendezvous_shards, op6_html_main_text, op7_unigram_counts, op8_parity_join, op9_transport_streams, op10_bpe]
     return {f.__name__: f for f in found}
 
 
