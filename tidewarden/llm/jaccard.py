@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewarden.functions.session import shared_dir, staged
@@ -140,91 +140,125 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndar
         yield batch.column(0).slice(i, j - i), flat, counts
 
 
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles that are in many documents, most frequent first up to FREQUENT, sorted."""
+def set_features(docs: DataFrame) -> DataFrame:
+    """One pass over the texts, two kinds of rows.
+
+    ``id, n, k1, k2, bits``: size, identity and bit sketch of each row's set;
+    ``shingle, c``: shingles that several documents of one run of rows have.
+    """
+    names = ["id", "n", "k1", "k2", "bits", "shingle", "c"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+
+    def out(**columns: object) -> pa.RecordBatch:
+        size = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[x], k) if x in columns else pa.nulls(size, k) for x, k in zip(names, kinds, strict=True)], names)
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, c = np.unique(np.concatenate(held), return_counts=True)
+        keep = c >= LOCALLY
+        return out(shingle=h[keep].view(np.int64), c=c[keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
-
-        def counted() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            keep = c >= LOCALLY
-            return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(c[keep])], ["shingle", "n"])
-
         for batch in batches:
-            for _, flat, _ in _rows(batch):
+            for ids, flat, counts in _rows(batch):
+                k1, k2, bits, at = [], [], [], 0
+                for c in counts.tolist():
+                    s = flat[at : at + c]
+                    at += c
+                    k1.append(int(s.sum(dtype=np.uint64).view(np.int64)) if c else 0)
+                    k2.append(int(mix(s ^ _C[4]).sum(dtype=np.uint64).view(np.int64)) if c else 0)
+                    bits.append(parity_bits(s, bits_of(c)).tobytes() if c else b"")
+                yield out(id=ids.cast(pa.int64()), n=counts, k1=k1, k2=k2, bits=bits)
                 held.append(flat)
                 size += len(flat)
                 if size >= COUNTED:
-                    yield counted()
+                    yield counted(held)
                     held, size = [], 0
         if size:
-            yield counted()
-
-    counts = docs.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).select("shingle").toArrow()["shingle"].to_numpy()
-    return np.sort(top.astype(np.int64).view(np.uint64))
+            yield counted(held)
 
+    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, bits binary, shingle long, c long")
 
-def set_features(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``id, n, k1, k2, keys``: size and identity of each row's set, and its join keys (binary)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, flat, counts in _rows(batch):
-                k1, k2, keys, at = [], [], [], 0
-                for c in counts.tolist():
-                    s = flat[at : at + c]
-                    at += c
-                    k1.append(int(s.sum(dtype=np.uint64).view(np.int64)) if c else 0)
-                    k2.append(int(mix(s ^ _C[4]).sum(dtype=np.uint64).view(np.int64)) if c else 0)
-                    keys.append(join_keys(s, frequent).tobytes() if c else b"")
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(counts), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(keys, pa.binary())], ["id", "n", "k1", "k2", "keys"])
+def frequent_shingles(features: DataFrame) -> np.ndarray:
+    """The shingles of most documents, up to FREQUENT, sorted."""
+    counts = features.where("shingle is not null").groupBy("shingle").agg(F.sum("c").alias("c"))
+    top = counts.orderBy(F.desc("c"), "shingle").limit(FREQUENT).select("shingle").toArrow()["shingle"].to_numpy()
+    return np.sort(top.astype(np.int64).view(np.uint64))
 
-    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, keys binary")
 
+def key_groups(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
+    """``g, k1, k2``: the sets that hold each key which two different sets hold.
 
-def key_groups(features: DataFrame) -> DataFrame:
-    """``g, k1, k2``: the sets that hold each key which two different sets hold."""
-    total = features.agg(F.sum(F.length("keys")).alias("b")).first()["b"] or 0
-    buckets = max(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 8 / KEYS_PER_BUCKET))
-    kind = np.dtype([("key", "<u8"), ("k1", "<i8"), ("k2", "<i8")])
+    The keys are dealt to buckets as packed arrays: 48 bits of each key (with
+    its bucket, more bits the more buckets there are; a chance collision only
+    makes one more candidate) and the number of its set in the array's own list.
+    """
+    low = np.uint64((1 << 48) - 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch]).group_by(["k1", "k2"]).aggregate([("keys", "min")])
-            for part in table.to_batches(max_chunksize=4096):
-                keys = part.column("keys_min").to_pylist()
-                each = [len(k) // 8 for k in keys]
-                out = np.empty(sum(each), kind)
-                out["key"] = np.frombuffer(b"".join(keys), "<u8")
-                out["k1"] = np.repeat(part.column("k1").to_numpy(), each)
-                out["k2"] = np.repeat(part.column("k2").to_numpy(), each)
-                bucket = ((out["key"] & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+            for ids, flat, counts in _rows(batch):
+                ends = np.cumsum(counts)
+                sets: dict[tuple[int, int], int] = {}
+                keys, of = [], []
+                for known, a, b in zip(ids.is_valid().to_pylist(), (ends - counts).tolist(), ends.tolist(), strict=True):
+                    s = flat[a:b]
+                    if b == a or not known:
+                        continue
+                    name = (int(s.sum(dtype=np.uint64).view(np.int64)), int(mix(s ^ _C[4]).sum(dtype=np.uint64).view(np.int64)))
+                    if name not in sets:
+                        sets[name] = len(sets)
+                        own = join_keys(s, frequent)
+                        keys.append(own)
+                        of.append(len(own))
+                if not sets:
+                    continue
+                key = np.concatenate(keys)
+                row = np.repeat(np.arange(len(sets), dtype=np.uint32), of)
+                bucket = ((key >> np.uint64(13)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                out, bucket = out[order], bucket[order]
+                key, row, bucket = (key & low)[order], row[order], bucket[order]
+                packed = key.view(np.uint8).reshape(-1, 8)[:, :6]
+                names = np.array(list(sets), np.int64)
                 cut = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array([out[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
-                    ["bucket", "held"],
-                )
+                out: dict[str, list] = {"bucket": [], "held": [], "row": [], "names": []}
+                for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    here, at = np.unique(row[a:b], return_inverse=True)
+                    out["bucket"].append(int(bucket[a]))
+                    out["held"].append(packed[a:b].tobytes())
+                    out["row"].append(np.diff(at, prepend=0).astype(np.uint16).tobytes())
+                    out["names"].append(names[here].tobytes())
+                kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
 
     def meet(table: pa.Table) -> pa.Table:
-        held = np.frombuffer(b"".join(table["held"].to_pylist()), kind)
-        held = held[np.argsort(held["key"], kind="stable")]
-        new = np.flatnonzero(np.diff(held["key"], prepend=held["key"][:1] ^ np.uint64(1)))
-        size = np.diff(np.append(new, len(held)))
-        held = held[np.repeat(size > 1, size)]
-        held = held[np.lexsort((held["k2"], held["k1"], held["key"]))]
-        if len(held):
-            held = held[np.append(True, (held[1:] != held[:-1]))]
-            new = np.flatnonzero(np.diff(held["key"], prepend=held["key"][:1] ^ np.uint64(1)))
-            size = np.diff(np.append(new, len(held)))
-            held = held[np.repeat(size > 1, size)]
-        return pa.table({"g": held["key"].view(np.int64).copy(), "k1": held["k1"].copy(), "k2": held["k2"].copy()})
-
-    dealt = features.where("n > 0 and id is not null").select("k1", "k2", "keys").mapInArrow(deal, "bucket int, held binary")
+        names = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in table["names"].to_pylist()]
+        first = np.cumsum([0, *map(len, names)])
+        row = np.concatenate([np.cumsum(np.frombuffer(x, np.uint16).astype(np.int32)) + f for x, f in zip(table["row"].to_pylist(), first[:-1].tolist(), strict=True)])
+        names = np.concatenate(names)
+        packed = np.frombuffer(b"".join(table["held"].to_pylist()), np.uint8).reshape(-1, 6)
+        key = np.zeros((len(packed), 8), np.uint8)
+        key[:, :6] = packed
+        key = key.view(np.int64).ravel()
+        for distinct in (False, True):
+            order = np.argsort(key, kind="stable")
+            key, row = key[order], row[order]
+            if distinct and len(key):  # copies of one set that came from different tasks
+                _, same = np.unique(names[row], axis=0, return_inverse=True)
+                order = np.lexsort((same.ravel(), key))
+                key, row, same = key[order], row[order], same.ravel()[order]
+                keep = np.append(True, (np.diff(key) != 0) | (np.diff(same) != 0))
+                key, row = key[keep], row[keep]
+            size = np.diff(np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(key)))
+            keep = np.repeat(size > 1, size)
+            key, row = key[keep], row[keep]
+        g = mix(key.view(np.uint64) + mix(np.full(1, table["bucket"][0].as_py(), np.uint64)))
+        return pa.table({"g": g.view(np.int64), "k1": names[row, 0].copy(), "k2": names[row, 1].copy()})
+
+    dealt = docs.mapInArrow(deal, "bucket int, held binary, row binary, names binary")
     return dealt.groupBy("bucket").applyInArrow(meet, "g long, k1 long, k2 long")
 
 
@@ -238,7 +272,7 @@ def bits_of(n: int) -> int:
 
 
 def candidate_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, n, shingles, bits`` of the documents whose id is in ``nodes``, from their texts."""
+    """``node, shingles`` of the documents whose id is in ``nodes``, from their texts."""
     spots = nodes.select(F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)).cast("int").alias("spot"))
     marks = spots.select(F.expr("spot div 64").alias("w"), F.expr("shiftleft(1L, spot % 64)").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     filter_words = np.zeros(FILTER_BITS // 64, np.int64)
@@ -249,21 +283,43 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             at = batch.column(2).to_numpy()
             keep = (filter_words.view(np.uint64)[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1
             for ids, flat, counts in _rows(batch.filter(pa.array(keep))):
-                sets, bits, a = [], [], 0
-                for c in counts.tolist():
-                    s = flat[a : a + c]
-                    a += c
-                    sets.append(s.tobytes())
-                    bits.append(parity_bits(s, bits_of(c)).tobytes() if c else b"")
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(counts), pa.array(sets, pa.binary()), pa.array(bits, pa.binary())], ["node", "n", "shingles", "bits"])
+                ends = np.cumsum(counts)
+                sets = [flat[a:b].tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     spots = docs.select("id", "text", F.pmod(F.xxhash64(F.col("id").cast("long")), F.lit(FILTER_BITS)).alias("spot")).where("id is not null")
-    found = spots.mapInArrow(run, "node long, n long, shingles binary, bits binary").where("n > 0")
+    found = spots.mapInArrow(run, "node long, shingles binary").where("length(shingles) > 0")
     return found.join(nodes, "node", "left_semi")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def passed(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose sizes and bit sketches allow similarity."""
+    left = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    right = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    near = (F.col("na") * NUM <= F.col("nb") * DEN) & (F.col("nb") * NUM <= F.col("na") * DEN)
+    both = pairs.join(right, "b").join(left, "a").where(near).select("a", "b", "na", "nb", "ba", "bb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = (batch.column(2).to_numpy() + batch.column(3).to_numpy()).tolist()
+            keep = []
+            for both, x, y in zip(sizes, batch.column(4), batch.column(5), strict=True):
+                s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                while len(s) != len(t):  # the longer sketch is folded to half its length
+                    if len(s) > len(t):
+                        s, t = t, s
+                    t = t[: len(t) // 2] ^ t[len(t) // 2 :]
+                keep.append(7 * int(np.bitwise_count(s ^ t).sum()) <= both)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs ``a, b`` whose sets are similar, decided on the whole sets."""
+    pairs = staged(pairs, "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = staged(candidate_sets(docs, nodes), "shingles")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
@@ -281,7 +337,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(DEN * same >= NUM * (len(s) + len(t) - same))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return staged(both.mapInArrow(run, "a long, b long").distinct(), "links")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -358,30 +414,32 @@ def open_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id`` for every row."""
-    shared_dir(documents.sparkSession)
+    spark = documents.sparkSession
+    shared_dir(spark)
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    features = staged(set_features(docs, frequent_shingles(docs)), "features")
-    filled = features.where("n > 0 and id is not null").select("id", "n", "k1", "k2")
-    sets_of = staged(filled.groupBy("k1", "k2", "n").agg(F.min("id").alias("node")), "sets")
-    members = key_groups(features).join(sets_of.select("k1", "k2", "node"), ["k1", "k2"]).select("g", "node").distinct()
+    seen = staged(set_features(docs), "features")
+    features = seen.where("shingle is null")
+    filled = features.where("n > 0 and id is not null")
+    sets_of = staged(filled.groupBy("k1", "k2", "n").agg(F.min("id").alias("node"), F.first("bits").alias("bits")), "sets")
+    sketches = sets_of.select("node", "n", "bits")
+    keys = filled.agg(F.sum(F.col("n") / 3 + 1)).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(1.25 * keys / KEYS_PER_BUCKET))
+    members = key_groups(docs, frequent_shingles(seen), buckets).join(sets_of.select("k1", "k2", "node"), ["k1", "k2"]).select("g", "node")
     members = staged(members, "members")
-    nodes = members.select("node").distinct()
-    sets = staged(candidate_sets(docs, nodes), "shingles")
 
     # First round: each node to the member that shares most keys, preferring members whose keys are shared widely.
     wide = members.groupBy("node").agg(F.count(F.lit(1)).alias("w"))
-    ranked = members.join(wide, "node").select("g", "node", F.struct("w", (-F.col("node")).alias("m")).alias("r"))
-    heads = ranked.groupBy("g").agg(F.max("r").alias("head"))
-    stars = members.join(heads, "g").select("node", (-F.col("head.m")).alias("head"), F.col("head.w").alias("w")).where("node != head")
+    head = F.max(F.struct("w", (-F.col("node")).alias("m"))).over(Window.partitionBy("g"))
+    stars = members.join(wide, "node").select("node", head.alias("h")).select("node", (-F.col("h.m")).alias("head"), F.col("h.w").alias("w")).where("node != head")
     best = stars.groupBy("node", "head", "w").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max(F.struct("c", "w", (-F.col("head")).alias("m"))).alias("r"))
     first = best.select(F.col("node").alias("b"), (-F.col("r.m")).alias("a"))
-    links = staged(verified(first, sets), "links")
+    links = verified(passed(first, sketches), docs)
 
     # Second round: key groups that still hold members of two components.
+    of_g = Window.partitionBy("g")
     joined = members.join(components(links), "node", "left").select("g", "node", F.coalesce("comp", "node").alias("comp"))
-    still = joined.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("g")
-    pairs = open_pairs(joined.join(still, "g", "left_semi"), sets)
-    links = links.unionByName(verified(pairs, sets))
+    still = joined.withColumns({"x": F.min("comp").over(of_g), "y": F.max("comp").over(of_g)}).where("x != y").select("g", "node", "comp")
+    links = links.unionByName(verified(open_pairs(staged(still, "open"), sketches), docs))
 
     # Rows of one id with different sets are one node.
     by_id = filled.join(sets_of.select("k1", "k2", "node"), ["k1", "k2"]).select("id", "node")
