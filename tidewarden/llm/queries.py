@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewarden.llm import bpe, html_extract, jaccard, mixing, mpegts, quality, sharding, unigram
+from tidewarden.llm import bpe, html_extract, jaccard, lm, mixing, mpegts, quality, sharding, unigram
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TIDEWARDEN_TOKENIZERS", "/opt/tokenizers")
@@ -30,6 +30,11 @@ def op1_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (_crc_of_id(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a trigram model of those that aren't held out."""
+    return lm.score_texts(_table(spark, sf_dir, "documents"), held_out=_crc_of_id(10) == 0)
+
+
 #: Target weights of the sources; a source that isn't named has weight 1 with all others.
 MIX_WEIGHTS = {f"src{k}": 4.0 if k == 0 else 1.0 for k in range(20)}
 
@@ -127,7 +132,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_trees, op3_poisson_mix, op4_rendezvous_shards, op6_html_main_text, op7_unigram_counts, op8_parity_join, op9_transport_streams, op10_bpe]
+    found = [op1_quality_trees, op2_trie_lm, op3_poisson_mix, op4_rendezvous_shards, op6_html_main_text, op7_unigram_counts, op8_parity_join, op9_transport_streams, op10_bpe]
     return {f.__name__: f for f in found}
 
 
