@@ -150,9 +150,11 @@ def learn_weights(pages: DataFrame, html_col: str = "html", max_labelled: int =
         names = sorted({*within, *without})
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([within[x] for x in names], pa.int64()), pa.array([without[x] for x in names], pa.int64())], ["class", "within", "without"])
 
-    marked = pages.select(html_col).where(F.lower(F.col(html_col)).rlike("<(article|main)[\\s>]"))
-    sample = marked.orderBy(F.xxhash64(html_col)).limit(max_labelled)
-    counts = sample.repartition(8).mapInArrow(run, "class string, within long, without long").groupBy("class").agg(F.sum("within").alias("i"), F.sum("without").alias("o"))
+    marked = pages.where(F.lower(F.col(html_col)).rlike("<(article|main)[\\s>]")).select(html_col, F.xxhash64(html_col).alias("h"))
+    # the sample's hashes alone are brought together, the pages stay where they are
+    last = marked.select("h").orderBy("h").limit(max_labelled).agg(F.max("h")).first()[0]
+    sample = marked.where(F.col("h") <= (last if last is not None else 0)).select(html_col)
+    counts = sample.mapInArrow(run, "class string, within long, without long").groupBy("class").agg(F.sum("within").alias("i"), F.sum("without").alias("o"))
     rows = counts.orderBy(F.desc(F.col("i") + F.col("o")), "class").limit(1000).collect()  # names of tags: few, and bounded here
     return weights_of({r["class"]: (r["i"], r["o"]) for r in rows})
 
