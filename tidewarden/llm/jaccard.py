@@ -192,6 +192,9 @@ def frequent_shingles(features: DataFrame) -> np.ndarray:
 def key_groups(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
     """``g, k1, k2``: the sets that hold each key which two different sets hold.
 
+    ``g`` is a digest of the group's sets, so keys of the same sets are one
+    group, with a row for each key.
+
     The keys are dealt to buckets as packed arrays: 48 bits of each key (with
     its bucket, more bits the more buckets there are; a chance collision only
     makes one more candidate) and the number of its set in the array's own list.
@@ -255,7 +258,13 @@ def key_groups(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame
             size = np.diff(np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(key)))
             keep = np.repeat(size > 1, size)
             key, row = key[keep], row[keep]
-        g = mix(key.view(np.uint64) + mix(np.full(1, table["bucket"][0].as_py(), np.uint64)))
+        # groups of the same sets get one number, from the sets alone
+        own = mix(names[row, 0].view(np.uint64) + mix(names[row, 1].view(np.uint64)))
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        size = np.diff(np.append(first, len(key)))
+        g = np.zeros(0, np.uint64)
+        if len(key):
+            g = np.repeat(mix(np.add.reduceat(own, first) + mix(np.bitwise_xor.reduceat(own, first) + size.astype(np.uint64))), size)
         return pa.table({"g": g.view(np.int64), "k1": names[row, 0].copy(), "k2": names[row, 1].copy()})
 
     dealt = docs.mapInArrow(deal, "bucket int, held binary, row binary, names binary")
@@ -357,9 +366,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return labels.select(F.col("u").alias("node"), F.col("l").alias("comp"))
 
 
-def open_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+def open_pairs(members: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
     """Pairs ``a < b`` of one key group and different components that pass the bit sketch test.
 
+    With ``nearest``, of each member only the pair with the fewest differing bits.
+
     ``members`` has ``g, node, comp``. Groups larger than BLOCK are cut into
     parts and each pair of parts is a block of its own.
     """
@@ -402,7 +413,10 @@ def open_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
                             continue
                         ys = ys[ys_ok]
                         apart = np.bitwise_count(y[first:to][ys_ok] ^ x[i]).sum(1)
-                        ys = ys[7 * apart <= n[ys] + n[r]]
+                        near = 7 * apart <= n[ys] + n[r]
+                        if nearest and near.any():
+                            near = [int(np.argmin(np.where(near, apart, 1 << 40)))]
+                        ys = ys[near]
                         if len(ys):
                             ends = np.sort(np.column_stack([np.full(len(ys), node[r]), node[ys]]), 1)
                             found.append(ends)
@@ -424,22 +438,25 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     sketches = sets_of.select("node", "n", "bits")
     keys = filled.agg(F.sum(F.col("n") / 3 + 1)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(1.25 * keys / KEYS_PER_BUCKET))
-    members = key_groups(docs, frequent_shingles(seen), buckets).join(sets_of.select("k1", "k2", "node"), ["k1", "k2"]).select("g", "node")
-    members = staged(members, "members")
+    held = key_groups(docs, frequent_shingles(seen), buckets).groupBy("g", "k1", "k2").agg(F.count(F.lit(1)).alias("keys"))
+    members = staged(held.join(sets_of.select("k1", "k2", "node"), ["k1", "k2"]).select("g", "node", "keys"), "members")
 
     # First round: each node to the member that shares most keys, preferring members whose keys are shared widely.
-    wide = members.groupBy("node").agg(F.count(F.lit(1)).alias("w"))
+    wide = members.groupBy("node").agg(F.sum("keys").alias("w"))
     head = F.max(F.struct("w", (-F.col("node")).alias("m"))).over(Window.partitionBy("g"))
-    stars = members.join(wide, "node").select("node", head.alias("h")).select("node", (-F.col("h.m")).alias("head"), F.col("h.w").alias("w")).where("node != head")
-    best = stars.groupBy("node", "head", "w").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max(F.struct("c", "w", (-F.col("head")).alias("m"))).alias("r"))
+    stars = members.join(wide, "node").select("node", "keys", head.alias("h")).select("node", "keys", (-F.col("h.m")).alias("head"), F.col("h.w").alias("w")).where("node != head")
+    best = stars.groupBy("node", "head", "w").agg(F.sum("keys").alias("c")).groupBy("node").agg(F.max(F.struct("c", "w", (-F.col("head")).alias("m"))).alias("r"))
     first = best.select(F.col("node").alias("b"), (-F.col("r.m")).alias("a"))
     links = verified(passed(first, sketches), docs)
 
-    # Second round: key groups that still hold members of two components.
+    # Then key groups that still hold members of two components: each member's nearest, and then all pairs that are left.
     of_g = Window.partitionBy("g")
-    joined = members.join(components(links), "node", "left").select("g", "node", F.coalesce("comp", "node").alias("comp"))
-    still = joined.withColumns({"x": F.min("comp").over(of_g), "y": F.max("comp").over(of_g)}).where("x != y").select("g", "node", "comp")
-    links = links.unionByName(verified(open_pairs(staged(still, "open"), sketches), docs))
+    for nearest in (True, False):
+        joined = members.join(components(links), "node", "left").select("g", "node", F.coalesce("comp", "node").alias("comp"))
+        still = joined.withColumns({"x": F.min("comp").over(of_g), "y": F.max("comp").over(of_g)}).where("x != y").select("g", "node", "comp")
+        members = staged(still, "open")
+        links = links.unionByName(verified(open_pairs(members, sketches, nearest), docs))
+        members = members.drop("comp")
 
     # Rows of one id with different sets are one node.
     by_id = filled.join(sets_of.select("k1", "k2", "node"), ["k1", "k2"]).select("id", "node")
