@@ -67,7 +67,7 @@ def decoded_texts(text: Column, most: int = 8, depth: int = 2) -> Column:
     def once(t: Column) -> Column:
         b = F.transform(F.slice(F.regexp_extract_all(t, F.lit("[A-Za-z0-9+/]{24,}={0,2}"), F.lit(0)), 1, most), decoded_base64)
         h = F.transform(F.slice(F.regexp_extract_all(t, F.lit(r"\b[0-9a-fA-F]{32,}\b"), F.lit(0)), 1, most), decoded_hex)
-        u = F.when(t.rlike("%[0-9A-Fa-f]{2}"), F.array(F.try_url_decode(F.regexp_replace(t, r"\+", "%2B")))).otherwise(F.array(F.lit(None).cast("string")))
+        u = F.when(t.rlike("%[0-9A-Fa-f]{2}"), F.array(F.try_url_decode(F.regexp_replace(F.regexp_replace(t, "%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")))).otherwise(F.array(F.lit(None).cast("string")))
         return F.array_compact(F.concat(b, h, u))
 
     found = once(text)
