@@ -34,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASHES, THRESHOLD = 48, 27
+HASHES, THRESHOLD = 16, 9
 #: Half of a window's width for radius 1, and the growth of the radius.
-HALF_WIDTH, GROWTH = 1.1, 1.15
+HALF_WIDTH, GROWTH = 1.0, 1.2
 #: First radius as a part of the largest norm.
-FIRST = 0.2
+FIRST = 0.5
 BLOCK, QUERIES = 8192, 16_384
 
 
@@ -89,7 +89,8 @@ class BlockIndex:
                     fresh = np.flatnonzero((hits >= THRESHOLD) & ~verified)
                     if len(fresh):
                         verified[fresh] = True
-                        score = self.x[fresh] @ queries[q]
+                        # many rows are read in a row, few are picked
+                        score = (self.x @ queries[q])[fresh] if 4 * len(fresh) > n else self.x[fresh] @ queries[q]
                         rows.append(fresh)
                         scores.append(score)
                         # squared distance in the space with one more component
