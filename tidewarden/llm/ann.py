@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 HASHES, THRESHOLD = 16, 9
 #: Half of a window's width for radius 1, and the growth of the radius.
-HALF_WIDTH, GROWTH = 1.0, 1.2
+HALF_WIDTH, GROWTH = 1.1, 1.2
 #: First radius as a part of the largest norm.
 FIRST = 0.5
 BLOCK, QUERIES = 8192, 16_384
