@@ -91,10 +91,10 @@ def json_leaves(df: DataFrame, id_col: str, json_col: str, depth: int = 6) -> Da
     level = df.select(id_col, F.lit("$").alias("path"), F.col(json_col).alias("v")).where(F.col("v").isNotNull())
     out = None
     for _ in range(depth):
-        kind = F.substring(F.ltrim("v"), 1, 1)
+        # a text that only looks like a container is a leaf
+        kind = F.when(F.try_parse_json("v").isNotNull(), F.substring(F.ltrim("v"), 1, 1)).otherwise(F.lit(""))
         leaves = level.where(~kind.isin("{", "[")).select(id_col, "path", F.col("v").alias("text"))
         out = leaves if out is None else out.unionByName(leaves)
-        # a value of an object is read as its JSON text, so texts keep their quotes below the top
         objects = level.where(kind == "{").select(id_col, "path", F.explode(F.from_json("v", "map<string,string>")).alias("k", "v")).select(id_col, F.concat("path", F.lit("."), "k").alias("path"), "v")
         arrays = level.where(kind == "[").select(id_col, "path", F.posexplode(F.from_json("v", "array<string>")).alias("k", "v")).select(id_col, F.concat("path", F.lit("["), F.col("k").cast("string"), F.lit("]")).alias("path"), "v")
         level = objects.unionByName(arrays).where(F.col("v").isNotNull())
