@@ -51,7 +51,7 @@ LOCALLY, COUNTED = 4, 1 << 21
 #: Keys that one grouping task gets on average.
 KEYS_PER_BUCKET = 1 << 20
 #: Members of a key group that are compared in one block.
-BLOCK = 4096
+BLOCK = 1024
 #: Bits of the filter of candidate ids that keeps other texts out of the verification; false hits cost time only.
 FILTER_BITS = 1 << 22
 
@@ -374,13 +374,20 @@ def open_pairs(members: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
     ``members`` has ``g, node, comp``. Groups larger than BLOCK are cut into
     parts and each pair of parts is a block of its own.
     """
-    parts = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    size = F.count(F.lit(1))
+    # Groups that share pairs meet, so that a pair comes out once: small groups by their smallest member (a set
+    # has n / 3 + 1 keys, so they are few), large ones by their smallest component and the same parts of all nodes.
+    fits = size <= BLOCK
+    parts = members.groupBy("g").agg(
+        F.when(fits, F.lit(1.0)).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(size / BLOCK)))).cast("long").alias("parts"),
+        F.when(fits, F.min("node")).otherwise(F.min("comp")).alias("by"),
+    )
     rows = members.join(parts, "g").join(sets.select("node", "n", "bits"), "node")
-    own = F.pmod(F.xxhash64("node"), F.col("parts"))
+    own = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("parts"))
     rows = rows.withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("g", "node", "comp", "n", "bits", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    rows = rows.select("g", "by", "node", "comp", "n", "bits", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
     buckets = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("g", "lo", "hi"), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("by", "lo", "hi"), F.lit(buckets)).cast("int")).drop("by")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("g", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("n", "ascending")])
