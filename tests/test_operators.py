@@ -122,3 +122,20 @@ def test_scan_doesnt_depend_on_partitions(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     a, b = (sorted(map(tuple, scan.findings(d.repartition(n), "text", scan.default_rules("pii"), ["doc_id"]).collect())) for n in (1, 7))
     assert a == b
+
+
+def test_rate_limits_match_a_plain_loop(spark):
+    from tests.conftest import SMALL
+    from tidewarden.plans.more_queries import t7_rate_limits
+
+    held, want = {}, {}
+    for r in spark.read.parquet(f"{SMALL}/events.parquet").orderBy("ts", "event_id").collect():
+        k, t = str(r["user_id"]), r["ts"].timestamp()
+        held[k] = [x for x in held.get(k, []) if x > t - 36_000]
+        a, b = want.get(k, (0, 0))
+        if len(held[k]) < 2:
+            held[k].append(t)
+            want[k] = (a + 1, b)
+        else:
+            want[k] = (a, b + 1)
+    assert {r["key"]: (r["allowed"], r["rejected"]) for r in t7_rate_limits(spark, SMALL).collect()} == want

@@ -1,0 +1,33 @@
+"""Exact rate limits over a stream: calls that were rejected don't count."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+
+def rate_limited(events: DataFrame, most: int, seconds: int) -> DataFrame:
+    """``key, ts, event_id`` with ``allowed``: at most ``most`` allowed events of a key within ``seconds``.
+
+    The state of a key is the times of its last ``most`` allowed events. Each
+    micro-batch is taken in order of ``ts, event_id``.
+    """
+
+    def limit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        allowed = []
+        for t in rows["ts"].astype("int64").floordiv(1000 if str(rows["ts"].dtype) == "datetime64[us]" else 1_000_000):
+            held = [x for x in held if x > t - seconds * 1000]
+            ok = len(held) < most
+            if ok:
+                held.append(int(t))
+            allowed.append(ok)
+        state.update((held,))
+        yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"], "allowed": allowed})
+
+    rows = events.select("key", "ts", "event_id")
+    return rows.groupBy("key").applyInPandasWithState(limit, "key string, event_id long, allowed boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout)
