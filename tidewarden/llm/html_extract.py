@@ -40,6 +40,9 @@ BOUNDARY_IN, BOUNDARY_OUT = 1e6, -1e9
 LIMIT = 4.0
 #: Weights of a word (outside links) and of a tag or a word in a link whose class no labelled page has.
 UNSEEN_WORD, UNSEEN_TAG = 1.0, -0.5
+#: Tags that stand in any text, and their weight where no labelled page has them.
+TEXT_TAGS = frozenset(f"{e}{t}" for t in "p h1 h2 h3 h4 h5 h6 b i u em strong span br code small sub sup q cite blockquote pre li ul ol".split() for e in ("", "/"))
+TEXT_TAG = -0.1
 
 #: Fixed values of HTML: elements that start or end a block of text.
 BLOCKS = frozenset(
@@ -56,6 +59,9 @@ OTHER = frozenset(
     " footer comment comments commentlist disqus replies cookie cookies consent gdpr banner notice notices notification alert popup modal overlay newsletter"
     " subscribe subscription signup login share sharing social related recommended recommendations widget toolbar pagination pager complementary contentinfo".split()
 )
+#: Words that name something else only outside the article, and words beside them that name the article after all.
+OUTER = frozenset("header masthead topbar copyright legal disclaimer".split())
+OWN = frozenset("article post entry content story body main".split())
 _STOPS = frozenset("h1 h2 h3 article main footer body html".split())
 
 _TOKEN = re.compile(
@@ -72,6 +78,15 @@ _PARTS = re.compile(r"[a-z]+")
 Token = tuple[str, str, str, bool]
 
 
+def _names_other(own: str, inside: bool) -> bool:
+    """Whether class, id or role say that an element is no part of the article."""
+    for value in _NAMES.findall(own):
+        parts = set(_PARTS.findall(value.lower()))
+        if parts & OTHER or (not inside and parts & OUTER and not parts & OWN):
+            return True
+    return False
+
+
 def tokens(page: str) -> list[Token]:
     """Tags and texts of a page in order."""
     out: list[Token] = []
@@ -101,12 +116,12 @@ def tokens(page: str) -> list[Token]:
         elif not ends and name not in VOID and name not in ("html", "body", "article", "main"):
             other = name in LEFT_OUT or (name == "header" and not inside)
             if not other and m["own"]:
-                other = any(p in OTHER for own in _NAMES.findall(m["own"]) for p in _PARTS.findall(own.lower()))
+                other = _names_other(m["own"], inside > 0)
             if other:
                 skip, depth = name, 1
                 found = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(page, at)
                 close_at = found.start() if found else -1
-        elif not ends and name in ("article", "main") and m["own"] and any(p in OTHER for own in _NAMES.findall(m["own"]) for p in _PARTS.findall(own.lower())):
+        elif not ends and name in ("article", "main") and m["own"] and _names_other(m["own"], inside > 0):
             skip, depth = name, 1
             close_at = 0
         if name in ("article", "main"):
@@ -187,14 +202,23 @@ def best_run(found: list[Token], weights: dict[str, float]) -> tuple[int, int]:
                 continue
             total += n * weights.get(own, UNSEEN_WORD if not own.endswith(" a") else UNSEEN_TAG)
         else:
-            w = weights.get(own, UNSEEN_TAG)
-            if own == "/article" or own == "/main":
-                w = w if total >= BOUNDARY_IN / 2 else UNSEEN_TAG
-            total += w
+            if own in ("article", "main"):
+                total, start = weights.get(own, BOUNDARY_IN), i  # a region begins here, whatever stands before it
+            elif own in ("/article", "/main") and total >= BOUNDARY_IN / 2:
+                # the region is whole: it ends here, whatever its last words scored
+                if total + BOUNDARY_IN > best:
+                    best, best_at = total + BOUNDARY_IN, (start, i + 1)
+                total += weights.get(own, BOUNDARY_OUT)
+            elif own not in ("/article", "/main"):
+                total += weights.get(own, TEXT_TAG if own in TEXT_TAGS else UNSEEN_TAG)
+            else:
+                total += UNSEEN_TAG
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
             best, best_at = total, (start, i + 1)
+    if total >= BOUNDARY_IN / 2 and best < 2 * BOUNDARY_IN:
+        return start, len(found)  # a region that is never closed ends with the page
     return best_at
 
 
