@@ -34,7 +34,7 @@ from pyspark.sql.types import StructType
 #: The split before the merges, a fixed value of this tokenizer family.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Word groups remembered by one Python worker.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def byte_symbols() -> list[str]:
