@@ -47,9 +47,9 @@ NUM, DEN = 3, 4
 #: Most shingles that the order of the keys treats as frequent (8 bytes each go to every task).
 FREQUENT = 1 << 16
 #: A shingle counts towards frequent ones where it is in so many documents of about COUNTED shingles.
-LOCALLY, COUNTED = 4, 1 << 21
+LOCALLY, COUNTED = 3, 1 << 20
 #: Keys that one grouping task gets on average.
-KEYS_PER_BUCKET = 1 << 20
+KEYS_PER_BUCKET = 1 << 19
 #: Members of a key group that are compared in one block.
 BLOCK = 1024
 #: Bits of the filter of candidate ids that keeps other texts out of the verification; false hits cost time only.
@@ -154,7 +154,9 @@ def set_features(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(columns[x], k) if x in columns else pa.nulls(size, k) for x, k in zip(names, kinds, strict=True)], names)
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        h, c = np.unique(np.concatenate(held), return_counts=True)
+        h = np.sort(np.concatenate(held))
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        h, c = h[first], np.diff(np.append(first, len(h)))
         keep = c >= LOCALLY
         return out(shingle=h[keep].view(np.int64), c=c[keep])
 
