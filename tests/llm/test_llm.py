@@ -86,6 +86,14 @@ def test_lm_matches_counting(spark, odd, empty):
     assert lm.score_texts(odd, F.lit(True)).count() == odd.count()
 
 
+def test_lm_does_not_depend_on_the_list(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    whole = {r["doc_id"]: r["score"] for r in lm.score_texts(docs, F.col("id") % 10 == 0).collect()}
+    monkeypatch.setattr(lm, "FREQUENT", 4)
+    few = {r["doc_id"]: r["score"] for r in lm.score_texts(docs, F.col("id") % 10 == 0).collect()}
+    assert few == pytest.approx(whole, rel=1e-9)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(2)
     for n, top in ((0, 1), (1, 1), (1000, 50), (70_000, 2**50)):

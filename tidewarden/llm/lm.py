@@ -13,10 +13,10 @@ N-grams are dealt to shards by their last word, or by their last two words where
 the last one is frequent, so no word gathers its occurrences in one task. A shard
 holds all occurrences of its (v, w) and knows c(v w) and c(u v w); c(w) is known
 there for all other words, and for the frequent ones from a list with a fixed
-bound. c(v) of a word that isn't on the list is taken as the list's smallest
-count, which is larger, so p2 then sums up to a little less than one. The
-denominators c(u v) + M3 of p3 are taken from the shard of the bigram (u, v),
-which is the same sum over the text.
+bound. The list only saves space: a word in front that isn't on it is looked up
+in the counts of all words, once for each shard that needs it, and its exact c(v)
+goes to that shard's task. The denominators c(u v) + M3 of p3 are taken from the
+shard of the bigram (u, v), which is the same sum over the text.
 
 Each shard is a trie over (w, v, u) in levels of Elias-Fano sequences: children
 of all nodes of a level are one monotone sequence (node number times the range of
@@ -50,7 +50,7 @@ from tidewarden.llm.textscan import mix, text_chunks, words
 
 #: Smoothing weights of bigrams and trigrams.
 M2, M3 = 2000.0, 20.0
-#: Most words of the list of frequent words.
+#: Most words of the list of frequent words; results don't depend on it.
 FREQUENT = 65_000
 #: Tokens that a shard gets on average.
 TOKENS_PER_SHARD = 1_500_000
@@ -270,16 +270,101 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Frequent:
-    """Sorted hashes of the frequent words, their counts, and the smallest of these."""
+    """Sorted hashes of the frequent words, their ranks, and the counts by rank."""
 
     word: np.ndarray
+    rank: np.ndarray
     count: np.ndarray
-    least: int
 
     def codes(self, h: np.ndarray) -> np.ndarray:
-        """Number on the list, _START_CODE, or _ESCAPE."""
+        """Rank on the list, _START_CODE, or _ESCAPE."""
         at, same = successors(self.word, h)
-        return np.where(same, at, np.where(h == START, _START_CODE, _ESCAPE)).astype(np.uint16)
+        return np.where(same, self.rank[at] if len(self.rank) else at, np.where(h == START, _START_CODE, _ESCAPE)).astype(np.uint16)
+
+
+def _before(tokens: np.ndarray, per_row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two tokens in front of each token, (u, v)."""
+    starts = np.cumsum(per_row) - per_row
+    padded = np.concatenate([np.full(2, START, np.uint64), tokens])
+    v, u = padded[1:-1].copy(), padded[:-2].copy()
+    v[starts] = START
+    u[starts] = START
+    second = starts[per_row > 1] + 1
+    u[second] = START
+    return u, v
+
+
+def _shard_of(v: np.ndarray, w: np.ndarray, cw: np.ndarray, shards: int) -> np.ndarray:
+    by = np.where(cw == _ESCAPE, w, mix(w + mix(v)))
+    return ((mix(by) >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(buffer: pa.Buffer, kind: type, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(buffer, decompressed_size=n * np.dtype(kind).itemsize, codec="zstd"), kind, n)
+
+
+#: Pairs of a shard and a word that a task holds before it passes them on.
+_PAIRS_HELD = 2_000_000
+
+
+def _context_counts(rows: DataFrame, vocabulary: DataFrame, frequent: Frequent, shards: int) -> DataFrame:
+    """``shard, words, counts``: exact c(v) of the words that aren't on the list, packed, for each shard where they stand in front of a token."""
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def pairs() -> pa.RecordBatch:
+            shard, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((v, shard))
+            shard, v = shard[order], v[order]
+            first = np.append(True, (shard[1:] != shard[:-1]) | (v[1:] != v[:-1]))
+            return pa.RecordBatch.from_arrays([pa.array(shard[first]), pa.array(v[first].view(np.int64))], ["shard", "word"])
+
+        for batch in batches:
+            for _, _, tokens, per_row in _runs(batch):
+                _, v = _before(tokens, per_row)
+                at = np.flatnonzero(frequent.codes(v) == _ESCAPE)
+                if not len(at):
+                    continue
+                v, w = v[at], tokens[at]
+                held.append((_shard_of(v, w, frequent.codes(w), shards), v))
+                size += len(v)
+                if size >= _PAIRS_HELD:
+                    yield pairs()
+                    held, size = [], 0
+        if size:
+            yield pairs()
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def packs() -> pa.RecordBatch:
+            shard, word, c = (np.concatenate([x.column(i).to_numpy() for x in held]) for i in range(3))
+            order = np.argsort(shard, kind="stable")
+            shard, word, c = shard[order], word[order], c[order]
+            cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])).tolist() + [len(shard)]
+            parts = list(zip(cut[:-1], cut[1:], strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([int(shard[a]) for a, _ in parts], pa.int32()), pa.array([word[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([_packed(c[a:b]) for a, b in parts], pa.binary())], ["shard", "words", "counts"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= _PAIRS_HELD:
+                yield packs()
+                held, size = [], 0
+        if size:
+            yield packs()
+
+    # a word that isn't in the vocabulary has the count 0 and isn't sent
+    found = rows.mapInArrow(asked, "shard int, word long").join(vocabulary, "word").select("shard", "word", "c").distinct()
+    return found.mapInArrow(packed, "shard int, words binary, counts binary")
 
 
 def _deal(rows: DataFrame, frequent: Frequent, shards: int) -> DataFrame:
@@ -291,46 +376,42 @@ def _deal(rows: DataFrame, frequent: Frequent, shards: int) -> DataFrame:
             for ids, out, tokens, per_row in _runs(batch):
                 number += 1
                 row = np.repeat(np.arange(len(per_row), dtype=np.uint16), per_row)
-                starts = np.cumsum(per_row) - per_row
-                padded = np.concatenate([np.full(2, START, np.uint64), tokens])
-                v, u = padded[1:-1].copy(), padded[:-2].copy()
-                v[starts] = START
-                u[starts] = START
-                second = starts[per_row > 1] + 1
-                u[second] = START
+                u, v = _before(tokens, per_row)
                 cw, cv, cu = (frequent.codes(x) for x in (tokens, v, u))
-                by = np.where(cw == _ESCAPE, tokens, mix(tokens + mix(v)))
-                shard = ((mix(by) >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
+                shard = _shard_of(v, tokens, cw, shards)
                 order = np.argsort(shard, kind="stable")
                 shard = shard[order]
                 cut = np.flatnonzero(np.diff(shard, prepend=-1, append=shards))
-                columns: dict[str, list] = {"shard": [], "run": [], "row": [], "codes": [], "rare": [], "ids": [], "out": [], "n": []}
+                columns: dict[str, list] = {"shard": [], "run": [], "tokens": [], "row": [], "codes": [], "rare": [], "ids": [], "out": [], "n": []}
                 for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
                     at = order[a:b]
                     codes = np.stack([cw[at], cv[at], cu[at]])
                     hashes = np.stack([tokens[at], v[at], u[at]])
                     columns["shard"].append(int(shard[a]))
                     columns["run"].append(number)
-                    columns["row"].append(np.diff(row[at], prepend=np.uint16(0)).tobytes())
-                    columns["codes"].append(codes.tobytes())
+                    columns["tokens"].append(b - a)
+                    columns["row"].append(_packed(np.diff(row[at], prepend=np.uint16(0))))
+                    columns["codes"].append(_packed(codes))
                     columns["rare"].append(hashes[codes == _ESCAPE].tobytes())
                     columns["out"].append(np.packbits(out).tobytes())
                     columns["ids"].append(ids.cast(pa.int64()).to_pylist() if k == 0 else None)
                     columns["n"].append(per_row.tolist() if k == 0 else None)
-                kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
+                kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns.values(), kinds, strict=True)], list(columns))
 
-    return rows.mapInArrow(run, "shard int, run long, row binary, codes binary, rare binary, ids array<long>, out binary, n array<long>")
+    return rows.mapInArrow(run, "shard int, run long, tokens int, row binary, codes binary, rare binary, ids array<long>, out binary, n array<long>")
 
 
-def _score_shard(table: pa.Table, frequent: Frequent, total: int, different: int) -> pa.Table:
+def _score_shard(table: pa.Table, contexts: pa.Table, frequent: Frequent, total: int, different: int) -> pa.Table:
     runs = table.num_rows
     sizes, us, vs, ws, rows, held = [], [], [], [], [], []
-    codes_of = np.concatenate([frequent.word, np.zeros(65_536 - len(frequent.word), np.uint64)])
+    codes_of = np.zeros(65_536, np.uint64)
+    codes_of[frequent.rank] = frequent.word
     codes_of[_START_CODE] = START
     for k in range(runs):
-        row = np.cumsum(np.frombuffer(table["row"][k].as_buffer(), np.uint16), dtype=np.uint16)
-        codes = np.frombuffer(table["codes"][k].as_buffer(), np.uint16).reshape(3, len(row))
+        n = table["tokens"][k].as_py()
+        row = np.cumsum(_unpacked(table["row"][k].as_buffer(), np.uint16, n), dtype=np.uint16)
+        codes = _unpacked(table["codes"][k].as_buffer(), np.uint16, 3 * n).reshape(3, n)
         hashes = codes_of[codes]
         hashes[codes == _ESCAPE] = np.frombuffer(table["rare"][k].as_buffer(), np.uint64)
         ws.append(hashes[0])
@@ -356,7 +437,12 @@ def _score_shard(table: pa.Table, frequent: Frequent, total: int, different: int
             c[rare] = np.where(same, c_own[at], 0)
         return c
 
-    ends = int(frequent.count[frequent.word == END].sum())
+    ends = int(frequent.count[frequent.rank[frequent.word == END]].sum())
+    parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in contexts["words"]]
+    before = np.concatenate([np.zeros(0, np.uint64), *parts])
+    c_before = np.concatenate([np.zeros(0, np.int64), *(_unpacked(x.as_buffer(), np.int64, len(part)) for x, part in zip(contexts["counts"], parts, strict=True))])
+    order = np.argsort(before)
+    before, c_before = before[order], c_before[order]
 
     def p1(words: np.ndarray) -> np.ndarray:
         return (counts(words) + 0.1) / (total + 0.1 * (different + 1))
@@ -364,8 +450,12 @@ def _score_shard(table: pa.Table, frequent: Frequent, total: int, different: int
     def context(words: np.ndarray) -> np.ndarray:
         codes = frequent.codes(words)
         listed = codes < _START_CODE
-        c = np.full(len(words), float(frequent.least))
+        c = np.zeros(len(words))
         c[listed] = frequent.count[codes[listed]]
+        if len(before):
+            rare = codes == _ESCAPE
+            at, same = successors(before, words[rare])
+            c[rare] = np.where(same, c_before[at], 0)
         c[words == START] = ends
         return c
 
@@ -403,13 +493,13 @@ def score_texts(documents: DataFrame, held_out: Column, id_col: str = "doc_id",
     word, count = top["word"].to_numpy().view(np.uint64), top["c"].to_numpy()
     order = np.argsort(word)
     ends = int(count[word == END].sum())
-    frequent = Frequent(word[order], count[order].astype(np.float64), int(count.min()) if len(count) == FREQUENT else 1)
+    frequent = Frequent(word[order], order.astype(np.uint16), count.astype(np.float64))
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(1.2 * total / TOKENS_PER_SHARD))
     listed = spark.sparkContext.broadcast(frequent)
     total, different = int(total), int(different)
 
-    def shard(table: pa.Table) -> pa.Table:
-        return _score_shard(table, listed.value, total, different)
+    def shard(table: pa.Table, contexts: pa.Table) -> pa.Table:
+        return _score_shard(table, contexts, listed.value, total, different)
 
     def joined(table: pa.Table) -> pa.Table:
         head = next(k for k in range(table.num_rows) if table["ids"][k].is_valid)
@@ -427,7 +517,8 @@ def score_texts(documents: DataFrame, held_out: Column, id_col: str = "doc_id",
             "base_score": base - n * math.log10(total + 0.1 * (different + 1)), "score": score / math.log(10),
         })
 
-    sums = _deal(rows, frequent, shards).groupBy("shard").applyInArrow(shard, "run long, score binary, base binary, known binary, ids array<long>, out binary, n array<long>")
+    contexts = _context_counts(rows, vocabulary, frequent, shards).groupBy("shard")
+    sums = _deal(rows, frequent, shards).groupBy("shard").cogroup(contexts).applyInArrow(shard, "run long, score binary, base binary, known binary, ids array<long>, out binary, n array<long>")
     scored = sums.groupBy("run").applyInArrow(joined, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     kind = documents.schema[id_col].dataType.simpleString()
     return scored.select(F.col("id").cast(kind).alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
