@@ -168,6 +168,18 @@ def test_html(spark):
     assert html_extract.learn_weights(pages.where("false"))["article"] > 0
 
 
+def test_html_keeps_all_labelled_regions():
+    weights = html_extract.weights_of({})
+    for page, text in (
+        ("<body><p>out</p><main><h1>Title</h1><article>body</article><p>more</p></main><p>out</p>", "Title\nbody\nmore"),
+        ("<p>out</p><article>one two three</article><p>between</p><article>four</article><p>out</p>", "one two three\nbetween\nfour"),
+        ("<article>one<article>two</article>three</article><p>out</p>", "one\ntwo\nthree"),
+        ("<main>one<article>two</main><p>out</p>", "one\ntwo"),
+        ("<article>one</article></main><article>two<p>open", "one\ntwo\nopen"),
+    ):
+        assert html_extract.main_text(page, weights) == text
+
+
 def test_unigram_counts(spark, odd, empty):
     with open(PIECES, "rb") as f:
         vocabulary, unknown = unigram.zipf_vocabulary(f.read())

@@ -4,10 +4,11 @@ A page is cut into tags and words. Words score by the block they stand in and
 whether they are in a link, tags by their name; a linear scan finds the
 contiguous run with the largest sum. The weights are log odds, learned from
 labelled pages: pages whose markup names the main text (one ``article`` or
-``main`` element), counted by Spark on a bounded sample of them. A tag that
-opens or closes the labelled region gets a boundary weight above any sum of
-words, so where the markup names the region the run is that region, and pages
-without such markup are cut by what blocks of main text look like.
+``main`` element), counted by Spark on a bounded sample of them. Where the markup
+of a page names its text, the weights don't decide: the run goes from the first
+``article`` or ``main`` element to the end of the last one, nested ones and what
+stands between them included. Pages without such markup are cut by what blocks
+of main text look like.
 
 Inside the run, elements that are no text of the article are left out: menus,
 asides, forms, scripts, styles, and elements whose class, id or role says
@@ -34,8 +35,6 @@ from pyspark.sql import functions as F
 
 #: Labelled pages that the fit reads at most.
 MAX_LABELLED = 2_000
-#: Weight of a tag that opens (positive) or closes (negative) a labelled region.
-BOUNDARY_IN, BOUNDARY_OUT = 1e6, -1e9
 #: Largest log odds of any other token.
 LIMIT = 4.0
 #: Weights of a word (outside links) and of a tag or a word in a link whose class no labelled page has.
@@ -186,12 +185,32 @@ def weights_of(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
         else:
             out[k] = min(v, -0.1)
     for name in ("article", "main"):
-        out[name], out[f"/{name}"] = BOUNDARY_IN, BOUNDARY_OUT
+        out[name], out[f"/{name}"] = LIMIT, UNSEEN_TAG
     return out
 
 
+def labelled_run(found: list[Token]) -> tuple[int, int] | None:
+    """From the first article or main element to the end of the last one; one that is never closed ends with the page."""
+    first, end = -1, 0
+    opened: list[str] = []
+    for i, (kind, own, text, out) in enumerate(found):
+        if out or kind != "t" or text not in ("article", "main"):
+            continue
+        if own == text:
+            first = i if first < 0 else first
+            opened.append(text)
+        elif text in opened:
+            while opened.pop() != text:
+                pass
+            end = i + 1
+    return None if first < 0 else (first, len(found) if opened else end)
+
+
 def best_run(found: list[Token], weights: dict[str, float]) -> tuple[int, int]:
-    """First token and end of the run with the largest sum; of equal sums the first."""
+    """First token and end of the run that the markup names, else of the one with the largest sum; of equal sums the first."""
+    labelled = labelled_run(found)
+    if labelled:
+        return labelled
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
     for i, (kind, own, text, out) in enumerate(found):
         if out:
@@ -202,23 +221,11 @@ def best_run(found: list[Token], weights: dict[str, float]) -> tuple[int, int]:
                 continue
             total += n * weights.get(own, UNSEEN_WORD if not own.endswith(" a") else UNSEEN_TAG)
         else:
-            if own in ("article", "main"):
-                total, start = weights.get(own, BOUNDARY_IN), i  # a region begins here, whatever stands before it
-            elif own in ("/article", "/main") and total >= BOUNDARY_IN / 2:
-                # the region is whole: it ends here, whatever its last words scored
-                if total + BOUNDARY_IN > best:
-                    best, best_at = total + BOUNDARY_IN, (start, i + 1)
-                total += weights.get(own, BOUNDARY_OUT)
-            elif own not in ("/article", "/main"):
-                total += weights.get(own, TEXT_TAG if own in TEXT_TAGS else UNSEEN_TAG)
-            else:
-                total += UNSEEN_TAG
+            total += weights.get(own, TEXT_TAG if own in TEXT_TAGS else UNSEEN_TAG)
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
             best, best_at = total, (start, i + 1)
-    if total >= BOUNDARY_IN / 2 and best < 2 * BOUNDARY_IN:
-        return start, len(found)  # a region that is never closed ends with the page
     return best_at
 
 
