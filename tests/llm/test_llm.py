@@ -180,6 +180,26 @@ def test_html_keeps_all_labelled_regions():
         assert html_extract.main_text(page, weights) == text
 
 
+def test_html_never_leaves_out_an_article_with_its_wrapper():
+    weights = html_extract.weights_of({})
+    article = "<article><h1>T</h1><p>one two</p></article>"
+    for page, text in (
+        (f'<div class="layout has-sidebar">{article}</div>', "T\none two"),
+        (f'<div class="content-with-nav"><div id="page-widget-wrap">{article}<div class="ad">buy</div></div></div>', "T\none two"),
+        (f'<form id="f"><main>{article}</main></form>', "T\none two"),
+        (f'<div class="ad">buy {article}<div>x</div>', "T\none two"),
+        (f'<div class="ad"><div>buy</div>{article}<div>x</div></div>', "T\none two"),
+        (f'<div><div class="ad"><div>buy</div>{article}</div>', "T\none two"),
+        (f'<aside>links<aside>{article}</aside>', "T\none two"),
+        ('<article class="post has-sidebar">one</article>', "one"),
+        ('<main class="with-nav">one</main>', "one"),
+        (f'{article}<div id="comments"><article class="comment-body">nice</article></div>', "T\none two"),
+        (f'{article}<aside><article>other</article></aside>', "T\none two"),
+        ('<article>one<div class="ad">buy<div>now</div></div>two</article>', "one\ntwo"),
+    ):
+        assert html_extract.main_text(page, weights) == text, page
+
+
 def test_unigram_counts(spark, odd, empty):
     with open(PIECES, "rb") as f:
         vocabulary, unknown = unigram.zipf_vocabulary(f.read())

@@ -12,13 +12,16 @@ of main text look like.
 
 Inside the run, elements that are no text of the article are left out: menus,
 asides, forms, scripts, styles, and elements whose class, id or role says
-advert, sidebar, notice, comments or the like. Character references are decoded,
+advert, sidebar, notice, comments or the like. An element that holds an
+``article`` or ``main`` element is never left out for its class, id or role, nor
+is a form; menus, asides, headers and footers are. Character references are decoded,
 white space inside a block becomes one space, blocks are joined by one line end
 in page order; nothing is shortened.
 
 Defined results: a null or empty page, and one without words, has the empty
 text; markup that is never closed ends with the page, or for a left-out element
-at the next heading, article or footer; text is never cut whatever its length.
+(one whose start and end tags don't pair up) at the next heading, article or
+footer; text is never cut whatever its length.
 """
 
 from __future__ import annotations
@@ -72,6 +75,9 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PARTS = re.compile(r"[a-z]+")
+_REGION = re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
+#: Left-out elements that stay so with an article inside.
+_NEVER = LEFT_OUT - {"form"}
 
 #: A token: kind ("w" text, "t" tag), class for the weights, text or tag name, and whether it is left out.
 Token = tuple[str, str, str, bool]
@@ -86,6 +92,26 @@ def _names_other(own: str, inside: bool) -> bool:
     return False
 
 
+def _region_is_other(own: str) -> bool:
+    """Whether an article or main element is named something else: by a whole name, or by the first word of one with no whole name beside it for the article."""
+    names = {name for value in _NAMES.findall(own) for name in value.lower().strip("\"'").split()}
+    if names & OTHER:
+        return True
+    first = {m[0] for name in names if (m := _PARTS.search(name))}
+    return not names & OWN and bool(first & OTHER)
+
+
+def _end_of(page: str, name: str, at: int) -> int:
+    """Where the end tag stands that closes an element whose content begins at ``at``, or -1."""
+    depth = 1
+    for m in _TOKEN.finditer(page, at):
+        if m["name"] and m["name"].lower() == name:
+            depth += -1 if m["end"] else 1
+            if depth == 0:
+                return m.start()
+    return -1
+
+
 def tokens(page: str) -> list[Token]:
     """Tags and texts of a page in order."""
     out: list[Token] = []
@@ -117,10 +143,10 @@ def tokens(page: str) -> list[Token]:
             if not other and m["own"]:
                 other = _names_other(m["own"], inside > 0)
             if other:
-                skip, depth = name, 1
-                found = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(page, at)
-                close_at = found.start() if found else -1
-        elif not ends and name in ("article", "main") and m["own"] and _names_other(m["own"], inside > 0):
+                close_at = _end_of(page, name, at)
+                if close_at < 0 or name in _NEVER or name == "header" or not _REGION.search(page, at, close_at):
+                    skip, depth = name, 1
+        elif not ends and name in ("article", "main") and m["own"] and _region_is_other(m["own"]):
             skip, depth = name, 1
             close_at = 0
         if name in ("article", "main"):
