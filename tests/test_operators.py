@@ -139,3 +139,10 @@ def test_rate_limits_match_a_plain_loop(spark):
         else:
             want[k] = (a, b + 1)
     assert {r["key"]: (r["allowed"], r["rejected"]) for r in t7_rate_limits(spark, SMALL).collect()} == want
+
+
+def test_json_leaves_keep_what_is_deeper(spark):
+    from tidewarden.sources import payloads
+
+    df = spark.createDataFrame([(1, '{"a": {"b": {"c": "x"}}, "d": "y"}')], "id long, j string")
+    assert {(r["path"], r["text"]) for r in payloads.json_leaves(df, "id", "j", 2).collect()} == {("$.a", '{"b":{"c":"x"}}'), ("$.d", "y")}

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewarden.operators import decide, scan
+from tidewarden.operators import decide, normalize, scan
+from tidewarden.plans.record_queries import S1_SQL, _chat_json, encrypted
 from tidewarden.plans.rewrite_queries import _d3_sql, d3_injection_score
 from tidewarden.plans.scan_queries import any_sql, flag_query, hit_sql
 from tidewarden.plans.seeds import DOCUMENTS_SQL, documents, quoted
 from tidewarden.plans.stream_queries import _events_stream
-from tidewarden.sources import rules
+from tidewarden.sources import payloads, rules
 from tidewarden.streaming import guard, limits
 
 _OWN = [("direct", "own_rule", 0, r"closing\s+words", False), ("direct", "broken", 1, "(unclosed", False)]
@@ -77,16 +78,43 @@ def p25_w20_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
     held = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))
     marked = F.transform_values(held, lambda k, v: F.when(v.isNotNull(), F.lit("[VALUE]")))
-    return d.select("doc_id", rules.function_name(F.substring("text", 1, 16)).alias("name"), F.array_join(F.array_sort(F.map_values(marked)), ",").alias("marks"))
+    return d.select("doc_id", F.substring(rules.function_name(F.col("text")), 1, 16).alias("name"), F.array_join(F.array_sort(F.map_values(marked)), ",").alias("marks"))
 
 
 P25_SQL = f"SELECT doc_id, regexp_replace(left(text, 16), '[^a-zA-Z0-9_-]', '_', 'g') AS name, '[VALUE],[VALUE]' AS marks FROM {DOCUMENTS_SQL} t"
 
 
+def w22_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts encrypted with a key column and read back."""
+    return encrypted(spark, sf_dir).withColumn("value", F.md5("value"))
+
+
+W22_WHOLE_SQL = "SELECT doc_id, md5(text) AS value, FALSE AS plain FROM documents"
+
+
+def s6_whole_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole text leaves of nested payloads, with their paths."""
+    return payloads.json_leaves(_chat_json(spark, sf_dir), "conv_id", "payload", depth=4).select("conv_id", "path", F.md5("text").alias("text"))
+
+
+S6_WHOLE_SQL = f"""SELECT conv_id, '$.model' AS path, md5('m') AS text FROM (SELECT DISTINCT conv_id FROM conversations) UNION ALL
+SELECT conv_id, '$.messages[' || msg_idx || '].' || k AS path, md5(CASE WHEN k = 'role' THEN role ELSE content END) AS text FROM ({S1_SQL}), (VALUES ('role'), ('content')) v(k)"""
+
+
+def p25_p4_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as function names, and masked."""
+    return documents(spark, sf_dir).select("doc_id", F.md5(rules.function_name(F.col("text"))).alias("name"), F.md5(normalize.masked(F.col("text"))).alias("masked"))
+
+
+P25_P4_SQL = f"""SELECT doc_id, md5(regexp_replace(text, '[^a-zA-Z0-9_-]', '_', 'g')) AS name,
+  md5(CASE WHEN n >= 10 THEN m[1:3] || repeat('*', n - 5) || m[-2:] WHEN n = 0 THEN '' WHEN n = 1 THEN '*' WHEN n <= 4 THEN m[1] || repeat('*', n - 2) || m[-1] ELSE m[1:2] || repeat('*', n - 4) || m[-2:] END) AS masked
+FROM (SELECT *, length(m) AS n FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS m FROM {DOCUMENTS_SQL} t))"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [s14_overlaid_pack, d11_block_reasons, d14_blended, t7_rate_limits, p25_w20_names]
+    own = [s14_overlaid_pack, d11_block_reasons, d14_blended, t7_rate_limits, p25_w20_names, w22_whole_texts, s6_whole_leaves, p25_p4_whole_texts]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"s14_overlaid_pack": S14_SQL, "d11_block_reasons": D11_SQL, "d14_blended": D14_SQL, "p25_w20_names": P25_SQL}
+    return {"s14_overlaid_pack": S14_SQL, "d11_block_reasons": D11_SQL, "d14_blended": D14_SQL, "p25_w20_names": P25_SQL, "w22_whole_texts": W22_WHOLE_SQL, "s6_whole_leaves": S6_WHOLE_SQL, "p25_p4_whole_texts": P25_P4_SQL}

@@ -442,14 +442,19 @@ def _w13_sql() -> str:
     return f"WITH t AS MATERIALIZED {DOCUMENTS_SQL} SELECT doc_id, lure, secret, md5(CASE WHEN lure AND secret THEN {text} ELSE text END) AS text FROM (SELECT *, {any_sql('lures')} AS lure, {any_sql('restored_secrets')} AS secret FROM t)"
 
 
-def w22_encrypted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values encrypted with a key column and read back."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("value"), F.substring(F.md5(F.col("source")), 1, 16).alias("key"))
+def encrypted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts encrypted with a key column and read back."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("value"), F.substring(F.md5(F.col("source")), 1, 16).alias("key"))
     sealed = d.withColumn("sealed", F.aes_encrypt("value", F.col("key").cast("binary")))
     opened = F.try_aes_decrypt("sealed", F.col("key").cast("binary")).cast("string")
     return sealed.select("doc_id", opened.alias("value"), (F.col("sealed").cast("string") == F.col("value")).alias("plain"))
 
 
+def w22_encrypted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts of the texts that were encrypted and read back whole (``w22_whole_texts`` compares all of them)."""
+    return encrypted(spark, sf_dir).withColumn("value", F.substring("value", 1, 40))
+
+
 W22_SQL = "SELECT doc_id, left(text, 40) AS value, FALSE AS plain FROM documents"
 
 

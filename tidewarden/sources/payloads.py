@@ -87,13 +87,13 @@ def context_items(df: DataFrame, id_col: str, json_col: str, keys: list[str]) ->
 
 
 def json_leaves(df: DataFrame, id_col: str, json_col: str, depth: int = 6) -> DataFrame:
-    """All text leaves of a JSON column as ``path, text``, down to ``depth`` levels."""
+    """All text leaves of a JSON column as ``path, text``; a container at the last of ``depth`` levels is one leaf with its JSON."""
     level = df.select(id_col, F.lit("$").alias("path"), F.col(json_col).alias("v")).where(F.col("v").isNotNull())
     out = None
-    for _ in range(depth):
+    for k in range(depth):
         # a text that only looks like a container is a leaf
         kind = F.when(F.try_parse_json("v").isNotNull(), F.substring(F.ltrim("v"), 1, 1)).otherwise(F.lit(""))
-        leaves = level.where(~kind.isin("{", "[")).select(id_col, "path", F.col("v").alias("text"))
+        leaves = level.where(~kind.isin("{", "[") if k + 1 < depth else F.lit(True)).select(id_col, "path", F.col("v").alias("text"))
         out = leaves if out is None else out.unionByName(leaves)
         objects = level.where(kind == "{").select(id_col, "path", F.explode(F.from_json("v", "map<string,string>")).alias("k", "v")).select(id_col, F.concat("path", F.lit("."), "k").alias("path"), "v")
         arrays = level.where(kind == "[").select(id_col, "path", F.posexplode(F.from_json("v", "array<string>")).alias("k", "v")).select(id_col, F.concat("path", F.lit("["), F.col("k").cast("string"), F.lit("]")).alias("path"), "v")
