@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ RARE_SCRIPTS = ["Armenian", "Hebrew", "Thaana", "Devanagari", "Bengali", "Gurmuk
 _PRINTABLE = "".join(map(chr, [*range(32, 127), 9, 10, 11, 12, 13]))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once: an expression inside a higher-order function runs for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def script_count(text: Column) -> Column:
     """Different rare scripts in a text."""
     return sum((text.rlike(rf"\p{{Is{s}}}").cast("int") for s in RARE_SCRIPTS), F.lit(0))
@@ -25,9 +32,12 @@ def mixed_script_words(text: Column) -> Column:
 
 def repetition_ratio(text: Column) -> Column:
     """Share of the most frequent character, white space left out."""
-    compact = F.regexp_replace(text, r"\s+", "")
-    often = F.array_max(F.transform(F.array_distinct(F.split(compact, "")), lambda c: F.when(c == "", 0).otherwise(F.length(compact) - F.length(F.replace(compact, c, F.lit(""))))))
-    return F.when(F.length(compact) > 0, often / F.length(compact)).otherwise(F.lit(0.0))
+
+    def share(compact: Column) -> Column:
+        times = F.transform(F.array_distinct(F.split(compact, "")), lambda c: F.when(c == "", 0).otherwise(F.length(compact) - F.length(F.replace(compact, c, F.lit("")))))
+        return F.when(F.length(compact) > 0, F.array_max(times) / F.length(compact)).otherwise(F.lit(0.0))
+
+    return bound(F.regexp_replace(text, r"\s+", ""), share)
 
 
 def longest_run(text: Column) -> Column:

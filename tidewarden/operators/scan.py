@@ -151,9 +151,15 @@ def scan(df: DataFrame, text_col: str, rules: Sequence[Rule], out_col: str = "hi
 
 
 def findings(df: DataFrame, text_col: str, rules: Sequence[Rule], id_cols: Sequence[str]) -> DataFrame:
-    """One row for each row and rule that hits: ids, ``rule_group, rule_id, n``."""
+    """One row for each row and rule that hits: ids, ``rule_group, rule_id, n``.
+
+    With a plain explode, Spark infers a filter on the array's size and pushes it
+    below the projections: every rule would run twice, each on its own lowered
+    copy of the text. The outer form keeps one projection; rows without hits are
+    dropped behind it.
+    """
     hits = scan(df.select(*id_cols, text_col), text_col, rules)
-    return hits.select(*id_cols, F.explode("hits").alias("h")).select(*id_cols, "h.*")
+    return hits.select(*id_cols, F.explode_outer("hits").alias("h")).where("h is not null").select(*id_cols, "h.*")
 
 
 def group_flags(df: DataFrame, text_col: str, groups: dict[str, Sequence[Rule]]) -> DataFrame:
