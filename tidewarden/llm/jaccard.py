@@ -16,15 +16,21 @@ frequent shingles has a fixed bound and only decides the order: results don't
 depend on it.
 
 Verification is exact on sets of 64-bit shingle hashes. Only links that can join
-two components are verified: first one link for each document, to the member of
-its key groups that shares most keys; then, among members of one key group that
-are still in different components, every pair that passes a bit-wise parity
+two components are verified: first one link for each set, to the member of its
+key groups that shares most keys; then, in key groups that still hold members of
+different components, each set outside the group's largest component with its
+nearest member, and at last with every member that passes a bit-wise parity
 sketch test (blocks of numpy, sizes sorted; never pairs as rows before the test).
 
+Nothing holds a whole group: keys that may have very many holders are counted by
+aggregation before a shuffle, groups are cut into parts for the comparison, and
+tasks get rows by number and bytes, whatever the size of a group.
+
 Defined results: a null or text without words has no shingles and is linked with
-nothing; texts with equal sets are one node (copies are never expanded); rows
-with one id are one node; a row without id has no component (null). Ids are
-integers. Empty tables give empty tables; other columns are not read.
+nothing; texts with equal sets are one node (copies are never expanded; a node's
+number is a 64-bit hash of its set); in ``near_duplicates`` rows with one id are
+one node, and a row without id has no component (null). Ids are integers. Empty
+tables give empty tables; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,10 +40,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewarden.functions.session import shared_dir, staged
+from tidewarden.functions.session import shared_dir, small_batches, staged
 from tidewarden.llm.textscan import mix, text_chunks, words
 
 #: Words in a shingle.
@@ -48,10 +54,16 @@ NUM, DEN = 3, 4
 FREQUENT = 1 << 16
 #: A shingle counts towards frequent ones where it is in so many documents of about COUNTED shingles.
 LOCALLY, COUNTED = 3, 1 << 20
+#: Keys of nothing but frequent shingles with so many holders are grouped by aggregation and join, not in one task.
+HEAVY = 1 << 18
 #: Keys that one grouping task gets on average.
-KEYS_PER_BUCKET = 1 << 19
-#: Members of a key group that are compared in one block.
+KEYS_PER_BUCKET = 1 << 18
+#: Members of a key group in one part of a comparison.
 BLOCK = 1024
+#: Rows (members of groups with their short sketches) that one comparing task gets on average.
+ROWS_PER_BUCKET = 1 << 14
+#: Bytes of a short sketch at most: longer ones are folded for the comparison of groups, whole ones decide afterwards.
+SHORT = 512
 #: Bits of the filter of candidate ids that keeps other texts out of the verification; false hits cost time only.
 FILTER_BITS = 1 << 22
 
@@ -101,17 +113,13 @@ def blocks_of(b: int) -> int:
     return 64 << (2 * b)
 
 
-def join_keys(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The keys of one set: for each band that it takes part in, its d + 1 first words."""
+def join_keys(s: np.ndarray, frequent: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of one set: for each band that it takes part in, its d + 1 first words, and whether all shingles of the word are ``heavy``."""
     n = len(s)
     own = band(n)
     bands = [own, own + 1] if DEN * n >= NUM * blocks_of(own) else [own]
-    hot = np.zeros(n, bool)
-    if len(frequent):
-        at = np.searchsorted(frequent, s)
-        at[at == len(frequent)] = 0
-        hot = frequent[at] == s
-    out = []
+    hot, weighty = among(s, frequent), among(s, heavy)
+    out, out_heavy = [], []
     for b in bands:
         k = blocks_of(b)
         block = s >> np.uint64(64 - k.bit_length() + 1)
@@ -123,14 +131,27 @@ def join_keys(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
         key = mix(word + block[runs] * _C[0] + (np.full(1, b, np.uint64) * _C[1])) >> np.uint64(1)
         if hot.any():
             key |= np.logical_or.reduceat(hot, runs).astype(np.uint64) << np.uint64(63)
+        full = np.logical_and.reduceat(weighty, runs) if weighty.any() else np.zeros(len(key), bool)
         need = n // 3 + 1
         if need < len(key):
-            key = np.partition(key, need - 1)[:need]
+            at = np.argpartition(key, need - 1)[:need]
+            key, full = key[at], full[at]
         elif need > len(key):
             empty = np.setdiff1d(np.arange(k, dtype=np.uint64), block[runs])[: need - len(key)]
             key = np.concatenate([key, mix(empty * _C[2] + np.full(1, b, np.uint64) * _C[3]) | np.uint64(1 << 63)])
+            full = np.concatenate([full, np.ones(len(empty), bool)])
         out.append(key)
-    return np.concatenate(out)
+        out_heavy.append(full)
+    return np.concatenate(out), np.concatenate(out_heavy)
+
+
+def among(s: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted list."""
+    if not len(listed):
+        return np.zeros(len(s), bool)
+    at = np.searchsorted(listed, s)
+    at[at == len(listed)] = 0
+    return listed[at] == s
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -141,13 +162,14 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndar
 
 
 def set_features(docs: DataFrame) -> DataFrame:
-    """One pass over the texts, two kinds of rows.
+    """One pass over the texts (``id, text, h``), two kinds of rows.
 
-    ``id, n, k1, k2, bits``: size, identity and bit sketch of each row's set;
+    ``id, h, n, k1, k2, bits, short``: size, identity and bit sketch of each row's
+    set, and the folded sketch where it has more than SHORT bytes;
     ``shingle, c``: shingles that several documents of one run of rows have.
     """
-    names = ["id", "n", "k1", "k2", "bits", "shingle", "c"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    names = ["id", "h", "n", "k1", "k2", "bits", "short", "shingle", "c"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
     def out(**columns: object) -> pa.RecordBatch:
         size = len(next(iter(columns.values())))
@@ -164,15 +186,20 @@ def set_features(docs: DataFrame) -> DataFrame:
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
+            at_row = 0
             for ids, flat, counts in _rows(batch):
-                k1, k2, bits, at = [], [], [], 0
+                k1, k2, bits, short, at = [], [], [], [], 0
                 for c in counts.tolist():
                     s = flat[at : at + c]
                     at += c
-                    k1.append(int(s.sum(dtype=np.uint64).view(np.int64)) if c else 0)
-                    k2.append(int(mix(s ^ _C[4]).sum(dtype=np.uint64).view(np.int64)) if c else 0)
-                    bits.append(parity_bits(s, bits_of(c)).tobytes() if c else b"")
-                yield out(id=ids.cast(pa.int64()), n=counts, k1=k1, k2=k2, bits=bits)
+                    one, two = identity(s)
+                    k1.append(one)
+                    k2.append(two)
+                    whole = parity_bits(s, bits_of(c)) if c else np.zeros(0, np.uint8)
+                    bits.append(whole.tobytes())
+                    short.append(folded(whole, SHORT).tobytes() if len(whole) > SHORT else None)
+                yield out(id=ids.cast(pa.int64()), h=batch.column(2).slice(at_row, len(ids)), n=counts, k1=k1, k2=k2, bits=bits, short=short)
+                at_row += len(ids)
                 held.append(flat)
                 size += len(flat)
                 if size >= COUNTED:
@@ -181,25 +208,41 @@ def set_features(docs: DataFrame) -> DataFrame:
         if size:
             yield counted(held)
 
-    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, bits binary, shingle long, c long")
+    return docs.mapInArrow(run, "id long, h long, n long, k1 long, k2 long, bits binary, short binary, shingle long, c long")
+
+
+def identity(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums that stand for a set."""
+    return int(s.sum(dtype=np.uint64).view(np.int64)), int(mix(s ^ _C[4]).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0
+
 
+def folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """A sketch XORed onto its halves until it has ``size`` bytes: distances only shrink."""
+    while len(sketch) > size:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
 
-def frequent_shingles(features: DataFrame) -> np.ndarray:
-    """The shingles of most documents, up to FREQUENT, sorted."""
+
+def frequent_shingles(features: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of most documents, up to FREQUENT, and those of them in HEAVY documents or more; both sorted."""
     counts = features.where("shingle is not null").groupBy("shingle").agg(F.sum("c").alias("c"))
-    top = counts.orderBy(F.desc("c"), "shingle").limit(FREQUENT).select("shingle").toArrow()["shingle"].to_numpy()
-    return np.sort(top.astype(np.int64).view(np.uint64))
+    top = counts.orderBy(F.desc("c"), "shingle").limit(FREQUENT).toArrow()
+    words_, c = top["shingle"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy()
+    return np.sort(words_), np.sort(words_[c >= HEAVY])
 
 
-def key_groups(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """``g, k1, k2``: the sets that hold each key which two different sets hold.
+def key_groups(docs: DataFrame, frequent: np.ndarray, heavy: np.ndarray, buckets: int) -> DataFrame:
+    """``g, k1, k2, keys``: the sets that hold each key which two different sets hold.
 
     ``g`` is a digest of the group's sets, so keys of the same sets are one
-    group, with a row for each key.
+    group; ``keys`` counts them.
 
     The keys are dealt to buckets as packed arrays: 48 bits of each key (with
     its bucket, more bits the more buckets there are; a chance collision only
     makes one more candidate) and the number of its set in the array's own list.
+    Keys that may have HEAVY holders or more are dealt by key and set and leave
+    their bucket as rows: counts and digests of their holders are aggregated
+    before a shuffle, so no task holds all of them.
     """
     low = np.uint64((1 << 48) - 1)
 
@@ -208,27 +251,32 @@ def key_groups(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame
             for ids, flat, counts in _rows(batch):
                 ends = np.cumsum(counts)
                 sets: dict[tuple[int, int], int] = {}
-                keys, of = [], []
+                keys, fulls, of = [], [], []
                 for known, a, b in zip(ids.is_valid().to_pylist(), (ends - counts).tolist(), ends.tolist(), strict=True):
                     s = flat[a:b]
                     if b == a or not known:
                         continue
-                    name = (int(s.sum(dtype=np.uint64).view(np.int64)), int(mix(s ^ _C[4]).sum(dtype=np.uint64).view(np.int64)))
+                    name = identity(s)
                     if name not in sets:
                         sets[name] = len(sets)
-                        own = join_keys(s, frequent)
+                        own, full = join_keys(s, frequent, heavy)
                         keys.append(own)
+                        fulls.append(full)
                         of.append(len(own))
                 if not sets:
                     continue
-                key = np.concatenate(keys)
+                key, full = np.concatenate(keys), np.concatenate(fulls)
                 row = np.repeat(np.arange(len(sets), dtype=np.uint32), of)
-                bucket = ((key >> np.uint64(13)) % np.uint64(buckets)).astype(np.int64)
+                names = np.array(list(sets), np.int64)
+                spread = (key >> np.uint64(13)) if not len(heavy) else np.where(full, mix(names[row, 0].view(np.uint64)), key) >> np.uint64(13)
+                # heavy keys: negative buckets
+                bucket = (spread % np.uint64(buckets)).astype(np.int64)
+                if len(heavy):
+                    bucket = np.where(full, -1 - bucket, bucket)
                 order = np.argsort(bucket, kind="stable")
                 key, row, bucket = (key & low)[order], row[order], bucket[order]
                 packed = key.view(np.uint8).reshape(-1, 8)[:, :6]
-                names = np.array(list(sets), np.int64)
-                cut = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
+                cut = np.flatnonzero(np.diff(bucket, prepend=-buckets - 1, append=buckets))
                 out: dict[str, list] = {"bucket": [], "held": [], "row": [], "names": []}
                 for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                     here, at = np.unique(row[a:b], return_inverse=True)
@@ -240,6 +288,7 @@ def key_groups(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
 
     def meet(table: pa.Table) -> pa.Table:
+        weighty = table["bucket"][0].as_py() < 0
         names = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in table["names"].to_pylist()]
         first = np.cumsum([0, *map(len, names)])
         row = np.concatenate([np.cumsum(np.frombuffer(x, np.uint16).astype(np.int32)) + f for x, f in zip(table["row"].to_pylist(), first[:-1].tolist(), strict=True)])
@@ -248,6 +297,8 @@ def key_groups(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame
         key = np.zeros((len(packed), 8), np.uint8)
         key[:, :6] = packed
         key = key.view(np.int64).ravel()
+        if weighty:
+            return pa.table({"g": pa.nulls(len(key), pa.int64()), "key": key, "k1": names[row, 0].copy(), "k2": names[row, 1].copy()})
         for distinct in (False, True):
             order = np.argsort(key, kind="stable")
             key, row = key[order], row[order]
@@ -267,10 +318,17 @@ def key_groups(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame
         g = np.zeros(0, np.uint64)
         if len(key):
             g = np.repeat(mix(np.add.reduceat(own, first) + mix(np.bitwise_xor.reduceat(own, first) + size.astype(np.uint64))), size)
-        return pa.table({"g": g.view(np.int64), "k1": names[row, 0].copy(), "k2": names[row, 1].copy()})
+        return pa.table({"g": g.view(np.int64), "key": pa.nulls(len(key), pa.int64()), "k1": names[row, 0].copy(), "k2": names[row, 1].copy()})
 
     dealt = docs.mapInArrow(deal, "bucket int, held binary, row binary, names binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "g long, k1 long, k2 long")
+    met = dealt.groupBy("bucket").applyInArrow(meet, "g long, key long, k1 long, k2 long")
+    if not len(heavy):
+        return met.groupBy("g", "k1", "k2").agg(F.count(F.lit(1)).alias("keys"))
+    met = staged(met, "keys")
+    entries = staged(met.where("g is null").select("key", "k1", "k2").distinct(), "heavy-keys")
+    digest = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), *[F.bit_xor(F.xxhash64(F.lit(x), "k1", "k2")).alias(f"d{x}") for x in (1, 2)]).where("c > 1")
+    groups = entries.join(digest.select("key", F.xxhash64("c", "d1", "d2").alias("g")), "key").select("g", "k1", "k2")
+    return met.where("g is not null").select("g", "k1", "k2").unionByName(groups).groupBy("g", "k1", "k2").agg(F.count(F.lit(1)).alias("keys"))
 
 
 def parity_bits(s: np.ndarray, bits: int) -> np.ndarray:
@@ -283,9 +341,9 @@ def bits_of(n: int) -> int:
 
 
 def candidate_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, shingles`` of the documents whose id is in ``nodes``, from their texts."""
-    spots = nodes.select(F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)).cast("int").alias("spot"))
-    marks = spots.select(F.expr("spot div 64").alias("w"), F.expr("shiftleft(1L, spot % 64)").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    """``node, shingles`` of the sets in ``nodes`` (``node, id, h``: a row that has the set), from their texts."""
+    spot = F.pmod(F.xxhash64("id", "h"), F.lit(FILTER_BITS)).cast("int")
+    marks = nodes.select(spot.alias("spot")).select(F.expr("spot div 64").alias("w"), F.expr("shiftleft(1L, spot % 64)").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     filter_words = np.zeros(FILTER_BITS // 64, np.int64)
     filter_words[marks["w"].to_numpy()] = marks["m"].to_numpy()
 
@@ -293,14 +351,15 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             at = batch.column(2).to_numpy()
             keep = (filter_words.view(np.uint64)[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1
-            for ids, flat, counts in _rows(batch.filter(pa.array(keep))):
+            for _, flat, counts in _rows(batch.filter(pa.array(keep))):
                 ends = np.cumsum(counts)
-                sets = [flat[a:b].tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
+                sets = [flat[a:b] for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True) if b > a]
+                names = np.array([identity(s) for s in sets], np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], ["k1", "k2", "shingles"])
 
-    spots = docs.select("id", "text", F.pmod(F.xxhash64(F.col("id").cast("long")), F.lit(FILTER_BITS)).alias("spot")).where("id is not null")
-    found = spots.mapInArrow(run, "node long, shingles binary").where("length(shingles) > 0")
-    return found.join(nodes, "node", "left_semi")
+    found = docs.where("id is not null").select("id", "text", spot.alias("spot")).mapInArrow(run, "k1 long, k2 long, shingles binary")
+    wanted = found.select(F.xxhash64("k1", "k2").alias("node"), "shingles").join(nodes.select("node"), "node", "left_semi")
+    return wanted.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def passed(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -326,10 +385,10 @@ def passed(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, sets_of: DataFrame) -> DataFrame:
     """The pairs ``a, b`` whose sets are similar, decided on the whole sets."""
     pairs = staged(pairs, "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets_of.select("node", "id", "h"), "node")
     sets = staged(candidate_sets(docs, nodes), "shingles")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
@@ -368,123 +427,178 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return labels.select(F.col("u").alias("node"), F.col("l").alias("comp"))
 
 
-def open_pairs(members: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs ``a < b`` of one key group and different components that pass the bit sketch test.
+def open_members(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``g, node, comp`` of the key groups that hold members of two components under ``links``."""
+    joined = members.join(components(links), "node", "left").select("g", "node", F.coalesce("comp", "node").alias("comp"))
+    still = joined.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("g")
+    return staged(joined.join(still, "g"), "open")
 
-    With ``nearest``, of each member only the pair with the fewest differing bits.
 
-    ``members`` has ``g, node, comp``. Groups larger than BLOCK are cut into
-    parts and each pair of parts is a block of its own.
+def open_pairs(members: DataFrame, sketches: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs ``a < b`` of one key group and different components that pass the short sketch test.
+
+    With ``nearest``, of each member only the pair with the fewest differing bits
+    (of each part that it meets).
+
+    In a group, the members outside its largest component (the *others*) meet
+    all members; two members of the largest component need no comparison. Others
+    and members are cut into parts of about BLOCK, and each pair of parts is a
+    unit of its own, dealt by hash; a task gets about ROWS_PER_BUCKET rows of at
+    most SHORT bytes.
     """
-    size = F.count(F.lit(1))
-    # Groups that share pairs meet, so that a pair comes out once: small groups by their smallest member (a set
-    # has n / 3 + 1 keys, so they are few), large ones by their smallest component and the same parts of all nodes.
-    fits = size <= BLOCK
-    parts = members.groupBy("g").agg(
-        F.when(fits, F.lit(1.0)).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(size / BLOCK)))).cast("long").alias("parts"),
-        F.when(fits, F.min("node")).otherwise(F.min("comp")).alias("by"),
-    )
-    rows = members.join(parts, "g").join(sets.select("node", "n", "bits"), "node")
-    own = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("parts"))
-    rows = rows.withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("g", "by", "node", "comp", "n", "bits", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    buckets = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("by", "lo", "hi"), F.lit(buckets)).cast("int")).drop("by")
+    by_comp = members.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("c"))
+    facts = by_comp.groupBy("g").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("main"))
+    parts = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("int")
+    facts = staged(facts.select("g", F.col("main.comp").alias("main"), "size", (F.col("size") - F.col("main.c")).alias("others")).withColumns({"p": parts(F.col("size")), "q": parts(F.col("others"))}), "groups")
+    total = facts.agg(F.sum(F.col("size") * F.col("q") + F.col("others") * F.col("p"))).first()[0] or 0
+    buckets = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / ROWS_PER_BUCKET))
+    rows = members.join(facts.select("g", "main", "p", "q"), "g").join(sketches.select("node", "n", F.coalesce("short", "bits").alias("bits")), "node")
+    steps = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64(F.lit(1), "node"), F.col(n)).cast("int")
+    right = rows.withColumns({"left": F.lit(False), "i": own("p")}).withColumn("j", steps("q"))
+    left = rows.where("comp <> main").withColumns({"left": F.lit(True), "j": own("q")}).withColumn("i", steps("p"))
+    columns = ["g", "i", "j", "left", "node", "comp", "n", "bits"]
+    dealt = right.select(*columns).unionByName(left.select(*columns)).withColumn("bucket", F.pmod(F.xxhash64("g", "i", "j"), F.lit(buckets)).cast("int"))
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("g", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("n", "ascending")])
-        g, lo, hi, n, node, comp = (table[c].to_numpy() for c in ("g", "lo", "hi", "n", "node", "comp"))
+        g, i, j, side, n, node, comp = (table[c].to_numpy() for c in ("g", "i", "j", "left", "n", "node", "comp"))
+        order = np.lexsort((n, side, j, i, g))
+        g, i, j, side, n, node, comp = (x[order] for x in (g, i, j, side, n, node, comp))
         bits = table["bits"].combine_chunks()
-        new = np.flatnonzero(np.append(True, (np.diff(g) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)))
+        new = np.flatnonzero(np.append(True, (np.diff(g) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0))) if len(g) else np.zeros(0, np.int64)
         found: list[np.ndarray] = []
         for a, b in zip(new.tolist(), [*new[1:].tolist(), len(g)], strict=True):
-            if b - a < 2 or comp[a:b].min() == comp[a:b].max():
+            mid = a + int(np.searchsorted(side[a:b], True))
+            if mid == a or mid == b:
                 continue
-            size = np.array([bits_of(int(x)) for x in n[a:b]])
-            folded: dict[tuple[int, int], np.ndarray] = {}
-            for wide in np.unique(size).tolist():
-                own_rows = np.flatnonzero(size == wide) + a
-                raw = np.frombuffer(b"".join(bits.take(pa.array(own_rows)).to_pylist()), np.uint64).reshape(len(own_rows), -1)
-                folded[wide, wide] = raw
-                if wide > 64:
-                    folded[wide, wide // 2] = raw[:, : raw.shape[1] // 2] ^ raw[:, raw.shape[1] // 2 :]
-                for low in (wide // 2, wide):
-                    if (low, low) not in folded:
+            raw = bits.take(pa.array(order[a:b])).to_pylist()
+            wide = np.array([len(x) for x in raw])
+            # all members of one width, and the same folded once
+            held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for w in np.unique(wide[: mid - a]).tolist():
+                at = np.flatnonzero(wide[: mid - a] == w)
+                held[w] = at + a, np.frombuffer(b"".join([raw[x] for x in at.tolist()]), np.uint64).reshape(len(at), -1)
+            halves = {w: m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :] for w, (_, m) in held.items() if w > 8}
+            for r in range(mid, b):
+                w = int(wide[r - a])
+                x = np.frombuffer(raw[r - a], np.uint64)
+                best: tuple[float, int] | None = None
+                for other in (w // 2, w, 2 * w):
+                    if other not in held:
+                        continue
+                    rows_y, y = held[other]
+                    first = int(np.searchsorted(n[rows_y], -(-n[r] * NUM // DEN), side="left"))
+                    to = int(np.searchsorted(n[rows_y], n[r] * DEN // NUM, side="right"))
+                    if first >= to:
                         continue
-                    rows_x = np.flatnonzero(size == low) + a
-                    x, y = folded[low, low], folded[wide, low]
-                    for i, r in enumerate(rows_x.tolist()):
-                        first = i + 1 if low == wide else 0
-                        to = first + int(np.searchsorted(n[own_rows[first:]], n[r] * DEN // NUM, side="right"))
-                        ys = own_rows[first:to]
-                        ys_ok = comp[ys] != comp[r]
-                        if not ys_ok.any():
-                            continue
-                        ys = ys[ys_ok]
-                        apart = np.bitwise_count(y[first:to][ys_ok] ^ x[i]).sum(1)
-                        near = 7 * apart <= n[ys] + n[r]
-                        if nearest and near.any():
-                            near = [int(np.argmin(np.where(near, apart, 1 << 40)))]
-                        ys = ys[near]
-                        if len(ys):
-                            ends = np.sort(np.column_stack([np.full(len(ys), node[r]), node[ys]]), 1)
-                            found.append(ends)
+                    ys = rows_y[first:to]
+                    apart_from = comp[ys] != comp[r]
+                    if not apart_from.any():
+                        continue
+                    if other > w:
+                        y, own_x = halves[other], x
+                    else:
+                        own_x = x if other == w else x[: len(x) // 2] ^ x[len(x) // 2 :]
+                    ys = ys[apart_from]
+                    apart = np.bitwise_count(y[first:to][apart_from] ^ own_x).sum(1, dtype=np.int64)
+                    near = 7 * apart <= n[ys] + n[r]
+                    if nearest:
+                        if near.any():
+                            k = int(np.argmin(np.where(near, apart, 1 << 40)))
+                            best = min(best or (1 << 40, 0), (int(apart[k]), int(ys[k])))
+                        continue
+                    ys = ys[near]
+                    if len(ys):
+                        found.append(np.sort(np.column_stack([np.full(len(ys), node[r]), node[ys]]), 1))
+                if best is not None:
+                    found.append(np.sort(np.array([[node[r], node[best[1]]]]), 1))
         ab = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.table({"a": ab[:, 0].copy(), "b": ab[:, 1].copy()})
 
-    return rows.groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
+    return dealt.groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_shingles, component_id`` for every row."""
-    spark = documents.sparkSession
+def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Features of every row of ``id, text, h``, and ``k1, k2, comp`` of every set of rows with an id.
+
+    ``comp`` is the smallest id whose set links reach.
+    """
+    spark = docs.sparkSession
     shared_dir(spark)
-    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    small_batches(spark)
     seen = staged(set_features(docs), "features")
     features = seen.where("shingle is null")
     filled = features.where("n > 0 and id is not null")
-    sets_of = staged(filled.groupBy("k1", "k2", "n").agg(F.min("id").alias("node"), F.first("bits").alias("bits")), "sets")
-    sketches = sets_of.select("node", "n", "bits")
+    # ids can repeat with different sets, so a set's own number stands for it until the end
+    by_set = filled.groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "h")).alias("row"), F.first("bits").alias("bits"), F.first("short").alias("short"))
+    sets_of = staged(by_set.select(F.xxhash64("k1", "k2").alias("node"), "k1", "k2", "n", "row.id", "row.h", "bits", "short"), "sets")
+    sketches = sets_of.select("node", "n", "bits", "short")
     keys = filled.agg(F.sum(F.col("n") / 3 + 1)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(1.25 * keys / KEYS_PER_BUCKET))
-    held = key_groups(docs, frequent_shingles(seen), buckets).groupBy("g", "k1", "k2").agg(F.count(F.lit(1)).alias("keys"))
-    members = staged(held.join(sets_of.select("k1", "k2", "node"), ["k1", "k2"]).select("g", "node", "keys"), "members")
+    held = key_groups(docs, *frequent_shingles(seen), buckets)
+    members = staged(held.select("g", F.xxhash64("k1", "k2").alias("node"), "keys"), "members")
 
     # First round: each node to the member that shares most keys, preferring members whose keys are shared widely.
     wide = members.groupBy("node").agg(F.sum("keys").alias("w"))
-    head = F.max(F.struct("w", (-F.col("node")).alias("m"))).over(Window.partitionBy("g"))
-    stars = members.join(wide, "node").select("node", "keys", head.alias("h")).select("node", "keys", (-F.col("h.m")).alias("head"), F.col("h.w").alias("w")).where("node != head")
+    weighed = members.join(wide, "node")
+    heads = weighed.groupBy("g").agg(F.max(F.struct("w", (-F.col("node")).alias("m"))).alias("h"))
+    stars = weighed.join(heads, "g").select("node", "keys", (-F.col("h.m")).alias("head"), F.col("h.w").alias("w")).where("node <> head")
     best = stars.groupBy("node", "head", "w").agg(F.sum("keys").alias("c")).groupBy("node").agg(F.max(F.struct("c", "w", (-F.col("head")).alias("m"))).alias("r"))
     first = best.select(F.col("node").alias("b"), (-F.col("r.m")).alias("a"))
-    links = verified(passed(first, sketches), docs)
+    links = verified(passed(first, sketches), docs, sets_of)
 
     # Then key groups that still hold members of two components: each member's nearest, and then all pairs that are left.
-    of_g = Window.partitionBy("g")
     for nearest in (True, False):
-        joined = members.join(components(links), "node", "left").select("g", "node", F.coalesce("comp", "node").alias("comp"))
-        still = joined.withColumns({"x": F.min("comp").over(of_g), "y": F.max("comp").over(of_g)}).where("x != y").select("g", "node", "comp")
-        members = staged(still, "open")
-        links = links.unionByName(verified(open_pairs(members, sketches, nearest), docs))
-        members = members.drop("comp")
+        still = open_members(members, links)
+        members = still.drop("comp")
+        links = links.unionByName(verified(passed(open_pairs(still, sketches, nearest), sketches), docs, sets_of))
+    comp = components(links)
+    whole = sets_of.join(comp, "node", "left").select("k1", "k2", "id", F.coalesce("comp", "node").alias("comp"))
+    named = whole.groupBy("comp").agg(F.min("id").alias("smallest"))
+    return features, whole.join(named, "comp").select("k1", "k2", F.col("smallest").alias("comp"))
 
+
+def _texts(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+
+
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, n_shingles, component_id`` for every row."""
+    features, sets = set_components(_texts(documents, id_col, text_col))
     # Rows of one id with different sets are one node.
-    by_id = filled.join(sets_of.select("k1", "k2", "node"), ["k1", "k2"]).select("id", "node")
-    same_id = by_id.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count_distinct("node").alias("c")).where("c > 1")
-    id_links = by_id.join(same_id.select("id", "a"), "id").select("a", F.col("node").alias("b"))
-    final = components(links.unionByName(id_links))
-    comp = sets_of.join(final, "node", "left").select("k1", "k2", F.coalesce("comp", "node").alias("comp"))
+    by_id = features.where("n > 0 and id is not null").join(sets.select("k1", "k2", "comp"), ["k1", "k2"]).select("id", "comp")
+    several = by_id.groupBy("id").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).where("a <> z").select("id", "a")
+    merged = components(by_id.join(several, "id").select("a", F.col("comp").alias("b")))
+    comp = sets.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("c")), "comp", "left").select("k1", "k2", F.coalesce("c", "comp").alias("comp"))
     whole = features.select("id", "n", "k1", "k2").join(comp, ["k1", "k2"], "left")
-    # the smallest node of a component is its smallest id
     component = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("comp"))
-    return whole.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    kind = documents.schema[id_col].dataType.simpleString()
+    return whole.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of the smallest id of each near-duplicate group; of equal ids, one row.
+    """One row of each near-duplicate group: that of the smallest id, of equal ids with the smallest hash of the text.
 
-    A row without id is kept.
+    Rows of one id whose texts aren't near copies stay apart; of rows with equal
+    id and text one stays (the smallest of all columns in order). A row without
+    id, and one without words, has no near copies and is kept; copies of the
+    latter with the same id and text are one. Other columns are left as they are
+    whatever their names.
     """
-    groups = near_duplicates(documents.select(id_col, text_col), id_col, text_col)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    chosen = documents.join(kept, id_col, "left_semi")
-    return chosen.dropDuplicates([id_col]).unionByName(documents.where(F.col(id_col).isNull()))
+    features, sets = set_components(_texts(documents, id_col, text_col))
+    rows = features.where("id is not null").select("id", "h", "n", "k1", "k2").join(sets.select("k1", "k2", "comp"), ["k1", "k2"], "left")
+    group = [F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id")), F.col("n") > 0]
+    best = rows.groupBy(*[c.alias(f"_g{i}") for i, c in enumerate(group)]).agg(F.min(F.struct("id", "h")).alias("r"))
+    kept = staged(best.select("r.id", "r.h").distinct(), "kept")
+    marked = documents.withColumns({(own := _unused(documents, "_id")): F.col(id_col).cast("long"), (text := _unused(documents, "_h")): F.xxhash64(text_col)})
+    chosen = marked.join(kept.select(F.col("id").alias(own), F.col("h").alias(text)), [own, text], "left_semi")
+    if rows.join(kept, ["id", "h"], "left_semi").count() > kept.count():
+        chosen = chosen.groupBy(own, text).agg(F.min(F.struct(*documents.columns)).alias("_row")).select("_row.*")
+    return chosen.select(*documents.columns).unionByName(documents.where(F.col(id_col).isNull()))
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
