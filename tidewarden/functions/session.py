@@ -8,17 +8,33 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Most bytes of an Arrow batch between Spark and Python, where the session has no setting of its own.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by BATCH_BYTES unless the session sets a bound itself.
+
+    The default bound (64 MB) is held several times over by each running task.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "67108864", "64MB"):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (single-machine tests), a temporary folder is
-    set as the checkpoint folder and returned.
+    Where a local session (single-machine tests) names none, a temporary folder
+    is set as the checkpoint folder and returned; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewarden-"))
         held = spark.sparkContext.getCheckpointDir()
     return held
