@@ -5,14 +5,15 @@ Aho-Corasick automaton gives the longest vocabulary entry at every byte; the
 encoder takes the longest one that is *compatible* with the token before it
 (no merge that the ordered merge list would have done across the border) and
 steps back where none is. That yields exactly the tokens of the ordered merges
-in linear time. Encoded word groups are remembered per Python worker in a
-bounded table. Decoding gathers bytes for all ids of a chunk at once from one
+in linear time. Short encoded word groups and the answers about pairs are
+remembered per Python worker in tables of bounded bytes. Decoding gathers bytes for all ids of a chunk at once from one
 byte string with an offset per id.
 
 Defined results: a null or empty text has no tokens; every other text is
 encoded whole. Added tokens of the tokenizer file (such as an end-of-text mark)
 are recognised in the text as the library does. Repeated rows are encoded row by
-row; other columns are kept as they are.
+row; an empty table gives an empty table; other columns are kept as they are, but
+for one with the name of the new column, which is replaced.
 """
 
 from __future__ import annotations
@@ -29,12 +30,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+
+from tidewarden.functions.session import small_batches
 
 #: The split before the merges, a fixed value of this tokenizer family.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Word groups remembered by one Python worker.
-REMEMBERED = 150_000
+#: Word groups remembered by one Python worker, the longest one in characters, and the pairs of tokens remembered.
+REMEMBERED, LONGEST, PAIRS = 100_000, 48, 100_000
 
 
 def byte_symbols() -> list[str]:
@@ -96,6 +99,8 @@ class BytePairTable:
         """Whether the ordered merges leave the border between two tokens alone."""
         known = self.fits.get((left, right))
         if known is None:
+            if len(self.fits) >= PAIRS:
+                self.fits.clear()
             known = self.fits[left, right] = self._compatible(left, right)
         return known
 
@@ -167,8 +172,6 @@ class BytePairTable:
         # last blank goes with the word behind it. So with single blanks and line
         # ends, every word with the one before it is encoded alone.
         groups = self.groups
-        if len(groups) > REMEMBERED:
-            groups.clear()
         if not text:
             return b""
         if _TWO_SPACES.search(text):
@@ -205,7 +208,11 @@ class _Groups(dict):
 
     def __missing__(self, key: str) -> bytes:
         whole = key[1:] if key[:1] == "\r" else key if key[:1].isspace() else " " + key
-        value = self[key] = self.table.encode_piece(whole)
+        value = self.table.encode_piece(whole)
+        if len(key) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -227,40 +234,32 @@ def _encoded(texts: pa.Array, table: BytePairTable) -> list[bytes]:
 def bpe_encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Add ``ids_col``: the ids of each whole text as little-endian unsigned 32-bit integers (binary).
 
-    The tokenizer file is read on the driver (its size is that of a vocabulary)
-    and goes to the tasks with the function.
+    A column of that name is replaced. The tokenizer file is read on the driver
+    (its size is that of a vocabulary) and goes to the tasks with the function.
     """
     spec = _tokenizer(df, tokenizer_path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("binary")
+    def encode(texts: pa.Array) -> pa.Array:
         table = table_of(spec.value)
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                ids = pa.array(_encoded(part.column(at), table), pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, ids_col])
+        return pa.array([x for i in range(0, len(texts), 512) for x in _encoded(texts.slice(i, 512), table)], pa.binary())
 
-    schema = StructType([*df.schema.fields]).add(ids_col, "binary")
-    return df.mapInArrow(run, schema)
+    return df.withColumn(ids_col, encode(F.col(text_col)))
 
 
 def bpe_decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """Add ``out_col``: the text of each row of ids; bytes that are no UTF-8 become U+FFFD."""
+    """Add ``out_col``: the text of each row of ids; bytes that are no UTF-8 become U+FFFD, null ids an empty text.
+
+    A column of that name is replaced.
+    """
     spec = _tokenizer(df, tokenizer_path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = table_of(spec.value)
-        for batch in batches:
-            at = batch.schema.get_field_index(ids_col)
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                raw = pc.fill_null(part.column(at), b"").to_pylist()
-                texts = pa.array([b.decode("utf-8", "replace") for b in decode_rows(raw, table)], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, out_col])
+    @F.arrow_udf("string")
+    def decode(ids: pa.Array) -> pa.Array:
+        raw = pc.fill_null(ids, b"").to_pylist()
+        return pa.array([b.decode("utf-8", "replace") for b in decode_rows(raw, table_of(spec.value))], pa.string())
 
-    schema = StructType([*df.schema.fields]).add(out_col, "string")
-    return df.mapInArrow(run, schema)
+    return df.withColumn(out_col, decode(F.col(ids_col)))
 
 
 def decode_rows(rows: list[bytes], table: BytePairTable, limit: int = 1 << 19) -> Iterator[bytes]:
@@ -280,6 +279,7 @@ def decode_rows(rows: list[bytes], table: BytePairTable, limit: int = 1 << 19) -
 
 
 def _tokenizer(df: DataFrame, path: str):
+    small_batches(df.sparkSession)
     with open(path, encoding="utf-8") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 

@@ -14,8 +14,9 @@ the driver are one more than the named weights at most.
 
 Defined results: sizes count UTF-8 bytes plus one, so empty and null texts take
 part; equal ids have equal counts; a group without rows has no share of the
-weights; an empty table gives an empty table; clashing extra columns are the
-caller's to rename (``copies``, ``copy``, ``rate``, ``shuffle_key`` are added).
+weights; an empty table gives an empty table. ``mix_sources`` adds ``rate``,
+``copies``, ``copy`` and ``shuffle_key`` and replaces columns of these names;
+``mixed_rows`` returns the input's columns alone, all with their own values.
 """
 
 from __future__ import annotations
@@ -72,21 +73,42 @@ def source_rates(df: DataFrame, weights: dict[str, float], other_weight: float =
     return {s: epochs * (weight[s] / share) * total / size[s] if share else 0.0 for s in size}
 
 
+def _unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def mix_sources(df: DataFrame, weights: dict[str, float], other_weight: float = 0.0, epochs: float = 1.0, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Repeat rows so that each source's expected bytes follow its weight, and shuffle.
 
     Adds ``rate``, ``copies``, ``copy`` (from 0) and ``shuffle_key``.
     """
+    mixed, added = _mixed(df, weights, other_weight, epochs, seed, id_col, source_col, text_col)
+    own = [c for c in df.columns if c not in added]
+    return mixed.select(*own, *[F.col(held).alias(name) for name, held in added.items()])
+
+
+def mixed_rows(df: DataFrame, weights: dict[str, float], other_weight: float = 0.0, epochs: float = 1.0, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The rows of ``mix_sources`` with the columns of ``df`` only."""
+    return _mixed(df, weights, other_weight, epochs, seed, id_col, source_col, text_col)[0].select(*df.columns)
+
+
+def _mixed(df: DataFrame, weights: dict[str, float], other_weight: float, epochs: float, seed: str, id_col: str, source_col: str, text_col: str) -> tuple[DataFrame, dict[str, str]]:
+    """The repeated and shuffled rows, and the names under which the added columns are held."""
     rates = source_rates(df, weights, other_weight, epochs, source_col, text_col)
     rate, copies = F.lit(0.0), F.lit(0)
     for source, mean in rates.items():
         same = F.col(source_col) == source if source is not None else ~F.coalesce(F.col(source_col).isin(*weights), F.lit(False))
         rate = F.when(same, F.lit(mean)).otherwise(rate)
         copies = F.when(same, poisson_count(mean, seed, F.col(id_col))).otherwise(copies)
+    added = {name: _unused(df, f"_{name}") for name in ("rate", "copies", "copy", "shuffle_key")}
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(added["copy"]).cast("string")))
     repeated = (
-        df.withColumns({"rate": rate, "copies": copies})
-        .where("copies > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-        .withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy").cast("string"))))
+        df.withColumns({added["rate"]: rate, added["copies"]: copies})
+        .where(F.col(added["copies"]) > 0)
+        .withColumn(added["copy"], F.explode(F.sequence(F.lit(0), F.col(added["copies"]) - 1)))
+        .withColumn(added["shuffle_key"], key)
     )
-    return repeated.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return repeated.repartition(added["shuffle_key"]).sortWithinPartitions(added["shuffle_key"]), added

@@ -11,7 +11,9 @@ random-access points. Packets are handled as rows of a numpy array.
 Defined results: a null text is an empty text; a payload is padded with bytes 0
 to a positive multiple of 64, so equal texts have equal streams and no stream is
 empty. ``demultiplex`` raises ``ValueError`` on lost synchronisation, missing or
-damaged tables, and ``read_streams`` turns that into ``error`` with null values.
+damaged tables or packet heads, and ``read_streams`` turns that into ``error``
+with null values. Repeated rows are stored row by row; an empty table gives an
+empty table; other columns are kept, but for those with the names of new ones.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+
+from tidewarden.functions.session import small_batches
 
 PACKET = 188
 #: Payload bytes of an access unit; every RANDOM_ACCESS-th one is a random-access point.
@@ -156,12 +160,14 @@ def demultiplex(media: bytes) -> Demultiplexed:
     skip = 12 + (int.from_bytes(table[10:12], "big") & 0x0FFF)
     stream_pid = int.from_bytes(table[skip + 1 : skip + 3], "big") & 0x1FFF
     own = rows[pid == stream_pid]
+    if skip + 5 > len(table) or not len(own):
+        raise ValueError("no elementary stream")
     control = own[:, 3]
     has_data, has_fields = control & 0x10 > 0, control & 0x20 > 0
     counters = (control & 15)[has_data].astype(np.int64)
     errors = int((np.diff(counters) % 16 != 1).sum())
     start = 4 + np.where(has_fields, own[:, 4].astype(np.int64) + 1, 0)
-    start = np.where(has_data, start, PACKET)
+    start = np.minimum(np.where(has_data, start, PACKET), PACKET)
     first = own[:, 1] & 0x40 > 0
     marks = has_fields & (own[:, 4] > 0) & (own[:, 5] & 0x40 > 0)
     data = own[np.arange(PACKET) >= start[:, None]].tobytes()
@@ -169,8 +175,8 @@ def demultiplex(media: bytes) -> Demultiplexed:
     begins = before[first].tolist()
     payload, times, random_access = [], [], []
     for k, (a, b, mark) in enumerate(zip(begins, [*begins[1:], len(data)], marks[first].tolist(), strict=True)):
-        if data[a : a + 3] != b"\x00\x00\x01":
-            raise ValueError("no packet start")
+        if data[a : a + 3] != b"\x00\x00\x01" or b - a < 9 or b - a < 9 + data[a + 8] or data[a + 8] < 5 or not data[a + 7] & 0x80:
+            raise ValueError("damaged packet start")
         size = int.from_bytes(data[a + 4 : a + 6], "big")
         p = data[a + 9 : a + 14]
         times.append((p[0] >> 1 & 7) << 30 | p[1] << 22 | (p[2] >> 1) << 15 | p[3] << 7 | p[4] >> 1)
@@ -197,23 +203,21 @@ def feature(read: Demultiplexed) -> str:
 
 
 def store_streams(df: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:
-    """Add ``media_col``, the transport stream of each text."""
-    at = df.columns.index(text_col)
+    """Add ``media_col``, the transport stream of each text (a column of that name is replaced)."""
+    small_batches(df.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                media = [multiplex(padded(t)[1]) for t in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(media, pa.binary())], [*part.schema.names, media_col])
+    @F.arrow_udf("binary")
+    def store(texts: pa.Array) -> pa.Array:
+        return pa.array([multiplex(padded(t)[1]) for i in range(0, len(texts), 256) for t in texts.slice(i, 256).to_pylist()], pa.binary())
 
-    return df.mapInArrow(run, StructType([*df.schema.fields]).add(media_col, "binary"))
+    return df.withColumn(media_col, store(F.col(text_col)))
 
 
 def read_streams(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """Add ``payload``, ``times`` (90 kHz), ``random_access``, ``continuity_errors`` and ``error``."""
-    at = df.columns.index(media_col)
-    new = "payload binary, times array<long>, random_access array<int>, continuity_errors int, error string"
+    """Add ``payload``, ``times`` (90 kHz), ``random_access``, ``continuity_errors`` and ``error`` (columns of these names are replaced)."""
+    small_batches(df.sparkSession)
+    names = ["payload", "times", "random_access", "continuity_errors", "error"]
+    kinds = [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.string()]
 
     def one(media: bytes | None) -> tuple:
         try:
@@ -222,16 +226,17 @@ def read_streams(df: DataFrame, media_col: str = "media") -> DataFrame:
             return None, None, None, None, str(e)
         return read.payload, read.times, read.random_access, read.continuity_errors, None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.string()]
-        names = ["payload", "times", "random_access", "continuity_errors", "error"]
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                values = list(zip(*[one(m) for m in part.column(at).to_pylist()], strict=True))
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(v, k) for v, k in zip(values, kinds, strict=True))], [*part.schema.names, *names])
+    @F.arrow_udf("payload binary, times array<bigint>, random_access array<int>, continuity_errors int, error string")
+    def read(media: pa.Array) -> pa.Array:
+        values = [one(m) for i in range(0, len(media), 256) for m in media.slice(i, 256).to_pylist()]
+        columns = list(zip(*values, strict=True)) or [()] * len(names)
+        return pa.StructArray.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names)
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, *StructType.fromDDL(new).fields]))
+    held = "_read"
+    while held in df.columns:
+        held += "_"
+    out = df.withColumn(held, read(F.col(media_col)))
+    return out.withColumns({name: F.col(held)[name] for name in names}).drop(held)
 
 
 def media_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,6 +258,7 @@ def media_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 values = zip(*[one(t) for t in part.column(1).to_pylist()], strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, k) for v, k in zip(values, kinds, strict=True))], ["id", *names])
 
+    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return df.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)

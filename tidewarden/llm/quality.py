@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewarden.functions.session import shared_dir
+from tidewarden.functions.session import shared_dir, small_batches
 from tidewarden.llm.textscan import rows_of, text_chunks, words
 
 #: Upper bound of labelled rows that a fit reads.
@@ -178,6 +178,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame, learn_from: Column |
     and serve both the fit and the scores.
     """
     shared_dir(documents.sparkSession)
+    small_batches(documents.sparkSession)
     stats = document_statistics(documents, id_col, text_col).checkpoint()
     forest = _fitted(stats, labels, learn_from, id_col, label_col, max_labelled)
 
@@ -192,13 +193,13 @@ def quality_scores(documents: DataFrame, labels: DataFrame, learn_from: Column |
 
 
 def keep_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, learn_from: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """The rows whose score is ``threshold`` or more, whole and without a shuffle of texts."""
+    """The rows whose score is ``threshold`` or more, whole and without a shuffle of texts; only texts go to Python."""
+    small_batches(documents.sparkSession)
     forest = _fitted(document_statistics(documents, id_col, text_col), labels, learn_from, id_col, label_col, max_labelled)
-    at = documents.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, data, off in text_chunks(batch.column(at)):
-                yield batch.slice(i, j - i).filter(pa.array(forest.score(_statistics(data, off)) >= threshold))
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        parts = [forest.score(_statistics(data, off)) >= threshold for _, _, data, off in text_chunks(texts)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0, bool))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.where(good(F.col(text_col)))

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewarden.llm import ann, bpe, html_extract, jaccard, lm, mixing, mpegts, quality, sharding, unigram
 
-#: Folder of the public tokenizer files.
-TOKENIZERS = os.environ.get("TIDEWARDEN_TOKENIZERS", "/opt/tokenizers")
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
-PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+#: Public tokenizer files.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +24,10 @@ def _crc_of_id(modulus: int):
 
 
 def op1_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality score of every document; labels with remainder 1 are held out."""
+    """Quality score of every document; labels with remainder 1 are held out (a null id isn't)."""
     scores = quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learn_from=_crc_of_id(3) != 1)
-    return scores.select("doc_id", (_crc_of_id(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    held_out = F.coalesce(_crc_of_id(3) == 1, F.lit(False))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

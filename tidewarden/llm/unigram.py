@@ -7,15 +7,16 @@ model: at equal score the piece that starts first stays; a character that no
 one-character piece covers may be an unknown with the lowest score less 10,
 counted as its UTF-8 bytes where the vocabulary has byte pieces, else runs of
 unknowns count once. Words (a blank and what follows it) are segmented on their
-own, as the library's Metaspace splitter does, and remembered in a bounded table
-in each Python worker.
+own, as the library's Metaspace splitter does, and remembered, if short, in a
+bounded table in each Python worker.
 
 The vocabulary comes from a piece file. Such a file may hold merge ranks and no
 log probabilities; ``zipf`` scores then take the piece of rank r as having
 probability 1 / (r * H), with H the harmonic number of the vocabulary's size.
 
 Defined results: a null or empty text has no tokens; a text is segmented whole
-whatever its length. Repeated rows are counted row by row.
+whatever its length. Repeated rows are counted row by row; an empty table gives
+an empty table; other columns are kept, but for one with the name of the count.
 """
 
 from __future__ import annotations
@@ -26,12 +27,15 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidewarden.functions.session import small_batches
 
 SPACE = chr(0x2581)
 #: Score of an unknown character below the lowest score of the vocabulary, a fixed value of the library.
 UNKNOWN_PENALTY = 10.0
-#: Words remembered by one Python worker.
-REMEMBERED = 500_000
+#: Words remembered by one Python worker, and the longest one in characters.
+REMEMBERED, LONGEST = 250_000, 48
 #: Piece types of the file format (fixed values): normal, unknown, control, user-defined, unused, byte.
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 
@@ -139,8 +143,6 @@ class UnigramCounter:
         """Tokens of a whole text."""
         if not text:
             return 0
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
         parts = text.replace(SPACE, " ").split(" ")
         return sum(map(self.words.__getitem__, parts[1:] if parts[0] == "" else parts))
 
@@ -151,7 +153,11 @@ class _Words(dict):
         self.counter = counter
 
     def __missing__(self, word: str) -> int:
-        value = self[word] = self.counter.count_word(SPACE + word)
+        value = self.counter.count_word(SPACE + word)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -159,22 +165,17 @@ _loaded: dict[int, UnigramCounter] = {}
 
 
 def count_tokens(df: DataFrame, vocabulary: list[tuple[str, float]], text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
-    """Add ``out_col``, the number of tokens of each whole text. No shuffle."""
+    """Add ``out_col``, the number of tokens of each whole text (a column of that name is replaced). No shuffle."""
+    small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(vocabulary)
-    at = df.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
         vocabulary = held.value
         key = hash(tuple(vocabulary))
         if key not in _loaded:
             _loaded[key] = UnigramCounter(vocabulary)
         counter = _loaded[key]
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                counts = [counter.count(t or "") for t in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64())], [*part.schema.names, out_col])
-
-    from pyspark.sql.types import LongType, StructField, StructType
+        return pa.array([counter.count(t or "") for i in range(0, len(texts), 512) for t in texts.slice(i, 512).to_pylist()], pa.int64())
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out_col, LongType())]))
+    return df.withColumn(out_col, count(F.col(text_col)))
