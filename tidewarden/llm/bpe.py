@@ -36,8 +36,10 @@ from tidewarden.functions.session import small_batches
 
 #: The split before the merges, a fixed value of this tokenizer family.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Word groups remembered by one Python worker, the longest one in characters, and the pairs of tokens remembered.
-REMEMBERED, LONGEST, PAIRS = 100_000, 48, 100_000
+#: Word groups remembered by one Python worker, and the longest one in characters.
+REMEMBERED, LONGEST = 150_000, 48
+#: Places for remembered answers about pairs of tokens (9 bytes each); a newer pair takes the place of an older one.
+PAIRS = 1 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -70,15 +72,17 @@ class BytePairTable:
             self.split[whole] = (left, right)
             self.merged[left, right] = whole
             self.rank[whole] = r
-        self.length = {i: len(t) for i, t in text.items()}
         by_text = {t: i for i, t in text.items()}
-        #: next shorter vocabulary entry that a token starts with
-        self.shorter = {i: next((by_text[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in by_text), -1) for i, t in text.items()}
+        #: length, and next shorter vocabulary entry that a token starts with, by id
+        self.length, self.shorter = ([0] * (max(text) + 1) for _ in range(2))
+        for i, t in text.items():
+            self.length[i] = len(t)
+            self.shorter[i] = next((by_text[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in by_text), -1)
         self.automaton = ahocorasick.Automaton()
         for t, i in by_text.items():
             self.automaton.add_word(t, (len(t), i))
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.pairs, self.fits = array("q", [-1]) * PAIRS, bytearray(PAIRS)
         added = {a["content"]: a["id"] for a in spec.get("added_tokens", ())}
         if any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in spec.get("added_tokens", ())):
             raise ValueError("added tokens that take white space are not supported")
@@ -97,12 +101,12 @@ class BytePairTable:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the ordered merges leave the border between two tokens alone."""
-        known = self.fits.get((left, right))
-        if known is None:
-            if len(self.fits) >= PAIRS:
-                self.fits.clear()
-            known = self.fits[left, right] = self._compatible(left, right)
-        return known
+        pair = left << 32 | right
+        place = (left * 40_503 + right) & (PAIRS - 1)
+        if self.pairs[place] != pair:
+            self.fits[place] = self._compatible(left, right)
+            self.pairs[place] = pair
+        return self.fits[place] == 1
 
     def _compatible(self, left: int, right: int) -> bool:
         # Undo merges on both sides from the latest to the earliest. A merge across
@@ -126,7 +130,7 @@ class BytePairTable:
         longest = [0] * (n + 1)
         for end, (size, token) in self.automaton.iter(raw):
             longest[end - size + 1] = token
-        length, shorter, fits = self.length, self.shorter, self.fits
+        length, shorter, pairs, fits, compatible = self.length, self.shorter, self.pairs, self.fits, self.compatible
         out: list[int] = []
         last = -1
         dead: set[int] = set()
@@ -137,8 +141,8 @@ class BytePairTable:
                 if end not in dead:
                     if last < 0:
                         break
-                    fit = fits.get((last, token))
-                    if fit or (fit is None and self.compatible(last, token)):
+                    place = (last * 40_503 + token) & (PAIRS - 1)
+                    if fits[place] if pairs[place] == (last << 32 | token) else compatible(last, token):
                         break
                 token = shorter[token]
             if token >= 0:
@@ -247,6 +251,27 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_c
     return df.withColumn(ids_col, encode(F.col(text_col)))
 
 
+def bpe_round_trip(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", same_col: str = "round_trip") -> DataFrame:
+    """``bpe_encode``, and in the same pass ``same_col``: whether decoding the ids gives the text back (null: empty)."""
+    spec = _tokenizer(df, tokenizer_path)
+
+    @F.arrow_udf("ids binary, same boolean")
+    def encode(texts: pa.Array) -> pa.Array:
+        table = table_of(spec.value)
+        ids, same = [], []
+        for i in range(0, len(texts), 512):
+            part = texts.slice(i, 512)
+            ids += (encoded := _encoded(part, table))
+            same += [raw == (t or "").encode() for raw, t in zip(decode_rows(encoded, table), part.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(same, pa.bool_())], ["ids", "same"])
+
+    held = "_encoded"
+    while held in df.columns:
+        held += "_"
+    out = df.withColumn(held, encode(F.col(text_col)))
+    return out.withColumns({ids_col: F.col(held)["ids"], same_col: F.col(held)["same"]}).drop(held)
+
+
 def bpe_decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Add ``out_col``: the text of each row of ids; bytes that are no UTF-8 become U+FFFD, null ids an empty text.
 
