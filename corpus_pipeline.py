@@ -44,9 +44,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, and whether decoding them gives the text back."""
-    encoded = bpe.bpe_decode(bpe.bpe_encode(docs, BYTE_BPE), BYTE_BPE)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return encoded.select("doc_id", "lang", "source", "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"), same.alias("round_trip"))
+    encoded = bpe.bpe_round_trip(docs.select("doc_id", "lang", "source", "text"), BYTE_BPE)
+    return encoded.select("doc_id", "lang", "source", "ids", (F.length("ids") / 4).cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES = [("quality classifier", quality_stage), ("near duplicates", near_duplicate_stage), ("mixing", mixing_stage), ("bpe", bpe_stage)]
