@@ -335,20 +335,24 @@ def weights_of(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
 def token_weights(found: list[Token], weights: dict[str, float]) -> list[float]:
     """The weight of each token; left-out ones have none."""
     named = any(kind == "t" and own in ("article", "main") and not out for kind, own, _, out in found)
-    depth = 0
+    opened: list[str] = []
     result = []
     for kind, own, text, out in found:
         if out:
             result.append(0.0)
         elif kind == "t":
             if text in ("article", "main"):
-                depth = max(0, depth + (1 if own == text else -1))
+                if own == text:
+                    opened.append(text)
+                elif text in opened:
+                    while opened.pop() != text:  # an element ends those inside it that were never closed
+                        pass
                 result.append(weights.get(own, 0.0) if own == text else 0.0)
             else:
                 result.append(0.0 if named else weights.get(own, TEXT_TAG if own in TEXT_TAGS else UNSEEN_TAG))
         else:
             if named:
-                weight = weights[INSIDE if depth else OUTSIDE]
+                weight = weights[INSIDE if opened else OUTSIDE]
             else:
                 weight = weights.get(own, UNSEEN_TAG if own.endswith(" a") else UNSEEN_WORD)
             result.append(len(text.split()) * weight)
