@@ -336,6 +336,7 @@ def token_weights(found: list[Token], weights: dict[str, float]) -> list[float]:
     """The weight of each token; left-out ones have none."""
     named = any(kind == "t" and own in ("article", "main") and not out for kind, own, _, out in found)
     opened: list[str] = []
+    held = Counter()
     result = []
     for kind, own, text, out in found:
         if out:
@@ -344,9 +345,12 @@ def token_weights(found: list[Token], weights: dict[str, float]) -> list[float]:
             if text in ("article", "main"):
                 if own == text:
                     opened.append(text)
-                elif text in opened:
-                    while opened.pop() != text:  # an element ends those inside it that were never closed
-                        pass
+                    held[text] += 1
+                elif held[text]:
+                    while True:  # an element ends those inside it that were never closed
+                        held[last := opened.pop()] -= 1
+                        if last == text:
+                            break
                 result.append(weights.get(own, 0.0) if own == text else 0.0)
             else:
                 result.append(0.0 if named else weights.get(own, TEXT_TAG if own in TEXT_TAGS else UNSEEN_TAG))
