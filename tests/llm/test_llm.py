@@ -294,3 +294,13 @@ def test_bpe(spark, odd, empty):
 
 def test_registered_queries():
     assert {n.split("_")[0] for n in queries()} == {f"op{k}" for k in range(1, 11)}
+
+
+def test_lm_splits_hot_pairs(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").where("doc_id % 2 = 0")
+    whole = {r["doc_id"]: r["score"] for r in lm.score_texts(docs, F.col("id") % 10 == 0).collect()}
+    monkeypatch.setattr(lm, "TOKENS_PER_SHARD", 400)
+    pairs, made = lm._split_pairs, []
+    monkeypatch.setattr(lm, "_split_pairs", lambda *a: made.append(pairs(*a)) or made[-1])
+    split = {r["doc_id"]: r["score"] for r in lm.score_texts(docs, F.col("id") % 10 == 0).collect()}
+    assert split == pytest.approx(whole, rel=1e-9) and made[0].count() > 10

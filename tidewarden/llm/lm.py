@@ -10,8 +10,10 @@ Counts come from the rows that aren't held out, without thresholds. Tokens are
 hashes of words, then one end token; two start tokens stand in front.
 
 N-grams are dealt to shards by their last word, or by their last two words where
-the last one is frequent, so no word gathers its occurrences in one task. A shard
-holds all occurrences of its (v, w) and knows c(v w) and c(u v w); c(w) is known
+the last one is frequent, so no word gathers its occurrences in one task; word
+pairs that may be too many for one shard are split further by the word in front
+of them, and their exact counts c(v w) are counted beforehand and sent to all
+their shards. A shard knows c(v w) and c(u v w) of its n-grams; c(w) is known
 there for all other words, and for the frequent ones from a list with a fixed
 bound. The list only saves space: a word in front that isn't on it is looked up
 in the counts of all words, once for each shard that needs it, and its exact c(v)
@@ -23,29 +25,36 @@ of all nodes of a level are one monotone sequence (node number times the range o
 the ids, plus id), so one successor search finds a child of any node. Level three
 is context-relative: u is stored as its place among the words seen before v.
 Smoothed probabilities are quantised, downwards, to 16 bits in the log domain.
-The levels lie in one memory map. A shard scores the occurrences of all rows, and
-the partial sums of each run of rows are added up by run.
+The levels lie in one anonymous memory map, in packed form: a search goes through
+the sorted questions and a sampled directory, and unpacks only the parts of the
+sequence that questions fall into, one at a time. (The map isn't a file: shards
+are built and used in one task, and executors share no folder that could be
+mapped.) A shard scores the occurrences of all rows, and the partial sums of each
+run of rows are added up by run.
 
 Defined results: a null or empty text is scored as the end token alone; a row
 whose held-out flag is null is learned from; repeated ids are scored row by row
 (and learned from as often); an empty table gives an empty table; without
-training rows every token is unknown, and the score is the base score.
+training rows every token is unknown, and the score is the base score. Other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 import mmap
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewarden.functions.session import shared_dir, staged
+from tidewarden.functions.session import shared_dir, small_batches, staged
 from tidewarden.llm.textscan import mix, text_chunks, words
 
 #: Smoothing weights of bigrams and trigrams.
@@ -68,12 +77,14 @@ LOWEST, STEP = -45.0, 90.0 / 65_535
 
 @dataclass
 class EliasFano:
-    """A monotone sequence: low bits packed, high bits as a unary bit vector."""
+    """A monotone sequence: low bits packed, high bits as a unary bit vector, and a directory of the first value and high bit of every _PART values."""
 
     n: int
     low_bits: int
     low: np.ndarray
     high: np.ndarray
+    first: np.ndarray
+    starts: np.ndarray
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -85,27 +96,65 @@ class EliasFano:
         high = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         unary = np.zeros(int(high[-1]) + 1 if n else 0, np.uint8)
         unary[high] = 1
-        return cls(n, low_bits, np.concatenate(low) if low else np.zeros(0, np.uint8), np.packbits(unary))
+        return cls(n, low_bits, np.concatenate(low) if low else np.zeros(0, np.uint8), np.packbits(unary), values[::_PART].copy(), np.append(high[::_PART], high[-1:] + 1).astype(np.int64))
+
+    def part(self, k: int) -> np.ndarray:
+        """The values from number k * _PART on, _PART at most."""
+        at = k * _PART
+        size = min(_PART, self.n - at)
+        begin, end = int(self.starts[k]), int(self.starts[k + 1])
+        bits = np.unpackbits(self.high[begin // 8 : -(-end // 8)])[begin % 8 :]
+        out = (np.flatnonzero(bits)[:size] + begin - np.arange(at, at + size)).astype(np.uint64) << np.uint64(self.low_bits)
+        if self.low_bits:
+            whole = _PART * self.low_bits // 8
+            packed = np.unpackbits(self.low[k * whole : (k + 1) * whole])[: size * self.low_bits].reshape(size, self.low_bits)
+            wide = np.zeros((size, 64), np.uint8)
+            wide[:, 64 - self.low_bits :] = packed
+            out |= np.packbits(wide, axis=1).view(">u8").ravel().astype(np.uint64)
+        return out
+
+    def parts(self) -> int:
+        return -(-self.n // _PART)
 
     def decode(self) -> np.ndarray:
-        """All values, for a pass of successor searches."""
-        out = (np.flatnonzero(np.unpackbits(self.high))[: self.n] - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        size = _PART * self.low_bits // 8
-        for k, i in enumerate(range(0, self.n, _PART) if self.low_bits else ()):
-            part = out[i : i + _PART]
-            bits = np.unpackbits(self.low[k * size : (k + 1) * size])[: len(part) * self.low_bits].reshape(len(part), self.low_bits)
-            wide = np.zeros((len(part), 64), np.uint8)
-            wide[:, 64 - self.low_bits :] = bits
-            part |= np.packbits(wide, axis=1).view(">u8").ravel().astype(np.uint64)
+        """All values."""
+        return np.concatenate([np.zeros(0, np.uint64), *(self.part(k) for k in range(self.parts()))])
+
+    def get(self, places: np.ndarray) -> np.ndarray:
+        """The values at some places."""
+        out = np.zeros(len(places), np.uint64)
+        of = places // _PART
+        for k in np.unique(of).tolist():
+            here = of == k
+            out[here] = self.part(k)[places[here] - k * _PART]
         return out
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of the first value that isn't smaller, and whether it is equal."""
-        return successors(self.decode(), wanted)
-
-
-#: Values that are packed at a time; a multiple of 8.
-_PART = 1 << 16
+        """Place of the first value that isn't smaller (the last place where there is none), and whether it is equal."""
+        wanted = wanted.astype(np.uint64)
+        at, same = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        if not self.n:
+            return at, same
+        order = _rough_order(wanted)
+        asked = wanted[order]
+        # the last part that begins with no more than the question, in whose reach its successor lies (or at the next one's begin)
+        of = np.maximum(np.searchsorted(self.first, asked, side="right") - 1, 0)
+        place, equal = np.empty(len(asked), np.int64), np.empty(len(asked), bool)
+        by = np.argsort(of, kind="stable")
+        cut = np.searchsorted(of[by], np.arange(self.parts() + 1))
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            here = by[cut[k] : cut[k + 1]]
+            values = self.part(k)
+            found = np.searchsorted(values, asked[here])
+            equal[here] = values[np.minimum(found, len(values) - 1)] == asked[here]
+            place[here] = np.minimum(found + k * _PART, self.n - 1)
+        at[order] = place
+        same[order] = equal
+        return at, same
+
+
+#: Values that are packed and unpacked at a time; a multiple of 8.
+_PART = 1 << 15
 
 
 def _low_bits(values: np.ndarray, low_bits: int) -> np.ndarray:
@@ -156,22 +205,30 @@ def from_codes(codes: np.ndarray) -> np.ndarray:
 class NgramTrie:
     """Levels over (w, v, u) with quantised values, in one memory map."""
 
-    def __init__(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, p1, context) -> None:
-        """From training occurrences. ``p1(words)`` and ``context(words)`` give p1 and c(v)."""
-        self.vocabulary = EliasFano.build(distinct(np.concatenate([u, v, w]))[0])
+    def __init__(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, p1, context, split: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> None:
+        """From training occurrences. ``p1(words)`` and ``context(words)`` give p1 and c(v).
+
+        ``split`` has v, w and c(v w) of the pairs of which other shards hold a part.
+        """
+        split_v, split_w, split_c = split or (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.vocabulary = EliasFano.build(distinct(np.concatenate([u, v, w, split_v, split_w]))[0])
         size = max(self.vocabulary.n, 1)
         self.size = np.uint64(size)
         held = self.vocabulary.decode()
         uid, vid, wid = (successors(held, x)[0].astype(np.uint64) for x in (u, v, w))
         pair = wid * self.size + vid
-        pairs, c2 = distinct(pair)
+        apart = successors(held, split_w)[0].astype(np.uint64) * self.size + successors(held, split_v)[0].astype(np.uint64)
+        pairs = distinct(np.concatenate([pair, apart]))[0]
+        c2 = np.zeros(len(pairs), np.int64)
+        own, c_own = distinct(pair)
+        c2[successors(pairs, own)[0]] = c_own
+        c2[successors(pairs, apart)[0]] = split_c
         of_pair = successors(pairs, pair)[0]
         self.pairs = EliasFano.build(pairs)
         before = distinct(vid * self.size + uid)[0]
         self.before = EliasFano.build(before)
         # place of u among the words before v: distance from the first word before v
-        first = np.searchsorted(before, np.arange(size, dtype=np.uint64) * self.size)
-        place = successors(before, vid * self.size + uid)[0] - first[vid.astype(np.int64)]
+        place = successors(before, vid * self.size + uid)[0] - successors(before, vid * self.size)[0]
         self.places = np.uint64(int(place.max()) + 1 if len(place) else 1)
         triples, c3 = distinct(of_pair.astype(np.uint64) * self.places + place.astype(np.uint64))
         self.triples = EliasFano.build(triples)
@@ -182,7 +239,8 @@ class NgramTrie:
         self._map()
 
     def _map(self) -> None:
-        parts = [a for level in (self.vocabulary, self.pairs, self.before, self.triples) for a in (level.low, level.high)] + list(self.values.values())
+        levels = (self.vocabulary, self.pairs, self.before, self.triples)
+        parts = [a for level in levels for a in (level.low, level.high, level.first, level.starts)] + list(self.values.values())
         sizes = [-(-a.nbytes // 8) * 8 for a in parts]
         self.memory = mmap.mmap(-1, max(sum(sizes), 1))
         views, at = [], 0
@@ -191,9 +249,9 @@ class NgramTrie:
             np.copyto(np.frombuffer(memoryview(self.memory)[at : at + a.nbytes], a.dtype), a)
             views.append(view)
             at += size
-        for level in (self.vocabulary, self.pairs, self.before, self.triples):
-            level.low, level.high = views[0], views[1]
-            views = views[2:]
+        for level in levels:
+            level.low, level.high, level.first, level.starts = views[:4]
+            views = views[4:]
         self.values = dict(zip(self.values, views, strict=True))
 
     @property
@@ -202,8 +260,7 @@ class NgramTrie:
 
     def logs(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, p1, context) -> tuple[np.ndarray, np.ndarray]:
         """ln of the numerator of p3, and ln of the weight c(v w) + M3, for each n-gram."""
-        held = self.vocabulary.decode()
-        (uid, u_known), (vid, v_known), (wid, w_known) = (successors(held, x) for x in (u, v, w))
+        (uid, u_known), (vid, v_known), (wid, w_known) = (self.vocabulary.find(x) for x in (u, v, w))
         uid, vid, wid = (x.astype(np.uint64) for x in (uid, vid, wid))
         pair, seen = self.pairs.find(wid * self.size + vid)
         seen &= v_known & w_known
@@ -216,10 +273,9 @@ class NgramTrie:
         out = low + math.log(M3)
         ask = np.flatnonzero(seen & u_known)
         if len(ask):
-            before = self.before.decode()
-            first = np.searchsorted(before, np.arange(int(self.size), dtype=np.uint64) * self.size)
-            at, same = successors(before, vid[ask] * self.size + uid[ask])
-            place = (at - first[vid[ask].astype(np.int64)])[same].astype(np.uint64)
+            at, same = self.before.find(vid[ask] * self.size + uid[ask])
+            first, _ = self.before.find(vid[ask] * self.size)
+            place = (at - first)[same].astype(np.uint64)
             ask = ask[same]
             triple, found = self.triples.find(pair[ask].astype(np.uint64) * self.places + place)
             out[ask[found]] = from_codes(self.values["top"][triple[found]])
@@ -275,6 +331,14 @@ class Frequent:
     word: np.ndarray
     rank: np.ndarray
     count: np.ndarray
+    #: occurrences of the end token, and so of the start; tokens of a shard
+    ends: int
+    per_shard: int
+
+    @property
+    def ample(self) -> bool:
+        """Whether some word alone could fill more than one shard."""
+        return bool(len(self.count)) and max(float(self.count.max()), self.ends) > self.per_shard
 
     def codes(self, h: np.ndarray) -> np.ndarray:
         """Rank on the list, _START_CODE, or _ESCAPE."""
@@ -294,9 +358,22 @@ def _before(tokens: np.ndarray, per_row: np.ndarray) -> tuple[np.ndarray, np.nda
     return u, v
 
 
-def _shard_of(v: np.ndarray, w: np.ndarray, cw: np.ndarray, shards: int) -> np.ndarray:
-    by = np.where(cw == _ESCAPE, w, mix(w + mix(v)))
-    return ((mix(by) >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
+def _splits(cv: np.ndarray, cw: np.ndarray, frequent: Frequent) -> np.ndarray:
+    """How many shards a pair of words (codes) is split into: the rarer word's count over a shard's size; 1 where a word isn't on the list."""
+    count = np.append(frequent.count, np.zeros(65_536 - len(frequent.count)))
+    count[_START_CODE] = frequent.ends
+    most = np.minimum(count[cv], count[cw])
+    return np.maximum(np.ceil(most / frequent.per_shard), 1).astype(np.uint64)
+
+
+def _pair_shard(v: np.ndarray, w: np.ndarray, sub: np.ndarray, shards: int) -> np.ndarray:
+    by = mix(w + mix(v))
+    return ((mix(np.where(sub > 0, mix(by + sub), by)) >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
+
+
+def _shard_of(u: np.ndarray, v: np.ndarray, w: np.ndarray, cv: np.ndarray, cw: np.ndarray, frequent: Frequent, shards: int) -> np.ndarray:
+    sub = mix(u ^ END) % _splits(cv, cw, frequent) if frequent.ample else np.zeros(len(w), np.uint64)
+    return np.where(cw == _ESCAPE, ((mix(w) >> np.uint64(20)) % np.uint64(shards)).astype(np.int32), _pair_shard(v, w, sub, shards))
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -327,12 +404,13 @@ def _context_counts(rows: DataFrame, vocabulary: DataFrame, frequent: Frequent,
 
         for batch in batches:
             for _, _, tokens, per_row in _runs(batch):
-                _, v = _before(tokens, per_row)
-                at = np.flatnonzero(frequent.codes(v) == _ESCAPE)
+                u, v = _before(tokens, per_row)
+                cv = frequent.codes(v)
+                at = np.flatnonzero(cv == _ESCAPE)
                 if not len(at):
                     continue
-                v, w = v[at], tokens[at]
-                held.append((_shard_of(v, w, frequent.codes(w), shards), v))
+                u, v, w = u[at], v[at], tokens[at]
+                held.append((_shard_of(u, v, w, cv[at], frequent.codes(w), frequent, shards), v))
                 size += len(v)
                 if size >= _PAIRS_HELD:
                     yield pairs()
@@ -364,7 +442,55 @@ def _context_counts(rows: DataFrame, vocabulary: DataFrame, frequent: Frequent,
 
     # a word that isn't in the vocabulary has the count 0 and isn't sent
     found = rows.mapInArrow(asked, "shard int, word long").join(vocabulary, "word").select("shard", "word", "c").distinct()
-    return found.mapInArrow(packed, "shard int, words binary, counts binary")
+    return found.mapInArrow(packed, "shard int, words binary, counts binary").withColumn("seconds", F.lit(None).cast("binary"))
+
+
+def _split_pairs(rows: DataFrame, frequent: Frequent, shards: int) -> DataFrame:
+    """``shard, words, counts, seconds``: exact c(v w) of the pairs that are split, for each of their shards (words: v, seconds: w)."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def rows_of_pairs() -> pa.RecordBatch:
+            v, w = np.array(list(held), np.uint64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array(v.copy().view(np.int64)), pa.array(w.copy().view(np.int64)), pa.array(list(held.values()), pa.int64())], ["v", "w", "c"])
+
+        for batch in batches:
+            for _, out, tokens, per_row in _runs(batch):
+                _, v = _before(tokens, per_row)
+                cw, cv = frequent.codes(tokens), frequent.codes(v)
+                at = np.flatnonzero(_splits(cv, cw, frequent) > 1)
+                if not len(at):
+                    continue
+                code, c = np.unique(cv[at].astype(np.int64) << 16 | cw[at], return_inverse=True)
+                learned = np.bincount(c, ~np.repeat(out, per_row)[at], len(code)).astype(np.int64)
+                one = np.zeros(len(code), np.int64)
+                one[c] = at
+                for key in zip(v[one].tolist(), tokens[one].tolist(), learned.tolist(), strict=True):
+                    held[key[:2]] += key[2]
+                if len(held) > _PAIRS_HELD // 8:
+                    yield rows_of_pairs()
+                    held.clear()
+        if held:
+            yield rows_of_pairs()
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, w, c = (batch.column(i).to_numpy() for i in range(3))
+            v, w = v.view(np.uint64), w.view(np.uint64)
+            times = _splits(frequent.codes(v), frequent.codes(w), frequent).astype(np.int64)
+            at = np.repeat(np.arange(len(v)), times)
+            sub = (np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)).astype(np.uint64)
+            shard = _pair_shard(v[at], w[at], sub, shards)
+            # two parts of a pair can fall into one shard
+            order = np.lexsort((at, shard))
+            at, shard = at[order], shard[order]
+            keep = np.append(True, (at[1:] != at[:-1]) | (shard[1:] != shard[:-1]))[: len(at)]
+            at, shard = at[keep], shard[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(shard), *(pa.array([x.tobytes() for x in y[at]], pa.binary()) for y in (v, c, w))], ["shard", "words", "counts", "seconds"])
+
+    pairs = rows.mapInArrow(counted, "v long, w long, c long").groupBy("v", "w").agg(F.sum("c").alias("c"))
+    return pairs.mapInArrow(sent, "shard int, words binary, counts binary, seconds binary")
 
 
 def _deal(rows: DataFrame, frequent: Frequent, shards: int) -> DataFrame:
@@ -378,7 +504,7 @@ def _deal(rows: DataFrame, frequent: Frequent, shards: int) -> DataFrame:
                 row = np.repeat(np.arange(len(per_row), dtype=np.uint16), per_row)
                 u, v = _before(tokens, per_row)
                 cw, cv, cu = (frequent.codes(x) for x in (tokens, v, u))
-                shard = _shard_of(v, tokens, cw, shards)
+                shard = _shard_of(u, v, tokens, cv, cw, frequent, shards)
                 order = np.argsort(shard, kind="stable")
                 shard = shard[order]
                 cut = np.flatnonzero(np.diff(shard, prepend=-1, append=shards))
@@ -438,9 +564,12 @@ def _score_shard(table: pa.Table, contexts: pa.Table, frequent: Frequent, total:
         return c
 
     ends = int(frequent.count[frequent.rank[frequent.word == END]].sum())
-    parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in contexts["words"]]
+    apart = contexts.filter(pc.is_valid(contexts["seconds"])) if contexts.num_rows else contexts
+    split = tuple(np.frombuffer(b"".join(apart[name].to_pylist()), kind) for name, kind in (("words", np.uint64), ("seconds", np.uint64), ("counts", np.int64))) if apart.num_rows else None
+    packs = contexts.filter(pc.is_null(contexts["seconds"])) if contexts.num_rows else contexts
+    parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in packs["words"]] if packs.num_rows else []
     before = np.concatenate([np.zeros(0, np.uint64), *parts])
-    c_before = np.concatenate([np.zeros(0, np.int64), *(_unpacked(x.as_buffer(), np.int64, len(part)) for x, part in zip(contexts["counts"], parts, strict=True))])
+    c_before = np.concatenate([np.zeros(0, np.int64), *(_unpacked(x.as_buffer(), np.int64, len(part)) for x, part in zip(packs["counts"] if parts else [], parts, strict=True))])
     order = np.argsort(before)
     before, c_before = before[order], c_before[order]
 
@@ -459,7 +588,7 @@ def _score_shard(table: pa.Table, contexts: pa.Table, frequent: Frequent, total:
         c[words == START] = ends
         return c
 
-    trie = NgramTrie(u[~out], v[~out], w[~out], p1, context)
+    trie = NgramTrie(u[~out], v[~out], w[~out], p1, context, split)
     logs, weights = trie.logs(u, v, w, p1, context)
     # a token's weight is the denominator of the next one, behind the end there is none
     logs -= np.where(w == END, 0.0, weights)
@@ -485,6 +614,7 @@ def score_texts(documents: DataFrame, held_out: Column, id_col: str = "doc_id",
     """
     spark = documents.sparkSession
     shared_dir(spark)
+    small_batches(spark)
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("out"), F.col(text_col).alias("text"))
     vocabulary = staged(word_counts(rows), "vocabulary")
     total, different = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -493,7 +623,7 @@ def score_texts(documents: DataFrame, held_out: Column, id_col: str = "doc_id",
     word, count = top["word"].to_numpy().view(np.uint64), top["c"].to_numpy()
     order = np.argsort(word)
     ends = int(count[word == END].sum())
-    frequent = Frequent(word[order], order.astype(np.uint16), count.astype(np.float64))
+    frequent = Frequent(word[order], order.astype(np.uint16), count.astype(np.float64), ends, TOKENS_PER_SHARD)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(1.2 * total / TOKENS_PER_SHARD))
     listed = spark.sparkContext.broadcast(frequent)
     total, different = int(total), int(different)
@@ -517,8 +647,10 @@ def score_texts(documents: DataFrame, held_out: Column, id_col: str = "doc_id",
             "base_score": base - n * math.log10(total + 0.1 * (different + 1)), "score": score / math.log(10),
         })
 
-    contexts = _context_counts(rows, vocabulary, frequent, shards).groupBy("shard")
-    sums = _deal(rows, frequent, shards).groupBy("shard").cogroup(contexts).applyInArrow(shard, "run long, score binary, base binary, known binary, ids array<long>, out binary, n array<long>")
+    contexts = _context_counts(rows, vocabulary, frequent, shards)
+    if frequent.ample:
+        contexts = contexts.unionByName(_split_pairs(rows, frequent, shards))
+    sums = _deal(rows, frequent, shards).groupBy("shard").cogroup(contexts.groupBy("shard")).applyInArrow(shard, "run long, score binary, base binary, known binary, ids array<long>, out binary, n array<long>")
     scored = sums.groupBy("run").applyInArrow(joined, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     kind = documents.schema[id_col].dataType.simpleString()
     return scored.select(F.col("id").cast(kind).alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
