@@ -299,8 +299,220 @@ def test_registered_queries():
 def test_lm_splits_hot_pairs(spark, monkeypatch):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").where("doc_id % 2 = 0")
     whole = {r["doc_id"]: r["score"] for r in lm.score_texts(docs, F.col("id") % 10 == 0).collect()}
-    monkeypatch.setattr(lm, "TOKENS_PER_SHARD", 400)
+    monkeypatch.setattr(lm, "TOKENS_PER_SHARD", 100)
     pairs, made = lm._split_pairs, []
     monkeypatch.setattr(lm, "_split_pairs", lambda *a: made.append(pairs(*a)) or made[-1])
     split = {r["doc_id"]: r["score"] for r in lm.score_texts(docs, F.col("id") % 10 == 0).collect()}
     assert split == pytest.approx(whole, rel=1e-9) and made[0].count() > 10
+
+
+CLASH = ["copy", "copies", "rate", "shuffle_key", "text2", "ids", "n_tokens", "media", "payload", "error", "id", "h", "n", "_id", "_h", "shard", "score", "vec", "out"]
+
+
+@pytest.fixture(scope="module")
+def clashing(odd):
+    return odd.withColumns({c: F.concat(F.lit(f"own {c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASH})
+
+
+def own_values(rows, but=()):
+    """Whether each row still has its own values in the clashing columns."""
+    return all(r[c] == f"own {c} {'none' if r['doc_id'] is None else r['doc_id']}" for r in rows for c in CLASH if c not in but)
+
+
+def test_clashing_columns(spark, odd, clashing):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    with open(PIECES, "rb") as f:
+        vocabulary, _ = unigram.zipf_vocabulary(f.read())
+    n = odd.count()
+    kept = quality.keep_quality(clashing, labels.where("false")).collect()
+    assert len(kept) == n and own_values(kept)
+    assert quality.quality_scores(clashing, labels).count() == n
+    assert lm.score_texts(clashing.withColumn("id", F.col("doc_id")), F.col("id") % 10 == 0).count() == n
+    mixed = mixing.mixed_rows(clashing, {"s": 2.0}, other_weight=1.0)
+    assert mixed.columns == clashing.columns and own_values(mixed.collect())
+    added = mixing.mix_sources(clashing, {"s": 2.0}, other_weight=1.0).collect()
+    assert own_values(added, ("copy", "copies", "rate", "shuffle_key")) and {type(r["copy"]) for r in added} == {int}
+    assert sharding.shard_slots(clashing, [1.0] * 3).count() == n and own_values(sharding.assign_shards(clashing, [1.0], out_col="s16").collect())
+    assert own_values(unigram.count_tokens(clashing, vocabulary).collect(), ("n_tokens",))
+    assert own_values(bpe.bpe_decode(bpe.bpe_encode(clashing, BYTE_BPE), BYTE_BPE).collect(), ("ids",))
+    trip = bpe.bpe_round_trip(clashing, BYTE_BPE).collect()
+    assert own_values(trip, ("ids",)) and all(r["round_trip"] for r in trip)
+    back = mpegts.read_streams(mpegts.store_streams(clashing)).collect()
+    assert own_values(back, ("media", "payload", "error")) and all(r["error"] is None for r in back)
+    pages = clashing.select("doc_id", *CLASH, F.col("text").alias("html"), F.lit("kept").alias("text"))
+    found = html_extract.extract_main_text(pages, html_extract.weights_of({})).collect()
+    assert own_values(found) and len(found) == n and found[0]["text"] != "kept"
+    groups = jaccard.keep_one(clashing)
+    assert groups.columns == clashing.columns and own_values(groups.collect())
+
+
+def test_repeated_ids(spark):
+    a, b = "one two three four five six seven eight", "some other text that is no copy of it at all"
+    rows = [(1, a, "x"), (1, b, "y"), (1, a, "w"), (2, a, "z"), (3, b, "v"), (4, None, "u"), (4, None, "t"), (None, a, "s"), (None, a, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = sorted(map(tuple, jaccard.keep_one(docs.repartition(3)).collect()), key=str)
+    assert kept == sorted([(1, a, "w"), (1, b, "y"), (4, None, "t"), (None, a, "s"), (None, a, "r")], key=str)
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (None, None)}
+    scores = quality.quality_scores(docs, spark.read.parquet(f"{SMALL}/labels.parquet")).collect()
+    assert len(scores) == len(rows) and len({r["score"] for r in scores if r["doc_id"] == 4}) == 1
+    v = [[1.0, 0.0], [1.0, 0.0], [0.9, 0.1], [0.0, 1.0]]
+    near = ann.nearest(spark.createDataFrame([(20, v[0]), (20, v[1]), (20, v[2]), (3, v[3])], "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, k=2).collect()
+    # each of the three rows is asked; the two others with its id are candidates
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in near) == sorted([(20, 1, 20, 1.0), (20, 2, 20, 0.9)] * 2 + [(20, 1, 20, 0.9), (20, 2, 20, 0.9)])
+
+
+def test_hot_groups(spark, monkeypatch):
+    """A third of all rows are near copies of one text, and keys, groups and parts are all over their bounds."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(300)]
+    base = [rng.choice(words) for _ in range(60)]
+    rows = []
+    for k in range(60):
+        text = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4])):
+            text[rng.randrange(60)] = rng.choice(words)
+        rows.append((k, " ".join(text)))
+    rows += [(100 + k, " ".join(rng.choice(words) for _ in range(40))) for k in range(60)]
+    rows += [(200 + k, " ".join(base[:20] + [rng.choice(words) for _ in range(25)])) for k in range(40)]
+    for name, value in (("HEAVY", 5), ("BLOCK", 8), ("ROWS_PER_BUCKET", 64), ("KEYS_PER_BUCKET", 256)):
+        monkeypatch.setattr(jaccard, name, value)
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows)
+
+
+def test_short_sketches_bound_distances():
+    rng = np.random.default_rng(4)
+    for n in (10, 900, 5000, 30_000):
+        s = np.sort(rng.integers(0, 2**63, n, dtype=np.uint64))
+        t = np.sort(np.concatenate([s[n // 10 :], rng.integers(0, 2**63, n // 20, dtype=np.uint64)]))
+        x, y = (jaccard.parity_bits(v, jaccard.bits_of(n)) for v in (s, t))
+        apart = len(np.setxor1d(s, t))
+        far = [int(np.bitwise_count(jaccard.folded(x, size) ^ jaccard.folded(y, size)).sum()) for size in (len(x), 512, 64)]
+        assert apart >= far[0] >= far[1] >= far[2]
+
+
+def test_statistics_match_plain_counts():
+    texts = ["", "One one TWO, three!\n\nfour five  five 123", "é中 x", "a" * 70 + " b"]
+    raw = [t.encode() for t in texts]
+    got = quality._statistics(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    names = {name: k for k, name in enumerate(quality.STATISTICS)}
+    for text, data, row in zip(texts, raw, got, strict=True):
+        w = tokens(text)
+        per, size = max(len(w), 1), max(len(data), 1)
+        lengths = [len(x.encode()) for x in w] or [0]
+        letters = sum(chr(b).isascii() and chr(b).isalpha() for b in data)
+        want = {
+            "log_bytes": math.log1p(len(data)), "log_words": math.log1p(len(w)), "share_3": sum(97 <= b < 123 for b in data) / size, "share_5": sum(48 <= b < 58 for b in data) / size,
+            "share_6": sum(b >= 128 for b in data) / size, "word_bytes": sum(lengths) / per, "word_bytes_sd": float(np.std(lengths)), "distinct_words": len(set(w)) / per,
+            "same_as_last": sum(x == y for x, y in zip(w, w[1:])) / per, "same_as_last_but_one": sum(x == y for x, y in zip(w, w[2:])) / per, "short_words": sum(0 < n <= 2 for n in lengths) / per,
+            "long_words": sum(n >= 12 for n in lengths) / per, "words_per_line": len(w) / (sum(b in b"\n\r" for b in data) + 1), "upper_of_letters": sum(65 <= b < 91 for b in data) / max(letters, 1),
+        }
+        for name, value in want.items():
+            assert row[names[name]] == pytest.approx(value, abs=1e-5), (name, text)
+
+
+def test_trees_choose_the_best_split():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 3)).astype(np.float32)
+    y = (x[:, 1] > 0.3).astype(float)
+    f = quality.fit_trees(x, y, trees=1, depth=1)
+    share = (y.sum() + 1) / (len(y) + 2)
+    grad, curve = y - share, share * (1 - share)
+
+    def gain(j, cut):
+        left = x[:, j] <= cut
+        g, c = [grad[s].sum() for s in (left, ~left)], [curve * s.sum() for s in (left, ~left)]
+        return sum(a * a / (b + 1.0) for a, b in zip(g, c)) - grad.sum() ** 2 / (curve * len(y) + 1.0)
+
+    cuts = [(j, c) for j in range(3) for c in np.unique(np.quantile(x[:, j], np.linspace(0, 1, 65)[1:-1]).astype(np.float32))]
+    best = max(gain(j, c) for j, c in cuts)
+    assert gain(int(f.feature[0, 0]), f.threshold[0, 0]) == pytest.approx(best)
+
+
+def test_maximum_run_matches_brute_force():
+    rng = random.Random(3)
+    for _ in range(200):
+        values = [rng.choice([-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 3.0]) for _ in range(rng.randint(0, 14))]
+        a, b = html_extract.best_run(values)
+        sums = [sum(values[i:j]) for i in range(len(values)) for j in range(i + 1, len(values) + 1)]
+        assert sum(values[a:b]) == max([0.0, *sums])
+
+
+def test_html_weights_decide(spark):
+    """Pages whose articles aren't marked and whose classes and elements say nothing: only learned weights find the text."""
+    pages = [r["html"] for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()]
+    plain = html_extract.weights_of({})
+
+    def renamed(page):
+        for old, new in (("<nav>", '<div class="k1">'), ("</nav>", "</div>"), ('class="ad"', 'class="k2"'), ("<footer>", '<div class="k3">'), ("</footer>", "</div>")):
+            page = page.replace(old, new)
+        return page
+
+    within, without = Counter(), Counter()
+    half = len(pages) // 2
+    for page in pages[:half]:
+        html_extract.count_page(renamed(page), within, without)
+    learned = html_extract.weights_of({k: (within[k], without[k]) for k in {*within, *without}})
+    held = [(html_extract.main_text(p, plain), re.sub("</?article>", "", renamed(p))) for p in pages[half:]]
+    right = lambda weights: np.mean([html_extract.main_text(p, weights) == t for t, p in held])
+    no_scan = np.mean([html_extract.blocks_text(html_extract.tokens(p, plain)) == t for t, p in held])
+    assert right(learned) >= 0.9 and right({k: -v for k, v in learned.items()}) < 0.1 and right(plain) < 0.1 and no_scan < 0.1
+
+
+def test_html_is_linear():
+    import time
+
+    for page in ("<a " * 350_000, "<script " * 60_000 + "<!--" * 60_000, '<a "' * 250_000 + ">", "<div class=ad>" * 60_000, "<article>" * 50_000 + "</main>" * 50_000, "<p " * 200_000 + ">x"):
+        began = time.time()
+        html_extract.main_text(page, html_extract.weights_of({}))
+        assert time.time() - began < 5
+
+
+def test_long_texts_are_whole(spark):
+    """One text of a megabyte, with and without blanks, through the operators that remember words."""
+    texts = ["x" * 200_000 + " y", "lorem ipsum " * 60_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    t = Tokenizer.from_file(BYTE_BPE)
+    for r in bpe.bpe_round_trip(docs, BYTE_BPE).collect():
+        assert r["round_trip"] and np.frombuffer(r["ids"], "<u4").tolist() == t.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+    table = bpe.table_of(open(BYTE_BPE, encoding="utf-8").read())
+    assert all(len(k) <= bpe.LONGEST for k in table.groups)
+    back = mpegts.read_streams(mpegts.store_streams(docs)).collect()
+    assert all(r["payload"].startswith(texts[r["doc_id"]].encode()) for r in back)
+
+
+def test_damaged_streams(spark):
+    rng = random.Random(2)
+    whole = mpegts.multiplex(mpegts.padded("some text " * 900)[1])
+    damaged = []
+    for _ in range(300):
+        raw = bytearray(whole)
+        for _ in range(rng.randint(1, 6)):
+            raw[rng.randrange(len(raw))] = rng.randrange(256)
+        damaged.append(bytes(raw[: 188 * rng.randint(1, len(raw) // 188)]))
+    rows = spark.createDataFrame([(i, m) for i, m in enumerate([None, b"", b"G" * 188, *damaged])], "i int, media binary")
+    assert mpegts.read_streams(rows).count() == len(damaged) + 3
+
+
+def test_recall_on_given_vectors(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    x = {r["vec_id"]: np.array(r["embedding"]) for r in df.collect()}
+    ids = sorted(x)
+    m = np.array([x[i] for i in ids])
+    got = defaultdict(set)
+    for r in ann.nearest(df, F.col("id") % 20 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    recall = []
+    for q in got:
+        s = m @ x[q]
+        want = sorted((i for i in range(len(ids)) if ids[i] != q), key=lambda i: (-s[i], ids[i]))[:20]
+        recall.append(len(got[q] & {ids[i] for i in want}) / 20)
+    assert len(got) == sum(i % 20 == 0 for i in ids) and np.mean(recall) >= 0.9
+
+
+def test_ann_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    df = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    got = ann.nearest(df, F.col("id") % 20 == 0).groupBy("query_id").count().collect()
+    assert {r["count"] for r in got} == {20} and len(got) == df.where("vec_id % 20 = 0").count()

@@ -519,9 +519,9 @@ def open_pairs(members: DataFrame, sketches: DataFrame, nearest: bool) -> DataFr
 
 
 def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Features of every row of ``id, text, h``, and ``k1, k2, comp`` of every set of rows with an id.
+    """Features of every row of ``id, text, h``, and ``k1, k2, class, comp`` of every set of rows with an id.
 
-    ``comp`` is the smallest id whose set links reach.
+    ``class`` numbers the sets that links join, ``comp`` is the smallest id that has one of them.
     """
     spark = docs.sparkSession
     shared_dir(spark)
@@ -555,7 +555,7 @@ def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     comp = components(links)
     whole = sets_of.join(comp, "node", "left").select("k1", "k2", "id", F.coalesce("comp", "node").alias("comp"))
     named = whole.groupBy("comp").agg(F.min("id").alias("smallest"))
-    return features, whole.join(named, "comp").select("k1", "k2", F.col("smallest").alias("comp"))
+    return features, whole.join(named, "comp").select("k1", "k2", F.col("comp").alias("class"), F.col("smallest").alias("comp"))
 
 
 def _texts(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -586,8 +586,8 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whatever their names.
     """
     features, sets = set_components(_texts(documents, id_col, text_col))
-    rows = features.where("id is not null").select("id", "h", "n", "k1", "k2").join(sets.select("k1", "k2", "comp"), ["k1", "k2"], "left")
-    group = [F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id")), F.col("n") > 0]
+    rows = features.where("id is not null").select("id", "h", "n", "k1", "k2").join(sets.select("k1", "k2", "class"), ["k1", "k2"], "left")
+    group = [F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("id")), F.col("n") > 0]
     best = rows.groupBy(*[c.alias(f"_g{i}") for i, c in enumerate(group)]).agg(F.min(F.struct("id", "h")).alias("r"))
     kept = staged(best.select("r.id", "r.h").distinct(), "kept")
     marked = documents.withColumns({(own := _unused(documents, "_id")): F.col(id_col).cast("long"), (text := _unused(documents, "_h")): F.xxhash64(text_col)})

@@ -489,7 +489,7 @@ def _split_pairs(rows: DataFrame, frequent: Frequent, shards: int) -> DataFrame:
             at, shard = at[keep], shard[keep]
             yield pa.RecordBatch.from_arrays([pa.array(shard), *(pa.array([x.tobytes() for x in y[at]], pa.binary()) for y in (v, c, w))], ["shard", "words", "counts", "seconds"])
 
-    pairs = rows.mapInArrow(counted, "v long, w long, c long").groupBy("v", "w").agg(F.sum("c").alias("c"))
+    pairs = rows.mapInArrow(counted, "v long, w long, c long").groupBy("v", "w").agg(F.sum("c").alias("c")).where("c > 0")
     return pairs.mapInArrow(sent, "shard int, words binary, counts binary, seconds binary")
 
 
