@@ -67,6 +67,8 @@ SHORT = 512
 #: Bits of the filter of candidate ids that keeps other texts out of the verification; false hits cost time only.
 FILTER_BITS = 1 << 22
 
+#: Constants of the orders in which a pair's first common group is looked for.
+_ORDERS = [int(x) for x in np.random.default_rng(9).integers(-(2**63), 2**63, 6, dtype=np.int64)]
 _C = np.random.default_rng(5).integers(1, 2**62, WIDTH + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -445,19 +447,26 @@ def open_pairs(members: DataFrame, sketches: DataFrame, nearest: bool) -> DataFr
     and members are cut into parts of about BLOCK, and each pair of parts is a
     unit of its own, dealt by hash; a task gets about ROWS_PER_BUCKET rows of at
     most SHORT bytes.
+
+    Near copies share many groups. Each member carries the smallest of its groups
+    in several orders; where these agree for a pair, that group is common to both
+    and only it yields the pair, so a pair comes out about once. A pair without
+    such agreement comes out of all its groups.
     """
+    firsts = members.groupBy("node").agg(F.array(*[F.min(F.col("g").bitwiseXOR(F.lit(c))) for c in _ORDERS]).alias("firsts"))
     by_comp = members.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("c"))
     facts = by_comp.groupBy("g").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("main"))
     parts = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("int")
     facts = staged(facts.select("g", F.col("main.comp").alias("main"), "size", (F.col("size") - F.col("main.c")).alias("others")).withColumns({"p": parts(F.col("size")), "q": parts(F.col("others"))}), "groups")
     total = facts.agg(F.sum(F.col("size") * F.col("q") + F.col("others") * F.col("p"))).first()[0] or 0
     buckets = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / ROWS_PER_BUCKET))
-    rows = members.join(facts.select("g", "main", "p", "q"), "g").join(sketches.select("node", "n", F.coalesce("short", "bits").alias("bits")), "node")
+    known = firsts.join(sketches.select("node", "n", F.coalesce("short", "bits").alias("bits")), "node")
+    rows = members.join(facts.select("g", "main", "p", "q"), "g").join(known, "node")
     steps = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64(F.lit(1), "node"), F.col(n)).cast("int")
     right = rows.withColumns({"left": F.lit(False), "i": own("p")}).withColumn("j", steps("q"))
     left = rows.where("comp <> main").withColumns({"left": F.lit(True), "j": own("q")}).withColumn("i", steps("p"))
-    columns = ["g", "i", "j", "left", "node", "comp", "n", "bits"]
+    columns = ["g", "i", "j", "left", "node", "comp", "n", "bits", "firsts"]
     dealt = right.select(*columns).unionByName(left.select(*columns)).withColumn("bucket", F.pmod(F.xxhash64("g", "i", "j"), F.lit(buckets)).cast("int"))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -465,6 +474,8 @@ def open_pairs(members: DataFrame, sketches: DataFrame, nearest: bool) -> DataFr
         order = np.lexsort((n, side, j, i, g))
         g, i, j, side, n, node, comp = (x[order] for x in (g, i, j, side, n, node, comp))
         bits = table["bits"].combine_chunks()
+        firsts = table["firsts"].combine_chunks().flatten().to_numpy().reshape(len(g), -1)[order]
+        orders = np.array(_ORDERS, np.int64)
         new = np.flatnonzero(np.append(True, (np.diff(g) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0))) if len(g) else np.zeros(0, np.int64)
         found: list[np.ndarray] = []
         for a, b in zip(new.tolist(), [*new[1:].tolist(), len(g)], strict=True):
@@ -502,6 +513,11 @@ def open_pairs(members: DataFrame, sketches: DataFrame, nearest: bool) -> DataFr
                     ys = ys[apart_from]
                     apart = np.bitwise_count(y[first:to][apart_from] ^ own_x).sum(1, dtype=np.int64)
                     near = 7 * apart <= n[ys] + n[r]
+                    if near.any():
+                        at = np.flatnonzero(near)
+                        agree = firsts[ys[at]] == firsts[r]
+                        here = agree[np.arange(len(at)), agree.argmax(1)] & (firsts[r] == g[r] ^ orders)[agree.argmax(1)]
+                        near[at] = here | ~agree.any(1)
                     if nearest:
                         if near.any():
                             k = int(np.argmin(np.where(near, apart, 1 << 40)))
