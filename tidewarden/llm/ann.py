@@ -99,13 +99,17 @@ class BlockIndex:
             wanted = k + (own is not None and own[q] >= 0)
             for r, radius in enumerate(levels):
                 lo, hi = edges[0, r, q], edges[1, r, q]
-                if low is None:
+                wide = low is None and 2 * int((hi - lo).sum()) > n * HASHES
+                if wide:  # the first windows hold most vectors: count those outside
+                    new = [self.order[j, part] for j in range(HASHES) for part in (slice(lo[j]), slice(hi[j], None))]
+                elif low is None:
                     new = [self.order[j, lo[j] : hi[j]] for j in range(HASHES)]
                 else:
                     new = [self.order[j, a:b] for j in range(HASHES) for a, b in ((lo[j], low[j]), (high[j], hi[j])) if b > a]
                 low, high = lo, hi
                 if new:
-                    hits += np.bincount(np.concatenate(new), minlength=n)
+                    counted = np.bincount(np.concatenate(new), minlength=n)
+                    hits += HASHES - counted if wide else counted
                     fresh = np.flatnonzero((hits >= THRESHOLD) & ~verified)
                     if len(fresh):
                         verified[fresh] = True

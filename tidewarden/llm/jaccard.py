@@ -68,7 +68,7 @@ SHORT = 512
 FILTER_BITS = 1 << 22
 
 #: Constants of the orders in which a pair's first common group is looked for.
-_ORDERS = [int(x) for x in np.random.default_rng(9).integers(-(2**63), 2**63, 6, dtype=np.int64)]
+_ORDERS = [int(x) for x in np.random.default_rng(9).integers(-(2**63), 2**63, 4, dtype=np.int64)]
 _C = np.random.default_rng(5).integers(1, 2**62, WIDTH + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -464,14 +464,17 @@ def open_pairs(members: DataFrame, sketches: DataFrame, nearest: bool) -> DataFr
     rows = members.join(facts.select("g", "main", "p", "q"), "g").join(known, "node")
     steps = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64(F.lit(1), "node"), F.col(n)).cast("int")
-    right = rows.withColumns({"left": F.lit(False), "i": own("p")}).withColumn("j", steps("q"))
-    left = rows.where("comp <> main").withColumns({"left": F.lit(True), "j": own("q")}).withColumn("i", steps("p"))
-    columns = ["g", "i", "j", "left", "node", "comp", "n", "bits", "firsts"]
+    # side 0 is met by the others, side 1 are the others, 2 is both: in groups of one part nobody needs two rows
+    single = (F.col("p") == 1) & (F.col("q") == 1)
+    other = F.col("comp") != F.col("main")
+    right = rows.withColumns({"side": F.when(single & other, 2).otherwise(0).cast("byte"), "i": own("p")}).withColumn("j", steps("q"))
+    left = rows.where(other & ~single).withColumns({"side": F.lit(1).cast("byte"), "j": own("q")}).withColumn("i", steps("p"))
+    columns = ["g", "i", "j", "side", "node", "comp", "n", "bits", "firsts"]
     dealt = right.select(*columns).unionByName(left.select(*columns)).withColumn("bucket", F.pmod(F.xxhash64("g", "i", "j"), F.lit(buckets)).cast("int"))
 
     def compare(table: pa.Table) -> pa.Table:
-        g, i, j, side, n, node, comp = (table[c].to_numpy() for c in ("g", "i", "j", "left", "n", "node", "comp"))
-        order = np.lexsort((n, side, j, i, g))
+        g, i, j, side, n, node, comp = (table[c].to_numpy() for c in ("g", "i", "j", "side", "n", "node", "comp"))
+        order = np.lexsort((n, j, i, g))
         g, i, j, side, n, node, comp = (x[order] for x in (g, i, j, side, n, node, comp))
         bits = table["bits"].combine_chunks()
         firsts = table["firsts"].combine_chunks().flatten().to_numpy().reshape(len(g), -1)[order]
@@ -479,18 +482,18 @@ def open_pairs(members: DataFrame, sketches: DataFrame, nearest: bool) -> DataFr
         new = np.flatnonzero(np.append(True, (np.diff(g) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0))) if len(g) else np.zeros(0, np.int64)
         found: list[np.ndarray] = []
         for a, b in zip(new.tolist(), [*new[1:].tolist(), len(g)], strict=True):
-            mid = a + int(np.searchsorted(side[a:b], True))
-            if mid == a or mid == b:
+            met = np.flatnonzero(side[a:b] != 1)
+            if not len(met) or not side[a:b].any():
                 continue
             raw = bits.take(pa.array(order[a:b])).to_pylist()
             wide = np.array([len(x) for x in raw])
             # all members of one width, and the same folded once
             held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for w in np.unique(wide[: mid - a]).tolist():
-                at = np.flatnonzero(wide[: mid - a] == w)
+            for w in np.unique(wide[met]).tolist():
+                at = met[wide[met] == w]
                 held[w] = at + a, np.frombuffer(b"".join([raw[x] for x in at.tolist()]), np.uint64).reshape(len(at), -1)
             halves = {w: m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :] for w, (_, m) in held.items() if w > 8}
-            for r in range(mid, b):
+            for r in (np.flatnonzero(side[a:b]) + a).tolist():
                 w = int(wide[r - a])
                 x = np.frombuffer(raw[r - a], np.uint64)
                 best: tuple[float, int] | None = None
