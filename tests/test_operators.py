@@ -146,3 +146,10 @@ def test_json_leaves_keep_what_is_deeper(spark):
 
     df = spark.createDataFrame([(1, '{"a": {"b": {"c": "x"}}, "d": "y"}')], "id long, j string")
     assert {(r["path"], r["text"]) for r in payloads.json_leaves(df, "id", "j", 2).collect()} == {("$.a", '{"b":{"c":"x"}}'), ("$.d", "y")}
+
+
+def test_findings_run_each_rule_once(spark):
+    df = spark.createDataFrame([(1, "call me at me@example.org"), (2, None)], "doc_id long, text string")
+    found = scan.findings(df, "text", scan.default_rules("pii"), ["doc_id"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and [r["rule_id"] for r in found.collect()] == ["EMAIL"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewarden.operators import normalize
@@ -145,3 +145,35 @@ def mark_spans(text: Column, spans: Column, mark: Callable[[Column], Column]) ->
 def widened(spans: Column, text: Column, by: int = 20) -> Column:
     """Spans with ``by`` more characters on each side, inside the text."""
     return F.transform(spans, lambda s: F.struct(F.greatest(s["start"] - by, F.lit(0)).alias("start"), F.least(s["end"] + by, F.length(text)).alias("end")))
+
+
+def placeholder_map(df: DataFrame, request_col: str, order_col: str, text_col: str, rules: Sequence[Rule], prefix: str = "KEPT") -> DataFrame:
+    """``request_col, placeholder, value``: the distinct values that the rules find in a request's texts.
+
+    Values of one kind are numbered from 1 inside the request, in order of text
+    and place. The shuffles are on request and value, so no task holds more than
+    the values of the requests it gets.
+    """
+    found = None
+    for rule in rules:
+        hits = df.where(F.col(text_col).rlike(rule.java)).select(request_col, order_col, F.lit(rule.rule_id).alias("kind"), F.posexplode(F.regexp_extract_all(text_col, F.lit(rule.java), F.lit(0))).alias("i", "value"))
+        found = hits if found is None else found.unionByName(hits)
+    first = found.groupBy(request_col, "kind", "value").agg(F.min(F.struct(order_col, "i")).alias("first"))
+    n = F.row_number().over(Window.partitionBy(request_col, "kind").orderBy("first"))
+    name = F.concat(F.lit("{{" + prefix + "_"), F.col(request_col).cast("string"), F.lit("_"), F.col("kind"), F.lit("_"), n.cast("string"), F.lit("}}"))
+    return first.select(request_col, name.alias("placeholder"), "value")
+
+
+def pseudonymised(df: DataFrame, mapping: DataFrame, request_col: str, text_col: str) -> DataFrame:
+    """The texts with each value replaced by its placeholder, longest values first."""
+    longest = F.array_sort(F.collect_list(F.struct((-F.length("value")).alias("n"), "value", "placeholder")))
+    pairs = mapping.groupBy(request_col).agg(longest.alias("_pairs"))
+    text = F.aggregate("_pairs", F.col(text_col), lambda t, p: F.replace(t, p["value"], p["placeholder"]))
+    return df.join(pairs, request_col, "left").withColumn(text_col, F.when(F.col("_pairs").isNull(), F.col(text_col)).otherwise(text)).drop("_pairs")
+
+
+def restored(df: DataFrame, mapping: DataFrame, request_col: str, text_col: str) -> DataFrame:
+    """The texts with each placeholder of their request replaced by its value."""
+    pairs = mapping.groupBy(request_col).agg(F.array_sort(F.collect_list(F.struct("placeholder", "value"))).alias("_pairs"))
+    text = F.aggregate("_pairs", F.col(text_col), lambda t, p: F.replace(t, p["placeholder"], p["value"]))
+    return df.join(pairs, request_col, "left").withColumn(text_col, F.when(F.col("_pairs").isNull(), F.col(text_col)).otherwise(text)).drop("_pairs")

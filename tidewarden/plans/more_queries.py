@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewarden.operators import decide, normalize, scan
+from tidewarden.functions.session import staged
+from tidewarden.operators import decide, normalize, rewrite, scan
 from tidewarden.plans.record_queries import S1_SQL, _chat_json, encrypted
 from tidewarden.plans.rewrite_queries import _d3_sql, d3_injection_score
 from tidewarden.plans.scan_queries import any_sql, flag_query, hit_sql
@@ -74,14 +75,34 @@ def t7_rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p25_w20_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First words as function names, and the values of a map of each text replaced by marks."""
+    """Texts as function names, and the values of a map of each text replaced by marks."""
     d = documents(spark, sf_dir)
     held = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))
     marked = F.transform_values(held, lambda k, v: F.when(v.isNotNull(), F.lit("[VALUE]")))
-    return d.select("doc_id", F.substring(rules.function_name(F.col("text")), 1, 16).alias("name"), F.array_join(F.array_sort(F.map_values(marked)), ",").alias("marks"))
+    return d.select("doc_id", F.md5(rules.function_name(F.col("text"))).alias("name"), F.array_join(F.array_sort(F.map_values(marked)), ",").alias("marks"))
 
 
-P25_SQL = f"SELECT doc_id, regexp_replace(left(text, 16), '[^a-zA-Z0-9_-]', '_', 'g') AS name, '[VALUE],[VALUE]' AS marks FROM {DOCUMENTS_SQL} t"
+P25_SQL = f"SELECT doc_id, md5(regexp_replace(text, '[^a-zA-Z0-9_-]', '_', 'g')) AS name, '[VALUE],[VALUE]' AS marks FROM {DOCUMENTS_SQL} t"
+
+
+def w1_w14_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of requests (four documents each) with e-mail addresses replaced by placeholders of their request, and restored."""
+    d = documents(spark, sf_dir).select((F.expr("doc_id div 4")).alias("request_id"), "doc_id", "text")
+    found = rewrite.placeholder_map(d, "request_id", "doc_id", "text", [r for r in scan.default_rules("pii") if r.rule_id == "EMAIL"])
+    mapping = staged(found, "placeholders")
+    hidden = rewrite.pseudonymised(d, mapping, "request_id", "text")
+    back = rewrite.restored(hidden, mapping, "request_id", "text").select("doc_id", F.md5("text").alias("restored"))
+    return hidden.join(back, "doc_id").select("doc_id", F.md5("text").alias("hidden"), F.regexp_count("text", F.lit(r"\{\{KEPT_\d+_EMAIL_\d+\}\}")).alias("placeholders"), "restored")
+
+
+_EMAIL = quoted(scan.to_re2(next(r for r in scan.default_rules("pii") if r.rule_id == "EMAIL")))
+W1_W14_SQL = f"""WITH d AS MATERIALIZED (SELECT doc_id // 4 AS request_id, doc_id, text FROM {DOCUMENTS_SQL} t),
+v AS (SELECT request_id, doc_id, unnest(l) AS value, generate_subscripts(l, 1) AS i FROM (SELECT *, regexp_extract_all(text, {_EMAIL}) AS l FROM d)),
+f AS (SELECT request_id, value, min((doc_id, i)) AS first FROM v GROUP BY ALL),
+m AS (SELECT request_id, value, '{{{{KEPT_' || request_id || '_EMAIL_' || row_number() OVER (PARTITION BY request_id ORDER BY first) || '}}}}' AS placeholder FROM f),
+p AS (SELECT request_id, list(value || chr(1) || placeholder ORDER BY -length(value), value) AS pairs FROM m GROUP BY request_id),
+h AS (SELECT doc_id, text, CASE WHEN pairs IS NULL THEN text ELSE list_reduce(list_prepend(text, pairs), lambda t, x: replace(t, string_split(x, chr(1))[1], string_split(x, chr(1))[2])) END AS hidden FROM d LEFT JOIN p USING (request_id))
+SELECT doc_id, md5(hidden) AS hidden, len(regexp_extract_all(hidden, '\{{\{{KEPT_\d+_EMAIL_\d+\}}\}}'))::INT AS placeholders, md5(text) AS restored FROM h"""
 
 
 def w22_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,9 +133,9 @@ FROM (SELECT *, length(m) AS n FROM (SELECT *, trim(regexp_replace(text, '\\s+',
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [s14_overlaid_pack, d11_block_reasons, d14_blended, t7_rate_limits, p25_w20_names, w22_whole_texts, s6_whole_leaves, p25_p4_whole_texts]
+    own = [s14_overlaid_pack, d11_block_reasons, d14_blended, t7_rate_limits, p25_w20_names, w1_w14_round_trip, w22_whole_texts, s6_whole_leaves, p25_p4_whole_texts]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"s14_overlaid_pack": S14_SQL, "d11_block_reasons": D11_SQL, "d14_blended": D14_SQL, "p25_w20_names": P25_SQL, "w22_whole_texts": W22_WHOLE_SQL, "s6_whole_leaves": S6_WHOLE_SQL, "p25_p4_whole_texts": P25_P4_SQL}
+    return {"s14_overlaid_pack": S14_SQL, "d11_block_reasons": D11_SQL, "d14_blended": D14_SQL, "p25_w20_names": P25_SQL, "w1_w14_round_trip": W1_W14_SQL, "w22_whole_texts": W22_WHOLE_SQL, "s6_whole_leaves": S6_WHOLE_SQL, "p25_p4_whole_texts": P25_P4_SQL}

@@ -57,13 +57,13 @@ S3_SQL = "SELECT conv_id || '-' || turn AS id, 0 AS msg_idx, CASE WHEN turn % 2
 
 
 def s6_json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text leaves of nested payloads, with their paths (first 16,000 characters)."""
+    """Text leaves of nested payloads, with their paths."""
     leaves = payloads.json_leaves(_chat_json(spark, sf_dir), "conv_id", "payload", depth=4)
-    return leaves.select("conv_id", "path", F.md5(F.substring("text", 1, 16000)).alias("text"))
+    return leaves.select("conv_id", "path", F.md5("text").alias("text"))
 
 
 S6_SQL = f"""SELECT conv_id, '$.model' AS path, md5('m') AS text FROM (SELECT DISTINCT conv_id FROM conversations) UNION ALL
-SELECT conv_id, '$.messages[' || msg_idx || '].' || k AS path, md5(left(CASE WHEN k = 'role' THEN role ELSE content END, 16000)) AS text FROM ({S1_SQL}), (VALUES ('role'), ('content')) v(k)"""
+SELECT conv_id, '$.messages[' || msg_idx || '].' || k AS path, md5(CASE WHEN k = 'role' THEN role ELSE content END) AS text FROM ({S1_SQL}), (VALUES ('role'), ('content')) v(k)"""
 
 
 def s10_context_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,8 +242,8 @@ _HOURS_SQL = "(SELECT date_trunc('hour', ts) AS hour, count(*) AS requests, coun
 def a1_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters by hour, the last 168 hours of the table (A1, A4)."""
     h = _hours(spark, sf_dir)
-    last = F.max("hour").over(Window.partitionBy(F.lit(1)))
-    return h.withColumn("last", last).where(F.col("hour") >= F.col("last") - F.expr("interval 168 hours")).select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "requests", "redactions", "dangerous_replaced", "blocked", "passthrough")
+    last = table(spark, sf_dir, "events").agg(F.date_format(F.date_trunc("hour", F.max("ts")), "yyyy-MM-dd HH:mm:ss")).first()[0]  # one value
+    return h.where(F.col("hour") >= F.lit(last).cast("timestamp") - F.expr("interval 168 hours")).select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "requests", "redactions", "dangerous_replaced", "blocked", "passthrough")
 
 
 A1_SQL = f"SELECT strftime(hour, '%Y-%m-%d %H') AS hour, requests, redactions, dangerous_replaced, blocked, passthrough FROM {_HOURS_SQL} h WHERE hour >= (SELECT max(date_trunc('hour', ts)) FROM events) - INTERVAL 168 HOUR"
@@ -363,10 +363,10 @@ T16_SQL = """SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, co
 def u2_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placeholders of texts that a mapping has and hasn't."""
     d = table(spark, sf_dir, "documents")
-    ph = lambda k: F.concat(F.lit("{{AG_REQ_EMAIL_"), F.pmod(F.col("doc_id") * k, F.lit(7)).cast("string"), F.lit("}}"))
+    ph = lambda k: F.concat(F.lit("{{KEPT_REQ_EMAIL_"), F.pmod(F.col("doc_id") * k, F.lit(7)).cast("string"), F.lit("}}"))
     text = F.concat_ws(" ", "text", ph(1), ph(3))
-    rows = d.select("doc_id", F.array_distinct(F.regexp_extract_all(text, F.lit(r"\{\{AG_[A-Z0-9]+_[A-Z_]+_\d+\}\}"), F.lit(0))).alias("found"))
-    mapped = F.array(*[F.lit(f"{{{{AG_REQ_EMAIL_{i}}}}}") for i in range(4)])
+    rows = d.select("doc_id", F.array_distinct(F.regexp_extract_all(text, F.lit(r"\{\{KEPT_[A-Z0-9]+_[A-Z_]+_\d+\}\}"), F.lit(0))).alias("found"))
+    mapped = F.array(*[F.lit(f"{{{{KEPT_REQ_EMAIL_{i}}}}}") for i in range(4)])
     return rows.select("doc_id", F.size("found").alias("found"), F.size(F.array_except("found", mapped)).alias("missing"), F.size(F.array_intersect("found", mapped)).alias("present"))
 
 
@@ -400,11 +400,11 @@ def w1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = d.select("doc_id", "lang", F.posexplode(F.regexp_extract_all("text", F.lit(rule.java), F.lit(0))).alias("i", "value"))
     first = found.groupBy("lang", "value").agg(F.min(F.struct("doc_id", "i")).alias("first"))
     n = F.row_number().over(Window.partitionBy("lang").orderBy("first"))
-    return first.select("lang", "value", F.concat(F.lit("{{AG_"), F.upper("lang"), F.lit("_EMAIL_"), n.cast("string"), F.lit("}}")).alias("placeholder"))
+    return first.select("lang", "value", F.concat(F.lit("{{KEPT_"), F.upper("lang"), F.lit("_EMAIL_"), n.cast("string"), F.lit("}}")).alias("placeholder"))
 
 
 _EMAIL = quoted(fixed.PII[0][1])
-W1_SQL = f"""SELECT lang, value, '{{{{AG_' || upper(lang) || '_EMAIL_' || row_number() OVER (PARTITION BY lang ORDER BY d, i) || '}}}}' AS placeholder FROM (
+W1_SQL = f"""SELECT lang, value, '{{{{KEPT_' || upper(lang) || '_EMAIL_' || row_number() OVER (PARTITION BY lang ORDER BY d, i) || '}}}}' AS placeholder FROM (
   SELECT lang, value, min((doc_id, i)).x AS d, min((doc_id, i)).y AS i FROM (SELECT doc_id, lang, unnest(l) AS value, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, lang, regexp_extract_all(text, {_EMAIL}) AS l FROM {DOCUMENTS_SQL} t)) GROUP BY ALL)"""
 W1_SQL = W1_SQL.replace("min((doc_id, i)).x AS d, min((doc_id, i)).y AS i", "min(doc_id) AS d, arg_min(i, doc_id * 100000 + i) AS i")
 
@@ -412,10 +412,10 @@ W1_SQL = W1_SQL.replace("min((doc_id, i)).x AS d, min((doc_id, i)).y AS i", "min
 def w14_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placeholders restored under age, volume, completeness and exfiltration guards."""
     m = messages(spark, sf_dir).where("role = 'user'")
-    ph = lambda k: F.concat(F.lit("{{AG_REQ_TOKEN_"), F.pmod(F.col("request_id") + k, F.lit(5)).cast("string"), F.lit("}}"))
+    ph = lambda k: F.concat(F.lit("{{KEPT_REQ_TOKEN_"), F.pmod(F.col("request_id") + k, F.lit(5)).cast("string"), F.lit("}}"))
     r = m.select("request_id", "msg_idx", F.concat_ws(" ", F.col("content"), ph(F.lit(0)), ph(F.col("msg_idx"))).alias("text"), (F.pmod("request_id", F.lit(3000)) * 1).alias("age"))
-    mapping = m.select("request_id").distinct().select("request_id", F.map_from_arrays(F.array(*[F.lit(f"{{{{AG_REQ_TOKEN_{i}}}}}") for i in range(4)]), F.array(*[F.concat(F.lit(f"raw{i}-"), F.col("request_id").cast("string")) for i in range(4)])).alias("mapping"))
-    found = F.regexp_extract_all("text", F.lit(r"\{\{AG_[A-Z0-9]+_[A-Z_]+_\d+\}\}"), F.lit(0))
+    mapping = m.select("request_id").distinct().select("request_id", F.map_from_arrays(F.array(*[F.lit(f"{{{{KEPT_REQ_TOKEN_{i}}}}}") for i in range(4)]), F.array(*[F.concat(F.lit(f"raw{i}-"), F.col("request_id").cast("string")) for i in range(4)])).alias("mapping"))
+    found = F.regexp_extract_all("text", F.lit(r"\{\{KEPT_[A-Z0-9]+_[A-Z_]+_\d+\}\}"), F.lit(0))
     lure = F.exists(F.array(*[F.col("text").rlike(x.java) for x in scan.default_rules("exfiltration")]), lambda x: x)
     j = r.join(mapping, "request_id").withColumn("found", found).withColumn("missing", F.array_except("found", F.map_keys("mapping")))
     why = F.when(F.col("age") > 1800, "stale_mapping").when(F.size("found") > 20, "too_many_placeholders").when(F.size("missing") > 0, "partial_restore").when(lure, "exfiltration").otherwise("restored")
@@ -423,8 +423,8 @@ def w14_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.withColumn("outcome", why).select("request_id", "msg_idx", "outcome", F.md5(F.when(F.col("outcome") == "restored", text).otherwise(F.col("text"))).alias("text"))
 
 
-W14_SQL = f"""WITH m AS MATERIALIZED (SELECT request_id, msg_idx, content || ' {{{{AG_REQ_TOKEN_' || a || '}}}} {{{{AG_REQ_TOKEN_' || b || '}}}}' AS text, a, b, request_id % 3000 AS age FROM (SELECT *, request_id % 5 AS a, (request_id + msg_idx) % 5 AS b FROM {MESSAGES_SQL}) WHERE role = 'user')
-SELECT request_id, msg_idx, outcome, md5(CASE WHEN outcome = 'restored' THEN replace(replace(replace(replace(text, '{{{{AG_REQ_TOKEN_0}}}}', 'raw0-' || request_id), '{{{{AG_REQ_TOKEN_1}}}}', 'raw1-' || request_id), '{{{{AG_REQ_TOKEN_2}}}}', 'raw2-' || request_id), '{{{{AG_REQ_TOKEN_3}}}}', 'raw3-' || request_id) ELSE text END) AS text
+W14_SQL = f"""WITH m AS MATERIALIZED (SELECT request_id, msg_idx, content || ' {{{{KEPT_REQ_TOKEN_' || a || '}}}} {{{{KEPT_REQ_TOKEN_' || b || '}}}}' AS text, a, b, request_id % 3000 AS age FROM (SELECT *, request_id % 5 AS a, (request_id + msg_idx) % 5 AS b FROM {MESSAGES_SQL}) WHERE role = 'user')
+SELECT request_id, msg_idx, outcome, md5(CASE WHEN outcome = 'restored' THEN replace(replace(replace(replace(text, '{{{{KEPT_REQ_TOKEN_0}}}}', 'raw0-' || request_id), '{{{{KEPT_REQ_TOKEN_1}}}}', 'raw1-' || request_id), '{{{{KEPT_REQ_TOKEN_2}}}}', 'raw2-' || request_id), '{{{{KEPT_REQ_TOKEN_3}}}}', 'raw3-' || request_id) ELSE text END) AS text
 FROM (SELECT *, CASE WHEN age > 1800 THEN 'stale_mapping' WHEN a = 4 OR b = 4 THEN 'partial_restore' WHEN {any_sql("exfiltration", "text")} THEN 'exfiltration' ELSE 'restored' END AS outcome FROM m)"""
 
 
@@ -451,11 +451,11 @@ def encrypted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def w22_encrypted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Starts of the texts that were encrypted and read back whole (``w22_whole_texts`` compares all of them)."""
-    return encrypted(spark, sf_dir).withColumn("value", F.substring("value", 1, 40))
+    """Texts encrypted and read back, whole."""
+    return encrypted(spark, sf_dir)
 
 
-W22_SQL = "SELECT doc_id, left(text, 40) AS value, FALSE AS plain FROM documents"
+W22_SQL = "SELECT doc_id, text AS value, FALSE AS plain FROM documents"
 
 
 def p13_p21_limits_policies(spark: SparkSession, sf_dir: str) -> DataFrame:

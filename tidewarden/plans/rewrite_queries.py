@@ -30,19 +30,19 @@ def p4_p11_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Caps, masks, deformed forms and excerpts."""
     t = F.col("text")
     return documents(spark, sf_dir).select(
-        "doc_id", F.md5(normalize.capped(t, 1000)).alias("capped"), normalize.masked(F.substring(t, 1, 24)).alias("masked"),
+        "doc_id", F.md5(normalize.capped(t, 1000)).alias("capped"), F.md5(normalize.masked(t)).alias("masked"),
         F.md5(normalize.deformed(t)).alias("deformed"), F.md5(normalize.deformed_words(t)).alias("deformed_words"), normalize.excerpt(t, 60).alias("excerpt"),
         normalize.looks_like_base64(t).alias("binary"),
     )
 
 
 P4_SQL = _D + """SELECT doc_id, md5(CASE WHEN length(text) > 1000 THEN left(text, 1000) || ' [TRUNCATED]' ELSE text END) AS capped,
-  CASE WHEN n >= 10 THEN m[1:3] || repeat('*', n - 5) || m[-2:] WHEN n = 0 THEN '' WHEN n = 1 THEN '*' WHEN n <= 4 THEN m[1] || repeat('*', n - 2) || m[-1] ELSE m[1:2] || repeat('*', n - 4) || m[-2:] END AS masked,
+  md5(CASE WHEN n >= 10 THEN m[1:3] || repeat('*', n - 5) || m[-2:] WHEN n = 0 THEN '' WHEN n = 1 THEN '*' WHEN n <= 4 THEN m[1] || repeat('*', n - 2) || m[-1] ELSE m[1:2] || repeat('*', n - 4) || m[-2:] END) AS masked,
   md5(regexp_replace(regexp_replace(text, '((?s).{3})', '\\1-', 'g'), CASE WHEN length(text) % 3 = 0 THEN '-$' ELSE '$x' END, '')) AS deformed,
   md5(regexp_replace(regexp_replace(text, '(\\S{3})', '\\1' || chr(1), 'g'), chr(1) || '(\\s|$)', '\\1', 'g').replace(chr(1), '-')) AS deformed_words,
   CASE WHEN length(f) > 60 THEN left(f, 60) || '... [' || length(f) || ' chars]' ELSE f END AS excerpt,
   coalesce(length(text) >= 256 AND (length(left(text, 512)) - length(regexp_replace(left(text, 512), '[A-Za-z0-9+/=\\n\\r]', '', 'g'))) / length(left(text, 512)) > 0.92, FALSE) AS binary
-FROM (SELECT *, trim(regexp_replace(left(text, 24), '\\s+', ' ', 'g')) AS m, length(trim(regexp_replace(left(text, 24), '\\s+', ' ', 'g'))) AS n, regexp_replace(text, '\\s+', ' ', 'g') AS f FROM t)"""
+FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS m, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n, regexp_replace(text, '\\s+', ' ', 'g') AS f FROM t)"""
 
 
 def p5_runtime_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
