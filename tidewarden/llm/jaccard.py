@@ -19,8 +19,8 @@ Verification is exact on sets of 64-bit shingle hashes. Only links that can join
 two components are verified: first one link for each set, to the member of its
 key groups that shares most keys; then, in key groups that still hold members of
 different components, each set outside the group's largest component with its
-nearest member, and at last with every member that passes a bit-wise parity
-sketch test (blocks of numpy, sizes sorted; never pairs as rows before the test).
+nearest member, and at last, where a set has further ones, with every member
+that passes a bit-wise parity sketch test (blocks of numpy, sizes sorted; never pairs as rows before the test).
 
 Nothing holds a whole group: keys that may have very many holders are counted by
 aggregation before a shuffle, groups are cut into parts for the comparison, and
@@ -437,10 +437,12 @@ def open_members(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def open_pairs(members: DataFrame, sketches: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs ``a < b`` of one key group and different components that pass the short sketch test.
+    """``a, b, g``: pairs ``a < b`` of one key group and different components that pass the short sketch test.
 
     With ``nearest``, of each member only the pair with the fewest differing bits
-    (of each part that it meets).
+    (of each part that it meets); rows without ``a`` then name the groups ``g`` in
+    which a member has further pairs. All pairs of the other groups are there.
+    Rows can repeat.
 
     In a group, the members outside its largest component (the *others*) meet
     all members; two members of the largest component need no comparison. Others
@@ -481,6 +483,7 @@ def open_pairs(members: DataFrame, sketches: DataFrame, nearest: bool) -> DataFr
         orders = np.array(_ORDERS, np.int64)
         new = np.flatnonzero(np.append(True, (np.diff(g) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0))) if len(g) else np.zeros(0, np.int64)
         found: list[np.ndarray] = []
+        more: set[int] = set()
         for a, b in zip(new.tolist(), [*new[1:].tolist(), len(g)], strict=True):
             met = np.flatnonzero(side[a:b] != 1)
             if not len(met) or not side[a:b].any():
@@ -497,6 +500,7 @@ def open_pairs(members: DataFrame, sketches: DataFrame, nearest: bool) -> DataFr
                 w = int(wide[r - a])
                 x = np.frombuffer(raw[r - a], np.uint64)
                 best: tuple[float, int] | None = None
+                passing = 0
                 for other in (w // 2, w, 2 * w):
                     if other not in held:
                         continue
@@ -522,6 +526,7 @@ def open_pairs(members: DataFrame, sketches: DataFrame, nearest: bool) -> DataFr
                         here = agree[np.arange(len(at)), agree.argmax(1)] & (firsts[r] == g[r] ^ orders)[agree.argmax(1)]
                         near[at] = here | ~agree.any(1)
                     if nearest:
+                        passing += int(near.sum())
                         if near.any():
                             k = int(np.argmin(np.where(near, apart, 1 << 40)))
                             best = min(best or (1 << 40, 0), (int(apart[k]), int(ys[k])))
@@ -529,12 +534,16 @@ def open_pairs(members: DataFrame, sketches: DataFrame, nearest: bool) -> DataFr
                     ys = ys[near]
                     if len(ys):
                         found.append(np.sort(np.column_stack([np.full(len(ys), node[r]), node[ys]]), 1))
+                if passing > 1:
+                    more.add(int(g[r]))
                 if best is not None:
                     found.append(np.sort(np.array([[node[r], node[best[1]]]]), 1))
         ab = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": ab[:, 0].copy(), "b": ab[:, 1].copy()})
+        none = [None] * len(more)
+        columns = {"a": [*ab[:, 0].tolist(), *none], "b": [*ab[:, 1].tolist(), *none], "g": [*[None] * len(ab), *sorted(more)]}
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in columns.items()})
 
-    return dealt.groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
+    return dealt.groupBy("bucket").applyInArrow(compare, "a long, b long, g long")
 
 
 def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -566,11 +575,13 @@ def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = best.select(F.col("node").alias("b"), (-F.col("r.m")).alias("a"))
     links = verified(passed(first, sketches), docs, sets_of)
 
-    # Then key groups that still hold members of two components: each member's nearest, and then all pairs that are left.
+    # Then key groups that still hold members of two components: each member's nearest, and then all pairs of groups with more than these.
     for nearest in (True, False):
         still = open_members(members, links)
-        members = still.drop("comp")
-        links = links.unionByName(verified(passed(open_pairs(still, sketches, nearest), sketches), docs, sets_of))
+        found = staged(open_pairs(still, sketches, nearest), "found")
+        pairs = found.where("a is not null").select("a", "b").distinct()
+        links = links.unionByName(verified(passed(pairs, sketches), docs, sets_of))
+        members = still.drop("comp").join(found.where("a is null").select("g").distinct(), "g", "left_semi")
     comp = components(links)
     whole = sets_of.join(comp, "node", "left").select("k1", "k2", "id", F.coalesce("comp", "node").alias("comp"))
     named = whole.groupBy("comp").agg(F.min("id").alias("smallest"))
