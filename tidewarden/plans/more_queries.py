@@ -102,7 +102,7 @@ f AS (SELECT request_id, value, min((doc_id, i)) AS first FROM v GROUP BY ALL),
 m AS (SELECT request_id, value, '{{{{KEPT_' || request_id || '_EMAIL_' || row_number() OVER (PARTITION BY request_id ORDER BY first) || '}}}}' AS placeholder FROM f),
 p AS (SELECT request_id, list(value || chr(1) || placeholder ORDER BY -length(value), value) AS pairs FROM m GROUP BY request_id),
 h AS (SELECT doc_id, text, CASE WHEN pairs IS NULL THEN text ELSE list_reduce(list_prepend(text, pairs), lambda t, x: replace(t, string_split(x, chr(1))[1], string_split(x, chr(1))[2])) END AS hidden FROM d LEFT JOIN p USING (request_id))
-SELECT doc_id, md5(hidden) AS hidden, len(regexp_extract_all(hidden, '\{{\{{KEPT_\d+_EMAIL_\d+\}}\}}'))::INT AS placeholders, md5(text) AS restored FROM h"""
+SELECT doc_id, md5(hidden) AS hidden, len(regexp_extract_all(hidden, '\\{{\\{{KEPT_\\d+_EMAIL_\\d+\\}}\\}}'))::INT AS placeholders, md5(text) AS restored FROM h"""
 
 
 def w22_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
