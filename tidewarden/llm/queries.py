@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewarden.llm import ann, bpe, html_extract, jaccard, lm, mixing, mpegts, quality, sharding, unigram
+from tidewarden.functions.session import shared_dir
+from tidewarden.llm import ann, bpe, codes, html_extract, jaccard, lm, merkle, mixing, mpegts, quality, sharding, token_files, unigram
 
 #: Public tokenizer files.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -136,10 +138,124 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents by language; where 3 divides the id's checksum the text is lower-cased for the folded root."""
+    documents = _table(spark, sf_dir, "documents")
+    return merkle.merkle_manifest(documents, ["doc_id", "source", "lang", "n_chars", "text"], _crc_of_id(3) == 0, {"text": merkle.ascii_lower(F.col("text"))})
+
+
+#: Levels of a language's tree and of the tree of languages that the SQL spells out: 8 ** 7 rows and 8 ** 3 languages.
+_LEVELS, _TOP_LEVELS = 7, 3
+
+
+def _tree_sql(name: str, leaves: str, levels: int) -> str:
+    """Nodes of each level ``name_k`` and their runs ``name_k_runs``; a group with one node left carries it on."""
+    steps = [f"{name}_0 AS MATERIALIZED (SELECT g, pos, d, count(*) OVER (PARTITION BY g) AS n FROM {leaves})"]
+    for k in range(levels):
+        steps.append(f"{name}_{k}_runs AS MATERIALIZED (SELECT g, pos // 8 AS run, list(d ORDER BY pos) AS ds, any_value(n) AS n FROM {name}_{k} GROUP BY ALL)")
+        steps.append(f"{name}_{k + 1} AS MATERIALIZED (SELECT g, run AS pos, CASE WHEN n = 1 THEN ds[1] ELSE sha256(array_to_string(ds, '')) END AS d, count(*) OVER (PARTITION BY g) AS n FROM {name}_{k}_runs)")
+    return ",\n".join(steps)
+
+
+def _way_sql(name: str, start: str, levels: int) -> str:
+    """Proof and folded digest of each row of ``start`` (r, g, pos, proof, fold), level by level."""
+    steps, last = [], start
+    for k in range(levels):
+        i = "(pos % 8)::INT"
+        left, right = f"array_to_string(ds[1:{i}], '')", f"array_to_string(ds[{i} + 2:], '')"
+        alone = "n = 1"
+        steps.append(
+            f"{name}_way_{k} AS (SELECT r, w.g, pos // 8 AS pos, CASE WHEN {alone} THEN proof ELSE proof || {left} || {right} END AS proof, "
+            f"CASE WHEN {alone} THEN fold ELSE sha256({left} || fold || {right}) END AS fold FROM {last} w JOIN {name}_{k}_runs t ON w.g = t.g AND w.pos // 8 = t.run)"
+        )
+        last = f"{name}_way_{k}"
+    return ",\n".join(steps)
+
+
+def _leaf_sql(text: str) -> str:
+    field = "coalesce(strlen({0}) || ':' || {0}, '-')"
+    return "sha256(" + " || ".join(field.format(f"({c})::VARCHAR") for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+OP11_SQL = f"""
+WITH table_of AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), rows AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS g, {_leaf_sql("text")} AS d,
+    CASE WHEN xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 3 = 0
+      THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other
+  FROM documents, table_of
+), leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, d, r) - 1 AS pos FROM rows
+),
+{_tree_sql("low", "leaves", _LEVELS)},
+groups AS MATERIALIZED (SELECT '' AS g, g AS key, row_number() OVER (ORDER BY g) - 1 AS pos, d FROM low_{_LEVELS}),
+{_tree_sql("top", "groups", _TOP_LEVELS)},
+begun AS (SELECT r, g, pos, '' AS proof, coalesce(other, d) AS fold FROM leaves),
+{_way_sql("low", "begun", _LEVELS)},
+above AS (SELECT r, '' AS g, q.pos, proof, fold FROM low_way_{_LEVELS - 1} w JOIN groups q ON w.g = q.key),
+{_way_sql("top", "above", _TOP_LEVELS)}
+SELECT doc_id, l.d AS leaf, q.d AS subroot, t.d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = t.d AS verified
+FROM leaves l JOIN groups q ON l.g = q.key JOIN top_way_{_TOP_LEVELS - 1} w USING (r), top_{_TOP_LEVELS} t
+"""
+
+
+#: The id that ends a document.
+END_ID = 2
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written as token-id files and read back."""
+    path = f"{shared_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, BYTE_BPE, END_ID)
+    return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors: 4 parts, 256 entries, 4 rounds."""
+    return codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def _round_sql(k: int, last: bool) -> str:
+    nearest = f"""
+a{k} AS MATERIALIZED (
+  SELECT vec_id, label, p, x, best.e AS e, best.d AS d FROM (
+    SELECT vec_id, label, p, any_value(x) AS x, min({{'d': xx - 2 * list_inner_product(x, c) + list_inner_product(c, c), 'e': e}}) AS best
+    FROM parts JOIN c{k} USING (p) GROUP BY vec_id, label, p)
+)"""
+    moved = f"""
+c{k + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m.c, c{k}.c) AS c FROM c{k} LEFT JOIN (
+    SELECT p, e, list(floor(s / n) ORDER BY i) AS c FROM (
+      SELECT p, e, i, sum(x[i]) AS s, count(*) AS n FROM a{k}, (SELECT unnest(range(1, size + 1)) AS i FROM size_of) GROUP BY ALL) GROUP BY ALL
+  ) m USING (p, e)
+)"""
+    return nearest if last else nearest + "," + moved
+
+
+OP13_SQL = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), size_of AS (SELECT len(v) // 4 AS size FROM kept LIMIT 1
+), parts AS MATERIALIZED (
+  SELECT vec_id, label, p, v[p * size + 1 : p * size + size] AS x, list_inner_product(x, x) AS xx FROM kept, size_of, range(4) t(p)
+), c0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256)
+), {",".join(_round_sql(k, k == 4) for k in range(5))},
+whole AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY vec_id
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) FROM (SELECT p, e, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM c4)) AS codebooks_sha256
+FROM whole
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_trees, op2_trie_lm, op3_poisson_mix, op4_rendezvous_shards, op5_collision_ann, op6_html_main_text, op7_unigram_counts, op8_parity_join, op9_transport_streams, op10_bpe]
+    found = [op1_quality_trees, op2_trie_lm, op3_poisson_mix, op4_rendezvous_shards, op5_collision_ann, op6_html_main_text, op7_unigram_counts, op8_parity_join, op9_transport_streams, op10_bpe, op11_merkle_manifest, op12_token_files, op13_vector_codes]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_poisson_mix": OP3_SQL, "op4_rendezvous_shards": OP4_SQL}
+    return {"op3_poisson_mix": OP3_SQL, "op4_rendezvous_shards": OP4_SQL, "op11_merkle_manifest": OP11_SQL, "op13_vector_codes": OP13_SQL}
