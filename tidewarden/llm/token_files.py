@@ -1,8 +1,9 @@
 """Token-id files: concatenated ids with Elias-Fano document boundaries.
 
 ``encode_texts`` gives each whole text's ids by the tokenizers library. A text is
-cut before each white-space run, where no pre-token of a byte-level tokenizer ends
-or begins otherwise, and each different piece of a batch is encoded once; texts
+cut before each white-space run and behind each letter that an ASCII digit or mark
+follows, where every pre-token of a byte-level tokenizer has a border, and each
+different piece of a batch is encoded once; texts
 with white space outside ASCII or with added tokens go to the library whole.
 ``write_token_files`` deals rows out by id range, encodes them and writes them with
 the data source ``token_ids``; ``read_token_files`` reads them back.
@@ -58,6 +59,10 @@ REMEMBERED, LONGEST = 300_000, 64
 _ODD_SPACE = "[\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{180E}\\x{2000}-\\x{200B}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[*range(9, 14), 32]] = True
+_IS_LETTER = np.zeros(256, bool)
+_IS_LETTER[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
+_IS_MARK = np.zeros(256, bool)
+_IS_MARK[33:127] = ~_IS_LETTER[33:127]
 
 
 class PieceEncoder:
@@ -72,6 +77,10 @@ class PieceEncoder:
         #: only a byte-level split leaves the borders before white-space runs alone
         self.by_piece = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and spec.get("normalizer") is None
         self.added = [a["content"] for a in spec.get("added_tokens", ())]
+        #: an added token that takes nothing from its neighbours: the library cuts there before all else
+        plain = [a for a in spec.get("added_tokens", ()) if a["special"] and not (a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"])]
+        self.border = plain[0]["id"] if self.by_piece and plain else None
+        self.border_text = plain[0]["content"].encode() if plain else b""
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -83,18 +92,32 @@ class PieceEncoder:
         if len(self.newer) >= REMEMBERED // 2:
             self.older, self.newer = self.newer, {}
         newer, older = self.newer, self.older
-        out = [newer.get(p) or older.get(p) for p in pieces]
-        missing = [i for i, x in enumerate(out) if x is None]
+        out = list(map(newer.get, pieces))
+        fresh = [i for i, x in enumerate(out) if x is None]
+        missing = []
+        for i in fresh:
+            out[i] = older.get(pieces[i])
+            if out[i] is None:
+                missing.append(i)
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
-            encoded = self.tokenizer.encode_batch_fast([pieces[i].decode() for i in part], add_special_tokens=False)
-            for i, e in zip(part, encoded, strict=True):
-                out[i] = np.array(e.ids, "<u4").tobytes()
-        for p, x in zip(pieces, out, strict=True):
-            if len(p) <= LONGEST:
-                newer[p] = x
+            for i, x in zip(part, self._asked([pieces[i] for i in part]), strict=True):
+                out[i] = x
+        for i in fresh:
+            if len(pieces[i]) <= LONGEST:
+                newer[pieces[i]] = out[i]
         return out
 
+    def _asked(self, pieces: list[bytes]) -> list[bytes]:
+        """What the library gives for each piece: one text with the added token between them, or one text for each."""
+        if self.border is None or self.border_text in b"".join(pieces):
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        (found,) = self.tokenizer.encode_batch_fast([self.border_text.join(pieces).decode()], add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        cuts = [-1, *np.flatnonzero(ids == self.border).tolist(), len(ids)]
+        raw = ids.tobytes()
+        return [raw[4 * a + 4 : 4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and how many each text has; nulls are empty."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
@@ -107,7 +130,7 @@ class PieceEncoder:
         start = np.zeros(len(raw), bool)
         if self.by_piece:
             space = _IS_SPACE[raw]
-            start[1:] = space[1:] & ~space[:-1]
+            start[1:] = (space[1:] & ~space[:-1]) | (_IS_MARK[raw[1:]] & _IS_LETTER[raw[:-1]])
             whole = pc.match_substring_regex(texts, _ODD_SPACE)
             for a in self.added:
                 whole = pc.or_(whole, pc.match_substring(texts, a))
@@ -147,7 +170,7 @@ def _with_end(flat: np.ndarray, counts: np.ndarray, end_id: int | None) -> tuple
     return np.insert(flat, np.cumsum(counts), end_id), counts + 1
 
 
-def _slices(texts: pa.Array, limit: int = 2 << 20) -> Iterator[pa.Array]:
+def _slices(texts: pa.Array, limit: int = 8 << 20) -> Iterator[pa.Array]:
     """Runs of texts of about ``limit`` bytes."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
