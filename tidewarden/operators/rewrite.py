@@ -71,11 +71,15 @@ def merge_hits(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
     return hits.groupBy(*keys).agg(F.sum("count").alias("count"))
 
 
+def listed_values(values: Sequence[str], least: int = 10) -> list[str]:
+    """Different values of ``least`` characters or more, trimmed, longest first."""
+    return sorted({v.strip() for v in values if len(v.strip()) >= least}, key=lambda v: (-len(v), v))
+
+
 def replace_values(text: Column, values: Sequence[str], mark: str = "[REDACTED:EXACT]", least: int = 10) -> tuple[Column, Column]:
     """Replace listed values, longest first; returns the text and the number of replacements."""
-    listed = sorted({v.strip() for v in values if len(v.strip()) >= least}, key=lambda v: (-len(v), v))
     count = F.lit(0)
-    for v in listed:
+    for v in listed_values(values, least):
         count = count + ((F.length(text) - F.length(F.replace(text, F.lit(v), F.lit("")))) / len(v)).cast("int")
         text = F.replace(text, F.lit(v), F.lit(mark))
     return text, count

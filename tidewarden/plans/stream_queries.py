@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewarden.functions.session import staged
 from tidewarden.operators import learn, nested, scan
 from tidewarden.plans.record_queries import _chat_json
-from tidewarden.plans.seeds import MESSAGES_SQL, messages, quoted, table
+from tidewarden.plans.seeds import quoted, table
 from tidewarden.sources import payloads
 from tidewarden.streaming import guard
 
@@ -42,22 +41,6 @@ def t15_stateless_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 T15_SQL = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT conv_id, turn, 'direct' AS rule_group, {quoted(r.rule_id)} AS rule_id, len(regexp_extract_all(text || ' ignore all previous instructions ' || role, {quoted(scan.to_re2(r))}))::BIGINT AS n FROM conversations" for r in scan.default_rules("direct")) + ") WHERE n > 0"
 
 
-def t3_guarded_release(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of chat turns released behind a guard; what came out of each stream."""
-    m = messages(spark, sf_dir).select(F.concat_ws("-", "request_id", "msg_idx").alias("id"), "content")
-    chunks = staged(guard.chunked(m, "id", F.col("content"), 24), "chunks")
-    path = chunks.inputFiles()[0].rsplit("/", 1)[0]
-    stream = spark.readStream.schema(chunks.schema).parquet(path)
-    out = guard.run_to_table(guard.release_guarded(stream, scan.default_rules("leak", "direct"), held=1 << 20, window=1 << 20), "released")
-    whole = out.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("seq", "text", "outcome"))).alias("f"))
-    return whole.select("stream_id", F.exists("f", lambda x: x["outcome"] == "sanitized").alias("sanitized"))
-
-
-def _t3_sql() -> str:
-    hit = " OR ".join(f"regexp_matches(content, {quoted(scan.to_re2(r))})" for r in scan.default_rules("leak", "direct"))
-    return f"SELECT request_id || '-' || msg_idx AS stream_id, {hit} AS sanitized FROM {MESSAGES_SQL} m"
-
-
 def t13_joined_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views joined to purchases of the same user within a day (interval join of two streams)."""
     e = _events_stream(spark, sf_dir)
@@ -111,9 +94,9 @@ CHUNKS_SQL = "SELECT doc_id, c::INT AS chunk, (c * 800)::INT AS start, md5(subst
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [t12_hourly_stream, t15_stateless_stream, t3_guarded_release, t13_joined_streams, t10_assembled_calls, m1_toxicity_report, w4_nested_json, text_chunks]
+    own = [t12_hourly_stream, t15_stateless_stream, t13_joined_streams, t10_assembled_calls, m1_toxicity_report, w4_nested_json, text_chunks]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"t12_hourly_stream": T12_SQL, "t15_stateless_stream": T15_SQL, "t3_guarded_release": _t3_sql(), "t13_joined_streams": T13_SQL, "t10_assembled_calls": T10_SQL, "w4_nested_json": W4_SQL, "text_chunks": CHUNKS_SQL}
+    return {"t12_hourly_stream": T12_SQL, "t15_stateless_stream": T15_SQL, "t13_joined_streams": T13_SQL, "t10_assembled_calls": T10_SQL, "w4_nested_json": W4_SQL, "text_chunks": CHUNKS_SQL}

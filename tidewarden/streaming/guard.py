@@ -1,82 +1,189 @@
-"""Streaming forms: guarded release of chunks, statistics, replays and joins.
+"""Streaming forms: guarded release of chunks, stream heads, stream ends, statistics, replays and joins.
 
-``release_guarded`` keeps, for each stream, the newest frames back, looks at a
-bounded window of text, and on a hit cleans what it holds and ends the stream.
-Rows of one key come in file order, so each micro-batch is sorted by ``seq`` and
-chunks behind a gap wait for it.
+``Guard``, ``HeadProbe`` and ``StreamEnds`` are operators on ordered chunks (see
+``ordered``): state by stream is bounded by the window, the held frames or the head.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewarden.functions.session import shared_dir
 from tidewarden.operators.scan import Rule
+from tidewarden.streaming.ordered import OrderedStream, run_ordered
 
 #: Characters of the window, frames held back, first probes and their step.
 WINDOW, HELD, FIRST_PROBES, PROBE_STEP = 8000, 8, 4, 4
-OUT = "stream_id string, seq long, text string, outcome string"
-STATE = "next_seq long, tail string, held string, early string, probes long, ended boolean"
-_SEP, _PAIR = "\x1e", "\x1f"
+#: Characters of a stream's head that are looked at, and of their window.
+HEAD_BUDGET, HEAD_WINDOW = 200_000, 8192
 
 
-def _pack(rows: list[tuple[int, str]]) -> str:
-    return _SEP.join(f"{s}{_PAIR}{t}" for s, t in rows)
+class _Scanned(OrderedStream):
+    """An operator that looks for rules."""
 
+    def __init__(self, rules: Sequence[Rule], mark: str, silence_ms: int | None, event_time: bool) -> None:
+        super().__init__(silence_ms, event_time)
+        self.patterns = [(r.regex, 0 if r.case_sensitive else re.IGNORECASE) for r in rules]
+        self.mark = mark
 
-def _unpack(text: str) -> list[tuple[int, str]]:
-    return [(int(a), b) for a, b in (x.split(_PAIR, 1) for x in text.split(_SEP))] if text else []
+    def hit(self, text: str) -> bool:
+        return any(re.search(p, text, f) for p, f in self.patterns)
 
+    def cleaned(self, text: str) -> str:
+        for p, f in self.patterns:
+            text = re.sub(p, self.mark, text, flags=f)
+        return text
 
-def release_guarded(chunks: DataFrame, rules: Sequence[Rule], mark: str = "[REDACTED:stream]", held: int = HELD, window: int = WINDOW) -> DataFrame:
-    """Chunks (``stream_id, seq, text, last``) as released frames.
 
-    ``outcome`` is ``released``, ``sanitized`` for the frames held at a hit (the
-    stream ends there), or ``flushed`` at the end. Values that span chunks are
-    found as long as they fit in the held frames and the window.
+class Guard(_Scanned):
+    """Frames released behind a guard: ``seq, text, outcome``.
+
+    The newest ``held`` frames stay back. The window of the newest text is probed at
+    the first chunks, then at every PROBE_STEP-th and at the end. On a hit the frames
+    still held go out as one ``sanitized`` frame and the stream ends; frames are
+    ``released`` as newer ones come, and ``flushed`` at the end or when the stream
+    is silent. Values that span chunks are found as long as they fit in the held
+    frames and the window.
     """
-    patterns = [(r.regex, re.IGNORECASE if not r.case_sensitive else 0) for r in rules]
-
-    def guard(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        compiled = [re.compile(p, f) for p, f in patterns]
-        next_seq, tail, kept, early, probes, ended = state.get if state.exists else (0, "", "", "", 0, False)
-        frames, waiting = _unpack(kept), dict(_unpack(early))
-        last_at = None
-        for b in batches:
-            for s, t, last in zip(b["seq"], b["text"], b["last"], strict=True):
-                waiting[int(s)] = t or ""
-                if last:
-                    last_at = int(s)
-        out: list[tuple[str, int, str, str]] = []
-        while next_seq in waiting and not ended:
-            text = waiting.pop(next_seq)
-            frames.append((next_seq, text))
-            tail = (tail + text)[-window:]
-            probes += 1
-            final = next_seq == last_at
-            if (probes <= FIRST_PROBES or probes % PROBE_STEP == 0 or final) and any(c.search(tail) for c in compiled):
-                whole = "".join(t for _, t in frames)
-                for c in compiled:
-                    whole = c.sub(mark, whole)
-                out.append((key[0], frames[0][0], whole, "sanitized"))
-                frames, ended = [], True
-            while len(frames) > held:
-                s, t = frames.pop(0)
-                out.append((key[0], s, t, "released"))
-            if final and not ended:
-                out += [(key[0], s, t, "flushed") for s, t in frames]
-                frames, ended = [], True
-            next_seq += 1
-        state.update((next_seq, tail, _pack(frames), _pack(sorted(waiting.items())) if not ended else "", probes, ended))
-        yield pd.DataFrame(out, columns=["stream_id", "seq", "text", "outcome"])
-
-    return chunks.groupBy("stream_id").applyInPandasWithState(guard, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+    own_schema = "tail string, probes long, frames array<struct<seq:bigint,text:string>>"
+    out_schema = "seq long, text string, outcome string"
+
+    def __init__(self, rules: Sequence[Rule], mark: str = "[REDACTED:stream]", held: int = HELD, window: int = WINDOW, silence_ms: int | None = None, event_time: bool = False) -> None:
+        super().__init__(rules, mark, silence_ms, event_time)
+        self.held, self.window = held, window
+
+    def start(self) -> tuple:
+        return "", 0, []
+
+    def take(self, own: tuple, seq: int, text: str, final: bool) -> tuple[tuple, list[tuple], bool]:
+        tail, probes, frames = own
+        tail, probes = (tail + text)[-self.window :], probes + 1
+        frames = [*((f[0], f[1]) for f in frames), (seq, text)]
+        if (probes <= FIRST_PROBES or probes % PROBE_STEP == 0 or final) and self.hit(tail):
+            return self.start(), self._sanitized(frames), True
+        kept = 0 if final else self.held
+        out = [(*f, "released") for f in frames[: -self.held or None]] if len(frames) > self.held else []
+        if final:
+            out += [(*f, "flushed") for f in frames[len(out) :]]
+        return (tail, probes, frames[len(frames) - min(kept, len(frames)) :]), out, final
+
+    def _sanitized(self, frames: list[tuple]) -> list[tuple]:
+        return [(frames[0][0], self.cleaned("".join(t for _, t in frames)), "sanitized")]
+
+    def close_silent(self, own: tuple) -> list[tuple]:
+        tail, _, frames = own
+        frames = [(f[0], f[1]) for f in frames]
+        if frames and self.hit(tail):
+            return self._sanitized(frames)
+        return [(*f, "flushed") for f in frames]
+
+
+class HeadProbe(_Scanned):
+    """The head of each stream is looked at, the rest passes: ``seq, text, outcome``.
+
+    Up to ``budget`` characters are scanned as they come, in a sliding window. The
+    frames are held so long; at a hit they go out as one ``sanitized`` frame, at the
+    end of the budget or of the stream as they are (``released``). Frames behind
+    that are ``passed`` without a look.
+    """
+
+    own_schema = "window string, seen long, passing boolean, frames array<struct<seq:bigint,text:string>>"
+    out_schema = "seq long, text string, outcome string"
+
+    def __init__(self, rules: Sequence[Rule], mark: str = "[REDACTED:command]", budget: int = HEAD_BUDGET, window: int = HEAD_WINDOW, silence_ms: int | None = None, event_time: bool = False) -> None:
+        super().__init__(rules, mark, silence_ms, event_time)
+        self.budget, self.window = budget, window
+
+    def start(self) -> tuple:
+        return "", 0, False, []
+
+    def take(self, own: tuple, seq: int, text: str, final: bool) -> tuple[tuple, list[tuple], bool]:
+        window, seen, passing, frames = own
+        if passing:
+            return own, [(seq, text, "passed")], final
+        frames = [*((f[0], f[1]) for f in frames), (seq, text)]
+        piece = text[: self.budget - seen]
+        window, seen = (window + piece)[-self.window :], seen + len(piece)
+        if piece and self.hit(window):
+            return ("", seen, True, []), [(frames[0][0], self.cleaned("".join(t for _, t in frames)), "sanitized")], final
+        if final or seen >= self.budget:
+            return ("", seen, True, []), [(*f, "released") for f in frames], final
+        return (window, seen, False, frames), [], False
+
+    def close_silent(self, own: tuple) -> list[tuple]:
+        return [(f[0], f[1], "released") for f in own[3]]
+
+
+#: Events that end a stream of the protocols without a done mark (fixed values).
+TERMINAL_TYPES = ("response.completed", "message_stop")
+#: What replay texts end with where the stream broke off.
+NOTICE = "[the answer ended before it was complete]"
+
+
+class StreamEnds(OrderedStream):
+    """One row for each stream that ended: ``end_reason, frames, replay``.
+
+    Chunks are the data of one event each. ``done``: the done mark came, or an event
+    that ends its protocol; ``terminal_without_done:REASON``: a finish reason came but
+    no done mark; ``early_end``: neither. Without a done mark, ``replay`` is the
+    newest text of the stream (``window`` characters), after an early end with a
+    notice. Streams end by their last chunk, by the done mark, or by silence.
+    """
+
+    own_schema = "window string, finish string, frames long"
+    out_schema = "end_reason string, frames long, replay string"
+
+    def __init__(self, window: int = WINDOW, notice: str = NOTICE, silence_ms: int | None = None, event_time: bool = False) -> None:
+        super().__init__(silence_ms, event_time)
+        self.window, self.notice = window, notice
+
+    def start(self) -> tuple:
+        return "", "", 0
+
+    def take(self, own: tuple, seq: int, text: str, final: bool) -> tuple[tuple, list[tuple], bool]:
+        window, finish, frames = own
+        frames += 1
+        if text.strip() == "[DONE]":
+            return self.start(), [("done", frames, None)], True
+        delta, reason, ends = read_event(text)
+        window = (window + delta)[-self.window :]
+        if ends:
+            return self.start(), [("done", frames, None)], True
+        own = (window, reason or finish, frames)
+        return own, self.close_silent(own) if final else [], final
+
+    def close_silent(self, own: tuple) -> list[tuple]:
+        window, finish, frames = own
+        if finish:
+            return [(f"terminal_without_done:{finish}", frames, window.strip())]
+        return [("early_end", frames, "\n\n".join(x for x in (window.strip(), self.notice) if x))]
+
+
+def read_event(data: str) -> tuple[str, str, bool]:
+    """Text, finish reason, and whether it ends its protocol, of the data of one event of three vendor shapes; data that is no JSON object has none."""
+    try:
+        event = json.loads(data)
+    except ValueError:
+        return "", "", False
+    if not isinstance(event, dict):
+        return "", "", False
+    choices = event.get("choices")
+    choice = choices[0] if isinstance(choices, list) and choices and isinstance(choices[0], dict) else {}
+    delta = choice.get("delta", event.get("delta"))
+    text = delta if isinstance(delta, str) else (delta.get("content") or delta.get("text") or "") if isinstance(delta, dict) else ""
+    finish = choice.get("finish_reason")
+    return text if isinstance(text, str) else "", finish if isinstance(finish, str) else "", event.get("type") in TERMINAL_TYPES
+
+
+def release_guarded(chunks: DataFrame, rules: Sequence[Rule], mark: str = "[REDACTED:stream]", held: int = HELD, window: int = WINDOW) -> DataFrame:
+    """Chunks (``stream_id, seq, text, last``) as frames released behind a ``Guard``."""
+    return run_ordered(chunks, Guard(rules, mark, held, window))
 
 
 def hourly_stats(events: DataFrame, ts_col: str, late: str, by: Sequence[str]) -> DataFrame:
