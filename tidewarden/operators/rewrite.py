@@ -151,33 +151,175 @@ def widened(spans: Column, text: Column, by: int = 20) -> Column:
     return F.transform(spans, lambda s: F.struct(F.greatest(s["start"] - by, F.lit(0)).alias("start"), F.least(s["end"] + by, F.length(text)).alias("end")))
 
 
-def placeholder_map(df: DataFrame, request_col: str, order_col: str, text_col: str, rules: Sequence[Rule], prefix: str = "KEPT") -> DataFrame:
-    """``request_col, placeholder, value``: the distinct values that the rules find in a request's texts.
+# ---- reversible placeholders --------------------------------------------------
 
-    Values of one kind are numbered from 1 inside the request, in order of text
-    and place. The shuffles are on request and value, so no task holds more than
-    the values of the requests it gets.
+#: Between the kind and the value of a kept piece, and in front of escaped code points.
+_VALUE, _ESCAPE = chr(0xE002), chr(0xE003)
+_OWN = (_ESCAPE, _KEPT, _CUT, _VALUE)
+#: Kind of texts that look like a placeholder already.
+LITERAL = "LITERAL"
+#: Fixed values of restoration: seconds that a mapping holds, placeholders of a response.
+RESTORE_AGE, RESTORE_MOST = 1800, 20
+
+
+def placeholder_pattern(prefix: str) -> str:
+    return r"\{\{" + prefix + r"_[A-Z]{12}_[A-Z0-9_]+_[0-9]+\}\}"
+
+
+def _letters(text: Column, n: int) -> Column:
+    """``n`` capital letters of a digest: no rule on digits, words or tokens matches them."""
+    return F.translate(F.upper(F.substring(F.md5(text), 1, n)), "0123456789", "GHIJKLMNOP")
+
+
+def _escaped(text: Column) -> Column:
+    out = text
+    for i, c in enumerate(_OWN):
+        out = F.replace(out, F.lit(c), F.lit(f"{_ESCAPE}{chr(0xE010 + i)}"))
+    return F.when(text.rlike(f"[{_KEPT}-{_ESCAPE}]"), out).otherwise(text)
+
+
+def _unescaped(text: Column) -> Column:
+    out = text
+    for i, c in reversed(list(enumerate(_OWN))):
+        out = F.replace(out, F.lit(f"{_ESCAPE}{chr(0xE010 + i)}"), F.lit(c))
+    return F.when(text.contains(_ESCAPE), out).otherwise(text)
+
+
+#: Rules in one expression: each is a nested function, and the analyser goes only so deep.
+_AT_ONCE = 24
+
+
+def _split_off(parts: Column, hit: Column, regex: str, kind: str) -> Column:
+    """Matches in the pieces that aren't kept become kept pieces of ``kind`` with their value."""
+
+    def one(p: Column) -> Column:
+        return F.when(p.startswith(_KEPT) | ~hit, F.array(p)).otherwise(F.split(F.regexp_replace(p, regex, f"{_CUT}{_KEPT}{kind}{_VALUE}$0{_CUT}"), _CUT, -1))
+
+    return F.flatten(F.transform(parts, one))
+
+
+def with_pieces(df: DataFrame, text_col: str, rules: Sequence[Rule], prefix: str = "KEPT") -> DataFrame:
+    """Add ``_pieces``: the text as pieces ``kind, value`` whose values joined are the text; kind is null for what stays. Null where no rule hits.
+
+    Rules that hit the text, in order: each looks at what the rules before it left,
+    so matches are disjoint and the first rule wins. What looks like a placeholder
+    is a value of kind LITERAL. One scan, no shuffle.
     """
-    found = None
-    for rule in rules:
-        hits = df.where(F.col(text_col).rlike(rule.java)).select(request_col, order_col, F.lit(rule.rule_id).alias("kind"), F.posexplode(F.regexp_extract_all(text_col, F.lit(rule.java), F.lit(0))).alias("i", "value"))
-        found = hits if found is None else found.unionByName(hits)
-    first = found.groupBy(request_col, "kind", "value").agg(F.min(F.struct(order_col, "i")).alias("first"))
-    n = F.row_number().over(Window.partitionBy(request_col, "kind").orderBy("first"))
-    name = F.concat(F.lit("{{" + prefix + "_"), F.col(request_col).cast("string"), F.lit("_"), F.col("kind"), F.lit("_"), n.cast("string"), F.lit("}}"))
-    return first.select(request_col, name.alias("placeholder"), "value")
-
-
-def pseudonymised(df: DataFrame, mapping: DataFrame, request_col: str, text_col: str) -> DataFrame:
-    """The texts with each value replaced by its placeholder, longest values first."""
-    longest = F.array_sort(F.collect_list(F.struct((-F.length("value")).alias("n"), "value", "placeholder")))
-    pairs = mapping.groupBy(request_col).agg(longest.alias("_pairs"))
-    text = F.aggregate("_pairs", F.col(text_col), lambda t, p: F.replace(t, p["value"], p["placeholder"]))
-    return df.join(pairs, request_col, "left").withColumn(text_col, F.when(F.col("_pairs").isNull(), F.col(text_col)).otherwise(text)).drop("_pairs")
-
-
-def restored(df: DataFrame, mapping: DataFrame, request_col: str, text_col: str) -> DataFrame:
-    """The texts with each placeholder of their request replaced by its value."""
-    pairs = mapping.groupBy(request_col).agg(F.array_sort(F.collect_list(F.struct("placeholder", "value"))).alias("_pairs"))
-    text = F.aggregate("_pairs", F.col(text_col), lambda t, p: F.replace(t, p["placeholder"], p["value"]))
-    return df.join(pairs, request_col, "left").withColumn(text_col, F.when(F.col("_pairs").isNull(), F.col(text_col)).otherwise(text)).drop("_pairs")
+    text = F.col(text_col)
+    cut = placeholder_pattern(prefix)
+    out = df.withColumn("_lower", F.lower(text)).withColumn("_hits", F.array(text.rlike(cut), *(rule_hit(text, F.col("_lower"), r) for r in rules)))
+    out = out.withColumn("_parts", F.when(F.array_contains("_hits", True), F.array(_escaped(text))))
+    steps = [(LITERAL, cut), *((r.rule_id, r.java) for r in rules)]
+    for at in range(0, len(steps), _AT_ONCE):
+        parts = F.col("_parts")
+        for i, (kind, regex) in enumerate(steps[at : at + _AT_ONCE], at):
+            parts = _split_off(parts, F.col("_hits")[i], regex, kind)
+        out = out.withColumn("_parts", parts)
+
+    def one(p: Column) -> Column:
+        kept, at = p.startswith(_KEPT), F.instr(p, _VALUE)
+        kind = F.when(kept, F.substring(p, F.lit(2), at - 2))
+        return F.struct(kind.alias("kind"), _unescaped(F.when(kept, F.substring(p, at + 1, F.length(p))).otherwise(p)).alias("value"))
+
+    return out.withColumn("_pieces", F.transform("_parts", one)).drop("_lower", "_hits", "_parts")
+
+
+def _request(column: str) -> Column:
+    """A request as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
+def placeholder_map(pieces: DataFrame, request_col: str, order_col: str, rules: Sequence[Rule], prefix: str = "KEPT") -> DataFrame:
+    """``request_col, placeholder, value`` of rows with ``_pieces``: one placeholder for each different value of a request.
+
+    Numbered from 1 inside the request in order of row, rule and place. A value that
+    several rules find has the name of the first. The shuffles are on request and
+    value; no task gathers a request's values in memory.
+    """
+    rank = {LITERAL: -1} | {r.rule_id: i for i, r in reversed(list(enumerate(rules)))}
+    ranks = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])
+    values = pieces.where("_pieces is not null").select(F.col(request_col).alias("_r"), F.col(order_col).alias("_o"), F.posexplode("_pieces").alias("_i", "_p")).where("_p.kind is not null")
+    first = values.groupBy("_r", F.col("_p.value").alias("value")).agg(F.min(F.struct(F.col("_o"), F.element_at(ranks, F.col("_p.kind")).alias("rank"), F.col("_i"), F.col("_p.kind").alias("kind"))).alias("_f"))
+    n = F.row_number().over(Window.partitionBy("_r").orderBy("_f"))
+    name = F.concat(F.lit("{{" + prefix + "_"), _letters(F.coalesce(F.col("_r").cast("string"), F.lit("")), 12), F.lit("_"), F.col("_f.kind"), F.lit("_"), n.cast("string"), F.lit("}}"))
+    return first.select(F.col("_r").alias(request_col), name.alias("placeholder"), "value")
+
+
+def _looked_up(df: DataFrame, mapping: DataFrame, request_col: str, order_col: str, keys: Column, key: str, value: str, out: str) -> DataFrame:
+    """Add ``out``: for each row the map of its own ``keys`` to the values that its request's mapping has for them.
+
+    An equi-join on request and key, gathered by row, so a row holds what it needs only.
+    """
+    asked = df.select(_request(request_col).alias("_q"), F.col(order_col).alias("_o"), F.explode(F.array_distinct(keys)).alias("_k"))
+    known = mapping.select(_request(request_col).alias("_mq"), F.col(key).alias("_mk"), F.col(value).alias("_mv"))
+    found = asked.distinct().join(known, (F.col("_q") == F.col("_mq")) & (F.col("_k") == F.col("_mk")))
+    of_row = found.groupBy(F.col("_q").alias("_fq"), F.col("_o").alias("_fo")).agg(F.map_from_entries(F.collect_set(F.struct("_k", "_mv"))).alias(out))
+    return df.join(of_row, (_request(request_col) == F.col("_fq")) & F.col(order_col).eqNullSafe(F.col("_fo")), "left").drop("_fq", "_fo")
+
+
+def pseudonymised(pieces: DataFrame, mapping: DataFrame, request_col: str, order_col: str, text_col: str) -> DataFrame:
+    """The texts of rows with ``_pieces``, each found value replaced at its place by its placeholder."""
+    values = F.transform(F.filter("_pieces", lambda p: p["kind"].isNotNull()), lambda p: p["value"])
+    names = _looked_up(pieces, mapping, request_col, order_col, values, "value", "placeholder", "_names")
+    text = F.array_join(F.transform("_pieces", lambda p: F.when(p["kind"].isNull(), p["value"]).otherwise(F.element_at("_names", p["value"]))), "")
+    return names.withColumn(text_col, F.when(F.col("_names").isNull(), F.col(text_col)).otherwise(text)).drop("_pieces", "_names")
+
+
+def pseudonymised_by_digest(df: DataFrame, request_col: str, text_col: str, rules: Sequence[Rule], salt: str, prefix: str = "KEPT", mapping_col: str = "mapping") -> DataFrame:
+    """Placeholders named by a salted digest of request and value, without any shuffle; ``mapping_col`` has each row's placeholders and values.
+
+    For bulk jobs: no numbers, so rows of a request need not meet. The name doesn't
+    give the value away as long as the salt is kept.
+    """
+    request = F.coalesce(F.col(request_col).cast("string"), F.lit(""))
+
+    def name(p: Column) -> Column:
+        number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(salt), request, p["value"])), 1, 15), 16, 10)
+        return F.concat(F.lit("{{" + prefix + "_"), _letters(request, 12), F.lit("_"), p["kind"], F.lit("_"), number, F.lit("}}"))
+
+    out = with_pieces(df, text_col, rules, prefix)
+    kept = F.filter("_pieces", lambda p: p["kind"].isNotNull())
+    pairs = F.map_from_entries(F.array_distinct(F.transform(kept, lambda p: F.struct(name(p).alias("k"), p["value"].alias("v")))))
+    text = F.array_join(F.transform("_pieces", lambda p: F.when(p["kind"].isNull(), p["value"]).otherwise(name(p))), "")
+    return out.withColumns({mapping_col: pairs, text_col: F.when(F.col("_pieces").isNull(), F.col(text_col)).otherwise(text)}).drop("_pieces")
+
+
+def placeholders_in(text: Column, prefix: str = "KEPT") -> Column:
+    return F.regexp_extract_all(text, F.lit(placeholder_pattern(prefix)), F.lit(0))
+
+
+def restored_text(text: Column, values: Column, prefix: str = "KEPT") -> Column:
+    """Each placeholder that the map has replaced by its value, in one pass: values aren't looked at again."""
+    cut = placeholder_pattern(prefix)
+    between, found = F.split(text, cut, -1), placeholders_in(text, prefix)
+    joined = F.array_join(F.zip_with(between, F.transform(found, lambda p: F.coalesce(F.try_element_at(values, p), p)), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(values.isNull() | (F.size(found) == 0), text).otherwise(joined)
+
+
+def restored(df: DataFrame, mapping: DataFrame, request_col: str, order_col: str, text_col: str, suspicious: Column | None = None, age: Column | None = None, prefix: str = "KEPT", max_age: int = RESTORE_AGE, most: int = RESTORE_MOST, once: bool = True, outcome_col: str = "outcome") -> DataFrame:
+    """The responses with their placeholders restored, and why not in ``outcome_col``.
+
+    In this order: ``stale_mapping`` (``age`` in seconds over ``max_age``),
+    ``consumed`` (``once``: the first response of a request uses the mapping up),
+    ``too_many_placeholders``, ``partial_restore`` (one isn't in the mapping),
+    ``exfiltration`` (placeholders in a ``suspicious`` text), ``restored``. Without
+    placeholders a text is as it was, ``restored``. Only restored texts change.
+    """
+    rows = _looked_up(df.withColumn("_found", placeholders_in(F.col(text_col), prefix)), mapping, request_col, order_col, F.col("_found"), "placeholder", "value", "_values")
+    if once:
+        firsts = df.groupBy(_request(request_col).alias("_fq")).agg(F.min(order_col).alias("_first"))
+        rows = rows.join(firsts, _request(request_col) == F.col("_fq"), "left").drop("_fq")
+    used = F.coalesce(F.col(order_col) > F.col("_first"), F.lit(False)) if once else F.lit(False)
+    missing = F.size("_found") > 0
+    known = F.coalesce(F.map_keys("_values"), F.array().cast("array<string>"))
+    why = (
+        F.when(F.coalesce(age, F.lit(0)) > max_age if age is not None else F.lit(False), "stale_mapping")
+        .when(used, "consumed")
+        .when(F.size("_found") > most, "too_many_placeholders")
+        .when(missing & (F.size(F.array_except("_found", known)) > 0), "partial_restore")
+        .when(missing & (suspicious if suspicious is not None else F.lit(False)), "exfiltration")
+        .otherwise("restored")
+    )
+    out = rows.withColumn(outcome_col, why)
+    text = F.when(F.col(outcome_col) == "restored", restored_text(F.col(text_col), F.col("_values"), prefix)).otherwise(F.col(text_col))
+    return out.withColumn(text_col, text).drop("_found", "_values", "_first")

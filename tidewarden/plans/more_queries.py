@@ -11,7 +11,7 @@ from tidewarden.functions.session import staged
 from tidewarden.operators import decide, normalize, rewrite, scan
 from tidewarden.plans.record_queries import S1_SQL, _chat_json, encrypted
 from tidewarden.plans.rewrite_queries import _d3_sql, d3_injection_score
-from tidewarden.plans.scan_queries import any_sql, flag_query, hit_sql
+from tidewarden.plans.scan_queries import _RUNS, any_sql, flag_query, hit_sql
 from tidewarden.plans.seeds import DOCUMENTS_SQL, documents, quoted
 from tidewarden.plans.stream_queries import _events_stream
 from tidewarden.sources import payloads, rules
@@ -86,23 +86,46 @@ P25_SQL = f"SELECT doc_id, md5(regexp_replace(text, '[^a-zA-Z0-9_-]', '_', 'g'))
 
 
 def w1_w14_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of requests (four documents each) with e-mail addresses replaced by placeholders of their request, and restored."""
+    """Texts of requests (four documents each) with the values of all personal-data rules replaced by numbered placeholders of their request, and restored."""
+    rules_of = scan.default_rules("pii")
     d = documents(spark, sf_dir).select((F.expr("doc_id div 4")).alias("request_id"), "doc_id", "text")
-    found = rewrite.placeholder_map(d, "request_id", "doc_id", "text", [r for r in scan.default_rules("pii") if r.rule_id == "EMAIL"])
-    mapping = staged(found, "placeholders")
-    hidden = rewrite.pseudonymised(d, mapping, "request_id", "text")
-    back = rewrite.restored(hidden, mapping, "request_id", "text").select("doc_id", F.md5("text").alias("restored"))
-    return hidden.join(back, "doc_id").select("doc_id", F.md5("text").alias("hidden"), F.regexp_count("text", F.lit(r"\{\{KEPT_\d+_EMAIL_\d+\}\}")).alias("placeholders"), "restored")
-
-
-_EMAIL = quoted(scan.to_re2(next(r for r in scan.default_rules("pii") if r.rule_id == "EMAIL")))
-W1_W14_SQL = f"""WITH d AS MATERIALIZED (SELECT doc_id // 4 AS request_id, doc_id, text FROM {DOCUMENTS_SQL} t),
-v AS (SELECT request_id, doc_id, unnest(l) AS value, generate_subscripts(l, 1) AS i FROM (SELECT *, regexp_extract_all(text, {_EMAIL}) AS l FROM d)),
-f AS (SELECT request_id, value, min((doc_id, i)) AS first FROM v GROUP BY ALL),
-m AS (SELECT request_id, value, '{{{{KEPT_' || request_id || '_EMAIL_' || row_number() OVER (PARTITION BY request_id ORDER BY first) || '}}}}' AS placeholder FROM f),
-p AS (SELECT request_id, list(value || chr(1) || placeholder ORDER BY -length(value), value) AS pairs FROM m GROUP BY request_id),
-h AS (SELECT doc_id, text, CASE WHEN pairs IS NULL THEN text ELSE list_reduce(list_prepend(text, pairs), lambda t, x: replace(t, string_split(x, chr(1))[1], string_split(x, chr(1))[2])) END AS hidden FROM d LEFT JOIN p USING (request_id))
-SELECT doc_id, md5(hidden) AS hidden, len(regexp_extract_all(hidden, '\\{{\\{{KEPT_\\d+_EMAIL_\\d+\\}}\\}}'))::INT AS placeholders, md5(text) AS restored FROM h"""
+    pieces = staged(rewrite.with_pieces(d, "text", rules_of), "pieces")
+    mapping = staged(rewrite.placeholder_map(pieces, "request_id", "doc_id", rules_of), "placeholders")
+    hidden = staged(rewrite.pseudonymised(pieces, mapping, "request_id", "doc_id", "text"), "hidden")
+    back = rewrite.restored(hidden, mapping, "request_id", "doc_id", "text", once=False, most=1 << 30).select("doc_id", F.md5("text").alias("restored"))
+    return hidden.join(back, "doc_id").select("doc_id", F.md5("text").alias("hidden"), F.size(rewrite.placeholders_in(F.col("text"))).alias("placeholders"), "restored")
+
+
+_K, _C, _V = "chr(57344)", "chr(57345)", "chr(57346)"
+
+
+def _pieces_sql() -> str:
+    """``p`` (request_id, doc_id, text, kinds and values of the pieces), rule by rule as in the operator."""
+    steps = [f"f0 AS MATERIALIZED (SELECT doc_id // 4 AS request_id, doc_id, text, [text] AS parts FROM {DOCUMENTS_SQL} t)"]
+    rules_of = [("LITERAL", rewrite.placeholder_pattern("KEPT")), *((r.rule_id, scan.to_re2(r)) for r in scan.default_rules("pii"))]
+    for k, (kind, regex) in enumerate(rules_of):
+        new = f"{_C} || {_K} || '{kind}' || {_V} || '\\0' || {_C}"
+        hit, marked = f"regexp_matches(text, {quoted(regex)})", f"regexp_replace(p, {quoted(regex)}, {new}, 'g')"
+        if kind in _RUNS:  # look-around: runs of characters that match as a whole
+            run, whole, has = _RUNS[kind]
+            own = f"regexp_full_match(x, {quoted(whole)})" + (f" AND regexp_matches(x, {quoted(has)})" if has else "")
+            hit = f"len(list_filter(regexp_extract_all(text, {quoted(run)}), lambda x: {own})) > 0"
+            most = 18 if kind == "CN_ID" else 99
+            marked = f"array_to_string(list_transform(string_split(regexp_replace(p, {quoted(run)}, {_C} || '\\0' || {_C}, 'g'), {_C}), lambda x: CASE WHEN {own} THEN {_C} || {_K} || '{kind}' || {_V} || x[1:{most}] || {_C} || x[{most + 1}:] ELSE x END), '')"
+        steps.append(f"f{k + 1} AS MATERIALIZED (SELECT request_id, doc_id, text, CASE WHEN {hit} THEN flatten(list_transform(parts, lambda p: CASE WHEN starts_with(p, {_K}) THEN [p] ELSE string_split({marked}, {_C}) END)) ELSE parts END AS parts FROM f{k})")
+    kinds = "[" + ", ".join(quoted(k) for k, _ in rules_of) + "]"
+    steps.append(
+        f"""p AS MATERIALIZED (SELECT request_id, doc_id, i, CASE WHEN starts_with(x, {_K}) THEN x[2:strpos(x, {_V}) - 1] END AS kind, CASE WHEN starts_with(x, {_K}) THEN x[strpos(x, {_V}) + 1:] ELSE x END AS value
+  FROM (SELECT request_id, doc_id, unnest(parts) AS x, generate_subscripts(parts, 1) AS i FROM f{len(rules_of)}))"""
+    )
+    steps.append(f"v AS (SELECT request_id, value, min({{'o': doc_id, 'r': list_position({kinds}, kind), 'i': i, 'k': kind}}) AS f FROM p WHERE kind IS NOT NULL GROUP BY ALL)")
+    steps.append("m AS (SELECT request_id, value, '{{KEPT_' || translate(upper(md5(request_id::VARCHAR)[1:12]), '0123456789', 'GHIJKLMNOP') || '_' || f.k || '_' || row_number() OVER (PARTITION BY request_id ORDER BY f) || '}}' AS name FROM v)")
+    return ",\n".join(steps)
+
+
+W1_W14_SQL = f"""WITH {_pieces_sql()},
+h AS (SELECT doc_id, string_agg(CASE WHEN kind IS NULL THEN p.value ELSE name END, '' ORDER BY i) AS hidden, count(name) AS n FROM p LEFT JOIN m ON p.request_id = m.request_id AND p.value = m.value AND p.kind IS NOT NULL GROUP BY doc_id)
+SELECT doc_id, md5(hidden) AS hidden, n::INT AS placeholders, md5(text) AS restored FROM h JOIN f0 USING (doc_id)"""
 
 
 def w22_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
