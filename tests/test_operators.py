@@ -126,7 +126,7 @@ def test_scan_doesnt_depend_on_partitions(spark):
 
 def test_rate_limits_match_a_plain_loop(spark):
     from tests.conftest import SMALL
-    from tidewarden.plans.more_queries import t7_rate_limits
+    from tidewarden.plans.stateful_queries import t7_rate_limits
 
     held, want = {}, {}
     for r in spark.read.parquet(f"{SMALL}/events.parquet").orderBy("ts", "event_id").collect():

@@ -1,4 +1,4 @@
-"""Registered queries: packs, stream reasons, blends and limits."""
+"""Registered queries: packs, stream reasons, blends and limits."""
 
 from __future__ import annotations
 
@@ -13,9 +13,7 @@ from tidewarden.plans.record_queries import S1_SQL, _chat_json, encrypted
 from tidewarden.plans.rewrite_queries import _d3_sql, d3_injection_score
 from tidewarden.plans.scan_queries import _RUNS, any_sql, flag_query, hit_sql
 from tidewarden.plans.seeds import DOCUMENTS_SQL, documents, quoted
-from tidewarden.plans.stream_queries import _events_stream
 from tidewarden.sources import payloads, rules
-from tidewarden.streaming import guard, limits
 
 _OWN = [("direct", "own_rule", 0, r"closing\s+words", False), ("direct", "broken", 1, "(unclosed", False)]
 
@@ -67,13 +65,6 @@ d AS ({_d3_sql()})
 SELECT doc_id, CASE WHEN score > 0.25 AND score < 0.75 THEN greatest(score, semantic) ELSE score END AS risk FROM d JOIN s USING (doc_id)"""
 
 
-def t7_rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Allowed and rejected events of each user (two in ten hours), from a stream."""
-    e = _events_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), "ts", "event_id")
-    out = guard.run_to_table(limits.rate_limited(e, 2, 36_000), "limited")
-    return out.groupBy("key").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("rejected"))
-
-
 def p25_w20_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as function names, and the values of a map of each text replaced by marks."""
     d = documents(spark, sf_dir)
@@ -156,7 +147,7 @@ FROM (SELECT *, length(m) AS n FROM (SELECT *, trim(regexp_replace(text, '\\s+',
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [s14_overlaid_pack, d11_block_reasons, d14_blended, t7_rate_limits, p25_w20_names, w1_w14_round_trip, w22_whole_texts, s6_whole_leaves, p25_p4_whole_texts]
+    own = [s14_overlaid_pack, d11_block_reasons, d14_blended, p25_w20_names, w1_w14_round_trip, w22_whole_texts, s6_whole_leaves, p25_p4_whole_texts]
     return {f.__name__: f for f in own}
 
 

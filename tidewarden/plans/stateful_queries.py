@@ -1,4 +1,4 @@
-"""Registered queries: ordered streams with state.
+"""Registered queries: streams with state.
 
 The chunks of a stream lie in different files and micro-batches, mostly not in order.
 """
@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from tidewarden.functions.session import staged
 from tidewarden.operators import scan
 from tidewarden.plans.rewrite_queries import _VALUES
-from tidewarden.plans.seeds import DOCUMENTS_SQL, MESSAGES_SQL, documents, messages, quoted, table
-from tidewarden.streaming import exact, guard
+from tidewarden.plans.scan_queries import any_sql
+from tidewarden.plans.seeds import MESSAGES_SQL, messages, quoted, table
+from tidewarden.streaming import exact, guard, timed
 from tidewarden.streaming.ordered import run_ordered
 
 
@@ -28,8 +29,14 @@ def _as_stream(chunks: DataFrame, name: str, then: DataFrame | None = None) -> D
     return held.sparkSession.readStream.schema(held.schema).option("maxFilesPerTrigger", -(-len(files) // 2)).parquet(path)
 
 
-def _chunks(df: DataFrame, id_col: str, text: Column, size: int, name: str) -> DataFrame:
-    return _as_stream(guard.chunked(df, id_col, text, size), name)
+def _chunks(spark: SparkSession, sf_dir: str, size: int, name: str) -> DataFrame:
+    """Each conversation's turns as one text in chunks of ``size`` characters."""
+    turns = F.sort_array(F.collect_list(F.struct("msg_idx", "content")))
+    texts = messages(spark, sf_dir).groupBy("request_id").agg(F.array_join(F.transform(turns, lambda t: t["content"]), " ").alias("text"))
+    return _as_stream(guard.chunked(texts, "request_id", F.col("text"), size), name)
+
+
+_TEXTS_SQL = f"(SELECT request_id::VARCHAR AS stream_id, string_agg(content, ' ' ORDER BY msg_idx) AS text FROM {MESSAGES_SQL} GROUP BY request_id)"
 
 
 def _by_stream(frames: DataFrame, *more: Column) -> DataFrame:
@@ -43,13 +50,12 @@ def _counted(*outcomes: str) -> list[Column]:
 
 
 _T3 = ("leak", "direct")
-_T3_SIZE = 24
+_T3_SIZE = 240
 
 
 def t3_guarded_release(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of chat turns behind the guard with its default bounds: frames by outcome and the text that came out."""
-    m = messages(spark, sf_dir).select(F.concat_ws("-", "request_id", "msg_idx").alias("id"), "content")
-    out = guard.run_to_table(guard.release_guarded(_chunks(m, "id", F.col("content"), _T3_SIZE, "chunks"), scan.default_rules(*_T3)), "released")
+    """Chunks of conversations behind the guard with its default bounds: frames by outcome and the text that came out."""
+    out = guard.run_to_table(guard.release_guarded(_chunks(spark, sf_dir, _T3_SIZE, "chunks"), scan.default_rules(*_T3)), "released")
     return _by_stream(out, *_counted("released", "sanitized", "flushed"))
 
 
@@ -65,7 +71,7 @@ def _any_rule_sql(text: str, rules: list[scan.Rule]) -> str:
 
 def _t3_sql() -> str:
     rules, n, held = scan.default_rules(*_T3), _T3_SIZE, guard.HELD
-    return f"""WITH m AS (SELECT request_id || '-' || msg_idx AS stream_id, content, greatest(ceil(length(content) / {n})::INT, 1) AS n FROM {MESSAGES_SQL}),
+    return f"""WITH m AS (SELECT stream_id, text AS content, greatest(ceil(length(text) / {n})::INT, 1) AS n FROM {_TEXTS_SQL} t),
 p AS (SELECT *, unnest(range(n)) AS k FROM m),
 f AS (SELECT stream_id, min(k) AS k FROM p WHERE (k < {guard.FIRST_PROBES} OR (k + 1) % {guard.PROBE_STEP} = 0 OR k = n - 1)
   AND ({_any_rule_sql(f"right(left(content, (k + 1) * {n}), {guard.WINDOW})", rules)}) GROUP BY stream_id)
@@ -78,15 +84,15 @@ _T4, _T4_SIZE, _T4_BUDGET, _T4_WINDOW = "field_secrets", 100, 2000, 256
 
 
 def t4_stream_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as streams whose first 2,000 characters are looked at in a window of 256; what passed behind them (T4)."""
+    """Conversations as streams whose first 2,000 characters are looked at in a window of 256; what passed behind them (T4)."""
     probe = guard.HeadProbe(scan.default_rules(_T4), budget=_T4_BUDGET, window=_T4_WINDOW)
-    out = guard.run_to_table(run_ordered(_chunks(documents(spark, sf_dir), "doc_id", F.col("text"), _T4_SIZE, "heads"), probe), "heads-out")
+    out = guard.run_to_table(run_ordered(_chunks(spark, sf_dir, _T4_SIZE, "heads"), probe), "heads-out")
     return _by_stream(out, *_counted("released", "sanitized", "passed"))
 
 
 def _t4_sql() -> str:
     rules, n, budget = scan.default_rules(_T4), _T4_SIZE, _T4_BUDGET
-    return f"""WITH d AS (SELECT doc_id::VARCHAR AS stream_id, text AS t, greatest(ceil(length(text) / {n})::INT, 1) AS n FROM {DOCUMENTS_SQL} s),
+    return f"""WITH d AS (SELECT stream_id, text AS t, greatest(ceil(length(text) / {n})::INT, 1) AS n FROM {_TEXTS_SQL} s),
 p AS (SELECT *, unnest(range(n)) AS k FROM d),
 f AS (SELECT stream_id, min(k) AS k FROM p WHERE k * {n} < {budget} AND ({_any_rule_sql(f"right(left(t, least((k + 1) * {n}, {budget})), {_T4_WINDOW})", rules)}) GROUP BY stream_id),
 e AS (SELECT stream_id, t, n, k, least(n - 1, {-(-budget // n) - 1}) AS e FROM d LEFT JOIN f USING (stream_id))
@@ -95,13 +101,13 @@ SELECT stream_id, md5(CASE WHEN k IS NULL THEN t ELSE {_replaced_sql(f"left(t, (
 
 
 def t5_exact_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listed values replaced in documents that come in chunks of 7 to 13 characters, shorter than the values (T5)."""
-    out = guard.run_to_table(run_ordered(_chunks(documents(spark, sf_dir), "doc_id", F.col("text"), 13, "exact"), exact.ExactValues(_VALUES)), "exact-out")
+    """Listed values replaced in conversations that come in chunks of 60 characters, over whose borders many values go (T5)."""
+    out = guard.run_to_table(run_ordered(_chunks(spark, sf_dir, 60, "exact"), exact.ExactValues(_VALUES)), "exact-out")
     return _by_stream(out, F.sum("count").alias("replaced"))
 
 
-T5_SQL = f"""WITH t AS (SELECT doc_id, text FROM {DOCUMENTS_SQL} s)
-SELECT doc_id::VARCHAR AS stream_id, md5(replace(replace(replace(text, 'abcdefgh12345678', '[REDACTED:EXACT]'), 'sessionvalue1234', '[REDACTED:EXACT]'), 'hunter2hunter2', '[REDACTED:EXACT]')) AS text,
+T5_SQL = f"""WITH t AS (SELECT stream_id, text FROM {_TEXTS_SQL} s)
+SELECT stream_id, md5(replace(replace(replace(text, 'abcdefgh12345678', '[REDACTED:EXACT]'), 'sessionvalue1234', '[REDACTED:EXACT]'), 'hunter2hunter2', '[REDACTED:EXACT]')) AS text,
   ((length(text) - length(replace(text, 'abcdefgh12345678', ''))) / 16 + (length(text) - length(replace(text, 'sessionvalue1234', ''))) / 16 + (length(text) - length(replace(text, 'hunter2hunter2', ''))) / 14)::BIGINT AS replaced FROM t"""
 
 
@@ -128,10 +134,66 @@ SELECT conv_id::VARCHAR AS stream_id, CASE conv_id % 5 WHEN 0 THEN 'done' WHEN 1
   CASE WHEN conv_id % 5 = 2 THEN md5(w) WHEN conv_id % 5 > 2 THEN md5(CASE WHEN w = '' THEN '' ELSE w || chr(10) || chr(10) END || {quoted(guard.NOTICE)}) END AS replay FROM c"""
 
 
+#: A last event long after all others, so that the watermark passes these.
+_CLOCK = "SELECT 'clock' AS key, timestamp'2030-01-01' AS ts, 0L AS id, "
+
+
+def t7_rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allowed and rejected events of each user (two in ten hours), taken in order of time."""
+    e = table(spark, sf_dir, "events").selectExpr("CAST(user_id AS STRING) AS key", "CAST(ts AS TIMESTAMP) AS ts", "event_id AS id", "event_type AS kind")
+    stream = _as_stream(e.withColumn("seq", F.col("id") % 4), "limits", then=spark.sql(_CLOCK + "'' AS kind, 0L AS seq"))
+    out = guard.run_to_table(timed.run_timed(stream.drop("seq"), timed.RateLimit(2, 36_000), late="60 days"), "limited")
+    return out.groupBy("key").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("rejected"))
+
+
+_DELAYS = [60, 1800, 1801, 86_401, 60]
+
+
+def t8_mapping_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mappings of requests, each with two responses of an age of a minute to a day: what is restored (T8, J1, W14 in a stream)."""
+    m = messages(spark, sf_dir).where("msg_idx = 0")
+    k, start = F.pmod("request_id", F.lit(5)), F.pmod("request_id", F.lit(1000))
+    held = F.create_map(F.lit("{{KEPT_A_1}}"), F.concat(F.lit("v"), F.col("request_id").cast("string")))
+    asked = F.array(F.when(k == 4, "{{KEPT_A_2}}").otherwise("{{KEPT_A_1}}"))
+    bad = scan.group_hit(F.col("content"), F.lower("content"), scan.default_rules("exfiltration"))
+    delay = F.element_at(F.array(*map(F.lit, _DELAYS)), (k + 1).cast("int"))
+
+    def event(i: int, seconds: Column, kind: str, names: Column, found: Column) -> Column:
+        return F.struct(F.lit(i).cast("long").alias("id"), F.timestamp_seconds(F.lit(1_700_000_000) + seconds).alias("ts"), F.lit(kind).alias("kind"), names.alias("names"), found.alias("found"))
+
+    none, nothing = F.lit(None).cast("map<string,string>"), F.lit(None).cast("array<string>")
+    events = F.array(event(0, start, "mapping", held, nothing), event(1, start + delay, "response", none, asked), event(2, start + delay + 10, "response", none, asked))
+    rows = m.select(F.col("request_id").cast("string").alias("key"), bad.alias("suspicious"), F.inline(events)).select("key", "ts", "id", "kind", "names", "found", "suspicious")
+    clock = spark.sql(_CLOCK + "'' AS kind, CAST(NULL AS MAP<STRING,STRING>) AS names, CAST(NULL AS ARRAY<STRING>) AS found, FALSE AS suspicious, 0L AS seq")
+    stream = _as_stream(rows.withColumn("seq", F.col("id")), "mappings", then=clock)
+    out = guard.run_to_table(timed.run_timed(stream.drop("seq"), timed.MappingStore(), late="60 days"), "mappings-out")
+    return out.where("key <> 'clock'").select("key", "id", "outcome", F.array_join("restored", ",").alias("restored"))
+
+
+T8_SQL = f"""WITH m AS (SELECT request_id, request_id % 5 AS k, {any_sql("exfiltration", "content")} AS bad FROM {MESSAGES_SQL} t WHERE msg_idx = 0)
+SELECT request_id::VARCHAR AS key, id::BIGINT AS id, CASE WHEN id = 2 OR k = 3 THEN 'missing' WHEN k = 2 THEN 'stale_mapping' WHEN k = 4 THEN 'partial_restore' WHEN bad THEN 'exfiltration' ELSE 'restored' END AS outcome,
+  CASE WHEN id = 1 AND k < 2 AND NOT bad THEN 'v' || request_id END AS restored FROM m, (VALUES (1), (2)) v(id)"""
+
+
+def t9_pending_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by user that events set; two hours after "executing" they are pending again, a day after their last event they are dropped."""
+    e = table(spark, sf_dir, "events")
+    status = F.element_at(F.array(F.lit("pending"), F.lit("executing"), F.lit("done")), (F.pmod("event_id", F.lit(3)) + 1).cast("int"))
+    rows = e.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), status.alias("status"), F.lit(86_400_000).cast("long").alias("kept"))
+    stream = _as_stream(rows.withColumn("seq", F.col("id") % 4), "pending", then=spark.sql(_CLOCK + "'' AS status, CAST(NULL AS BIGINT) AS kept, 0L AS seq"))
+    return guard.run_to_table(timed.run_timed(stream.drop("seq"), timed.PendingStore(7200), late="60 days"), "pending-out")
+
+
+T9_SQL = """WITH e AS (SELECT user_id::VARCHAR AS key, epoch_ms(ts) AS "at", (['pending', 'executing', 'done'])[event_id % 3 + 1] AS status, lead(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS next FROM events)
+SELECT key, "at", status, 'set' AS why FROM e
+UNION ALL SELECT key, "at" + 7200000, 'pending', 'recovered' FROM e WHERE status = 'executing' AND (next IS NULL OR next >= "at" + 7200000)
+UNION ALL SELECT key, "at" + 86400000, 'dropped', 'retention' FROM e WHERE next IS NULL OR next >= "at" + 86400000"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [t3_guarded_release, t4_stream_heads, t5_exact_stream, t11_stream_ends]
+    own = [t3_guarded_release, t4_stream_heads, t5_exact_stream, t11_stream_ends, t7_rate_limits, t8_mapping_state, t9_pending_state]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"t3_guarded_release": _t3_sql(), "t4_stream_heads": _t4_sql(), "t5_exact_stream": T5_SQL, "t11_stream_ends": T11_SQL}
+    return {"t3_guarded_release": _t3_sql(), "t4_stream_heads": _t4_sql(), "t5_exact_stream": T5_SQL, "t11_stream_ends": T11_SQL, "t8_mapping_state": T8_SQL, "t9_pending_state": T9_SQL}

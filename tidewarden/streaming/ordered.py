@@ -60,8 +60,9 @@ class OrderedStream(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.place = handle.getValueState("place", "next_seq long, last_seq long, ended boolean, newest long")
-        self.own = handle.getValueState("own", self.own_schema)
+        own = ",".join(c.strip().replace(" ", ":", 1) for c in self.own_schema.split(", "))
+        # one value, as each call to the store costs more than a chunk; waiting: chunks in ``early``
+        self.state = handle.getValueState("state", f"next_seq long, last_seq long, ended boolean, newest long, waiting long, own struct<{own}>")
         self.early = handle.getMapState("early", "seq long", "text string")
 
     def _rows(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
@@ -76,7 +77,7 @@ class OrderedStream(StatefulProcessor):
             self.handle.registerTimer(newest + self.silence_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        next_seq, last_seq, ended, newest = self.place.get() if self.place.exists() else (0, -1, False, 0)
+        next_seq, last_seq, ended, newest, waiting, own = self.state.get() or (0, -1, False, 0, 0, self.start())
         came: dict[int, str] = {}
         for batch in rows:
             if self.event_time and len(batch):
@@ -89,46 +90,44 @@ class OrderedStream(StatefulProcessor):
         if ended or key[0] is None:
             return
         out: list[tuple] = []
-        own = self.own.get() if self.own.exists() else self.start()
         while not ended:
-            if next_seq in came:
-                text = came.pop(next_seq)
-            elif self.early.exists() and self.early.containsKey((next_seq,)):
+            if waiting and self.early.containsKey((next_seq,)):
                 text = self.early.getValue((next_seq,))[0]
                 self.early.removeKey((next_seq,))
+                waiting -= 1
+                came.pop(next_seq, None)
+            elif next_seq in came:
+                text = came.pop(next_seq)
             else:
                 break
             own, rows_of, ended = self.take(own, next_seq, text, next_seq == last_seq)
             out += rows_of
             ended = ended or next_seq == last_seq
             next_seq += 1
-        if ended:
-            self._forget()
-        else:
-            for seq, text in came.items():
-                if seq > next_seq and not (self.early.exists() and self.early.containsKey((seq,))):
-                    self.early.updateValue((seq,), (text,))
-            self.own.update(own)
+        if not ended:
+            for seq in came:
+                if seq > next_seq and not (waiting and self.early.containsKey((seq,))):
+                    self.early.updateValue((seq,), (came[seq],))
+                    waiting += 1
+        elif waiting:
+            self.early.clear()
         if not self.event_time and self.silence_ms is not None:
             newest = timerValues.getCurrentProcessingTimeInMs()
-        self.place.update((next_seq, last_seq, ended, newest))
+        self.state.update((next_seq, last_seq, ended, newest, 0 if ended else waiting, None if ended else tuple(own)))
         self._set_timer(newest)
         yield from self._rows(key, out)
 
-    def _forget(self) -> None:
-        self.own.clear()
-        self.early.clear()
-
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.place.exists():
+        state = self.state.get()
+        if state is None:
             return
-        next_seq, last_seq, ended, newest = self.place.get()
+        next_seq, last_seq, ended, newest, waiting, own = state
         if ended:
-            self.place.clear()
+            self.state.clear()
             return
-        own = self.own.get() if self.own.exists() else self.start()
-        self._forget()
-        self.place.update((next_seq, last_seq, True, newest))
+        if waiting:
+            self.early.clear()
+        self.state.update((next_seq, last_seq, True, newest, 0, None))
         self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.silence_ms)
         yield from self._rows(key, self.close_silent(own))
 
