@@ -441,3 +441,13 @@ CONFUSABLES = {0x0430: "a", 0x0435: "e", 0x043E: "o", 0x0440: "p", 0x0441: "c",
 INVISIBLE = [0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD]
 BIDI = [0x202A, 0x202B, 0x202D, 0x202E, 0x202C, 0x2066, 0x2067, 0x2068, 0x2069]
 UNTRUSTED_SOURCES = ["external", "retrieval", "web", "tool", "plugin", "document"]
+
+#: Networks that aren't globally routable, or are reserved, by the registries of special-purpose addresses (fixed values).
+BLOCKED_NETWORKS = [
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16",
+    "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4",
+    "::/8", "100::/8", "200::/7", "400::/6", "800::/5", "1000::/4", "4000::/3", "6000::/3", "8000::/3", "a000::/3", "c000::/3", "e000::/4", "f000::/5", "f800::/6",
+    "fc00::/7", "fe00::/9", "fe80::/10", "2001::/23", "2001:db8::/32", "2002::/16",
+]
+#: Networks inside those that are global (fixed values); the mapped ones are IPv4.
+GLOBAL_NETWORKS = ["::ffff:0:0/96", "192.0.0.9/32", "192.0.0.10/32", "2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28"]

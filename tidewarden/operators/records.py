@@ -81,29 +81,38 @@ def as_of_last(df: DataFrame, key: str, ts_col: str, value_col: str, max_age_s:
     return out.withColumn(out_col, F.when(fresh, F.col("_held.v"))).drop("_held")
 
 
+#: Networks that ``in_networks`` takes.
+MOST_NETWORKS = 256
+
+
 def in_networks(df: DataFrame, ip_col: str, networks: DataFrame) -> DataFrame:
-    """Add the narrowest network (``low, high, label``: few rows) that holds each IPv4 address.
+    """Add ``label`` of the narrowest network (``low, high, label``: few rows) that holds each IPv4 address; a column of that name is replaced.
 
-    Networks and addresses meet on their first eight bits, so the range test is
-    an equi-join with a residual condition; networks wider than that are listed
-    under each of their first bytes.
+    The networks become conditions of one projection, narrowest first: no join, no
+    shuffle. More than MOST_NETWORKS are an error; ``addresses.with_network`` takes any
+    number, and both kinds of addresses.
     """
+    listed = sorted(networks.limit(MOST_NETWORKS + 1).collect(), key=lambda r: (r["high"] - r["low"], r["low"], r["label"] or ""))
+    if len(listed) > MOST_NETWORKS:
+        raise ValueError(f"more than {MOST_NETWORKS} networks")
     parts = F.split(ip_col, r"\.")
     value = F.when(F.col(ip_col).rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), sum((F.get(parts, F.lit(i)).cast("long") * 256 ** (3 - i) for i in range(4)), F.lit(0)))
-    listed = networks.withColumn("_byte", F.explode(F.sequence(F.shiftright("low", 24), F.shiftright("high", 24))))
-    rows = df.withColumns({"_ip": value, "_id": F.monotonically_increasing_id()})
-    held = rows.join(F.broadcast(listed), (F.shiftright("_ip", 24) == F.col("_byte")) & F.col("_ip").between(F.col("low"), F.col("high")), "left")
-    w = Window.partitionBy("_id").orderBy(F.col("high") - F.col("low"))
-    return held.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_id", "_ip", "_byte", "low", "high")
+    label = F.coalesce(*(F.when(F.col("_ip").between(r["low"], r["high"]), F.lit(r["label"])) for r in listed), F.lit(None).cast("string"))
+    return df.withColumn("_ip", value).withColumn("label", label).drop("_ip")
 
 
 def host_rules(df: DataFrame, host_col: str, rules: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows whose host, or a parent of it, is listed (``host``); ``left_anti`` for the others."""
-    labels = F.split(F.lower(host_col), r"\.")
-    rows = df.withColumn("_key", F.monotonically_increasing_id())
-    suffixes = rows.select("_key", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("host"))
-    found = suffixes.join(rules.select(F.lower("host").alias("host")).distinct(), "host", "left_semi").select("_key").distinct()
-    return rows.join(found, "_key", how).drop("_key")
+    """Rows whose host, or a parent of it, is listed (``host``); ``left_anti`` for the others, null hosts included.
+
+    The different hosts' suffixes meet the list by an equi-join; the rows meet the
+    hosts found on the host itself.
+    """
+    labels = F.split(F.lower("_host"), r"\.")
+    hosts = df.select(F.col(host_col).alias("_host")).where("_host is not null").distinct()
+    suffixes = hosts.select("_host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("_suffix"))
+    listed = rules.select(F.lower("host").alias("_suffix")).where("_suffix is not null").distinct()
+    found = suffixes.join(listed, "_suffix", "left_semi").select("_host").distinct()
+    return df.join(found, F.col(host_col) == F.col("_host"), how)
 
 
 def masked_query(url: Column, keys: Sequence[str], mark: str = "***") -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewarden.functions import patterns as fixed
 from tidewarden.functions.session import staged
-from tidewarden.operators import records, rewrite, scan, score
+from tidewarden.operators import addresses, records, rewrite, scan, score
 from tidewarden.plans.scan_queries import any_sql, hit_sql
 from tidewarden.plans.seeds import DOCUMENTS_SQL, MESSAGES_SQL, documents, messages, quoted, table
 from tidewarden.sources import payloads
@@ -306,6 +307,38 @@ v AS (SELECT *, list_reduce(list_transform(string_split(ip, '.'), lambda x: x::B
 SELECT event_id, ip, coalesce(label, 'public') AS label FROM v LEFT JOIN n ON v BETWEEN low AND high"""
 
 
+#: Addresses of both kinds; {} stands for a number from 0 to 255 or its hex digits.
+_ADDRESSES = ["10.1.{}.3", "8.8.{}.8", "::ffff:192.168.{}.1", "::ffff:1.1.{}.1", "fe80::{x}", "2001:db8::{x}", "2600:1f00::{x}", "fd00:{x}::1", "::1", "2001:20::{x}", "2002:{x}::", "64:ff9b::{x}", "192.0.0.9", "3fff:0:{x}::", "4000::{x}", "not {}", "100.64.{}.1", "ff02::{x}", "2001:4:112::{x}", "172.31.{}.9"]
+
+
+def j7_both_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of both kinds that aren't globally routable or are reserved (longest-prefix match)."""
+    e = table(spark, sf_dir, "events")
+    n = F.pmod("user_id", F.lit(256))
+    form = F.element_at(F.array(*map(F.lit, _ADDRESSES)), (F.pmod("event_id", F.lit(len(_ADDRESSES))) + 1).cast("int"))
+    ip = F.replace(F.replace(form, F.lit("{}"), n.cast("string")), F.lit("{x}"), F.lower(F.hex(n)))
+    return addresses.blocked(e.select("event_id", ip.alias("ip")), "ip")
+
+
+def _j7_both_sql() -> str:
+    """What the standard library says of each form with any number, as a list by form."""
+    says = []
+    for form in _ADDRESSES:
+        answers = set()
+        for n in range(256):
+            try:
+                a = ipaddress.ip_address(form.replace("{}", str(n)).replace("{x}", f"{n:x}"))
+                a = getattr(a, "ipv4_mapped", None) or a
+                answers.add("TRUE" if not a.is_global or a.is_reserved else "FALSE")
+            except ValueError:
+                answers.add("NULL")
+        (answer,) = answers
+        says.append(answer)
+    forms = ", ".join(f"'{a}'" for a in _ADDRESSES)
+    return f"""SELECT event_id, replace(replace(([{forms}])[k], '{{}}', n::VARCHAR), '{{x}}', printf('%x', n)) AS ip, ([{", ".join(says)}]::BOOLEAN[])[k] AS blocked
+FROM (SELECT event_id, event_id % {len(_ADDRESSES)} + 1 AS k, (user_id % 256)::INT AS n FROM events)"""
+
+
 def j9_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event with the value of its user's last purchase within ten hours (as-of join)."""
     e = table(spark, sf_dir, "events").withColumn("bought", F.when(F.col("event_type") == "purchase", F.col("value")))
@@ -471,7 +504,7 @@ P13_SQL = f"""SELECT request_id, count(*) <= 500 AS in_limits, CASE WHEN request
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [s1_chat_payloads, s2_s24_messages_api, s3_responses_api, s6_json_leaves, s10_context_items, s13_frames, tool_guard, verdicts, n1_latest_pending, n2_only_pending, n3_j11_recovery, n5_sliding_rate, n6_latest_user_text, n8_top_rules, a1_hourly, a2_daily, a6_cube, a8_histograms, j6_p17_hosts, j7_p19_networks, j9_as_of, j10_scored_once, j2_r25_propagation, t6_replays, t16_sessions, u2_placeholders, s21_latest_mapping, s19_samples, w1_pseudonyms, w14_restored, w13_lured_secrets, w22_encrypted, p13_p21_limits_policies]
+    own = [s1_chat_payloads, s2_s24_messages_api, s3_responses_api, s6_json_leaves, s10_context_items, s13_frames, tool_guard, verdicts, n1_latest_pending, n2_only_pending, n3_j11_recovery, n5_sliding_rate, n6_latest_user_text, n8_top_rules, a1_hourly, a2_daily, a6_cube, a8_histograms, j6_p17_hosts, j7_p19_networks, j7_both_kinds, j9_as_of, j10_scored_once, j2_r25_propagation, t6_replays, t16_sessions, u2_placeholders, s21_latest_mapping, s19_samples, w1_pseudonyms, w14_restored, w13_lured_secrets, w22_encrypted, p13_p21_limits_policies]
     return {f.__name__: f for f in own}
 
 
@@ -479,6 +512,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "s1_chat_payloads": S1_SQL, "s2_s24_messages_api": S2_SQL, "s3_responses_api": S3_SQL, "s6_json_leaves": S6_SQL, "s10_context_items": _s10_sql(), "s13_frames": S13_SQL, "tool_guard": _tool_sql(), "verdicts": _verdict_sql(),
         "n1_latest_pending": N1_SQL, "n2_only_pending": N2_SQL, "n3_j11_recovery": N3_SQL, "n5_sliding_rate": N5_SQL, "n6_latest_user_text": N6_SQL, "n8_top_rules": _n8_sql(), "a1_hourly": A1_SQL, "a2_daily": A2_SQL, "a6_cube": A6_SQL, "a8_histograms": A8_SQL,
-        "j6_p17_hosts": J6_SQL, "j7_p19_networks": J7_SQL, "j9_as_of": J9_SQL, "j10_scored_once": J10_SQL, "j2_r25_propagation": _j2_sql(), "t6_replays": T6_SQL, "t16_sessions": T16_SQL, "u2_placeholders": U2_SQL, "s21_latest_mapping": S21_SQL, "s19_samples": S19_SQL,
+        "j6_p17_hosts": J6_SQL, "j7_p19_networks": J7_SQL, "j7_both_kinds": _j7_both_sql(), "j9_as_of": J9_SQL, "j10_scored_once": J10_SQL, "j2_r25_propagation": _j2_sql(), "t6_replays": T6_SQL, "t16_sessions": T16_SQL, "u2_placeholders": U2_SQL, "s21_latest_mapping": S21_SQL, "s19_samples": S19_SQL,
         "w1_pseudonyms": W1_SQL, "w14_restored": W14_SQL, "w13_lured_secrets": _w13_sql(), "w22_encrypted": W22_SQL, "p13_p21_limits_policies": P13_SQL,
     }

@@ -184,7 +184,7 @@ def t9_pending_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.run_to_table(timed.run_timed(stream.drop("seq"), timed.PendingStore(7200), late="60 days"), "pending-out")
 
 
-T9_SQL = """WITH e AS (SELECT user_id::VARCHAR AS key, epoch_ms(ts) AS "at", (['pending', 'executing', 'done'])[event_id % 3 + 1] AS status, lead(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS next FROM events)
+T9_SQL = """WITH e AS (SELECT user_id::VARCHAR AS key, (epoch_us(ts) // 1000) AS "at", (['pending', 'executing', 'done'])[event_id % 3 + 1] AS status, lead((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS next FROM events)
 SELECT key, "at", status, 'set' AS why FROM e
 UNION ALL SELECT key, "at" + 7200000, 'pending', 'recovered' FROM e WHERE status = 'executing' AND (next IS NULL OR next >= "at" + 7200000)
 UNION ALL SELECT key, "at" + 86400000, 'dropped', 'retention' FROM e WHERE next IS NULL OR next >= "at" + 86400000"""
