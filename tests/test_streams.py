@@ -1,5 +1,6 @@
 """Stateful operators on streams: shuffled micro-batches, chunk borders, timers."""
 
+import json
 import random
 import time
 import uuid
@@ -8,7 +9,7 @@ import pytest
 
 from tidewarden.functions.session import shared_dir
 from tidewarden.operators import scan
-from tidewarden.streaming import exact, guard
+from tidewarden.streaming import calls, exact, guard
 from tidewarden.streaming.ordered import run_ordered
 
 CHUNKS = "stream_id string, seq long, text string, last boolean"
@@ -171,3 +172,22 @@ def test_silent_streams_are_closed_by_processing_time(spark):
         assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0  # the marks are gone too
     finally:
         query.stop()
+
+
+def fragment(index, arguments, name=None):
+    return json.dumps({"choices": [{"delta": {"tool_calls": [{"index": index, "function": {"name": name, "arguments": arguments}}]}}]})
+
+
+def test_call_fragments_in_shuffled_micro_batches(spark):
+    rules = scan.default_rules("field_secrets")
+    events = [fragment(0, '{"a": "pass', "first"), fragment(1, "no json password: hun", "second"), "no json", "[]", '{"choices": []}', fragment(0, 'word: hunter2'), fragment(1, "ter2hunter2"), fragment(0, 'hunter2"}'), fragment(2, '{"password=hunter2hunter2:1}'), fragment(3, '{"x": 1}', "plain"), fragment(4, '["password: hunter2hunter2', "open"), fragment(5, '{"token":1, "password":hunter2hunter2}'), "[DONE]"]
+    rows = [("s", i, e, i + 1 == len(events)) for i, e in enumerate(events)]
+    random.Random(5).shuffle(rows)
+    out = guard.run_to_table(run_ordered(folder(spark, [rows[::2], rows[1::2]]), calls.ToolCalls(rules)), "calls").orderBy("index").collect()
+    got = {r["index"]: (r["name"], r["arguments"], r["outcome"]) for r in out}
+    assert got[0] == ("first", '{"a": "[REDACTED:command]"}', "cleaned") and got[1] == ("second", "no json [REDACTED:command]", "cleaned") and got[3] == ("plain", '{"x": 1}', "clean")
+    for r in out:
+        call = json.loads(r["event"])["choices"][0]["delta"]["tool_calls"][0]
+        assert (call["index"], call["function"]["arguments"]) == (r["index"], r["arguments"])
+    operator = calls.ToolCalls(rules, mark='"')
+    assert operator._whole(0, "n", '{"a": "password: hunter2hunter2"}')[2:4] == ('"\\""', "replaced")

@@ -1,4 +1,4 @@
-"""Registered queries: streams with state.
+"""Registered queries: streams with state.
 
 The chunks of a stream lie in different files and micro-batches, mostly not in order.
 """
@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewarden.functions.session import staged
@@ -15,7 +15,7 @@ from tidewarden.operators import scan
 from tidewarden.plans.rewrite_queries import _VALUES
 from tidewarden.plans.scan_queries import any_sql
 from tidewarden.plans.seeds import MESSAGES_SQL, messages, quoted, table
-from tidewarden.streaming import exact, guard, timed
+from tidewarden.streaming import calls, exact, guard, timed
 from tidewarden.streaming.ordered import run_ordered
 
 
@@ -134,6 +134,33 @@ SELECT conv_id::VARCHAR AS stream_id, CASE conv_id % 5 WHEN 0 THEN 'done' WHEN 1
   CASE WHEN conv_id % 5 = 2 THEN md5(w) WHEN conv_id % 5 > 2 THEN md5(CASE WHEN w = '' THEN '' ELSE w || chr(10) || chr(10) END || {quoted(guard.NOTICE)}) END AS replay FROM c"""
 
 
+_T17 = "field_secrets"
+
+
+def t17_streamed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a stream of fragments of one call for each turn, in turns, put together and cleaned whole."""
+    size = 50
+    m = messages(spark, sf_dir).select("request_id", "msg_idx", F.to_json(F.struct(F.col("content").alias("q"))).alias("a"))
+    pieces = m.withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.length("a") / size).cast("int") - 1)))
+    call = F.struct(F.col("msg_idx").alias("index"), F.struct(F.when(F.col("k") == 0, F.concat(F.lit("t"), F.col("msg_idx").cast("string"))).alias("name"), F.substring("a", F.col("k") * size + 1, F.lit(size)).alias("arguments")).alias("function"))
+    event = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(call).alias("tool_calls")).alias("delta"))).alias("choices")))
+    in_turn = Window.partitionBy("request_id").orderBy("k", "msg_idx")  # fragments of the calls alternate
+    n = F.count(F.lit(1)).over(Window.partitionBy("request_id"))
+    rows = pieces.withColumns({"seq": (F.row_number().over(in_turn) - 1).cast("long"), "n": n})
+    chunks = rows.select(F.col("request_id").cast("string").alias("stream_id"), "seq", event.alias("text"), (F.col("seq") == F.col("n") - 1).alias("last"))
+    out = guard.run_to_table(run_ordered(_as_stream(chunks, "calls"), calls.ToolCalls(scan.default_rules(_T17))), "calls-out")
+    arguments = F.get_json_object("event", "$.choices[0].delta.tool_calls[0].function.arguments")
+    return out.select("stream_id", "index", "name", F.md5("arguments").alias("arguments"), "outcome", (arguments == F.col("arguments")).alias("valid"))
+
+
+def _t17_sql() -> str:
+    rules = scan.default_rules(_T17)
+    hit, clean = _any_rule_sql("a", rules), _replaced_sql("a", rules, "[REDACTED:command]")
+    return f"""WITH a AS (SELECT *, to_json({{'q': content}})::VARCHAR AS a FROM {MESSAGES_SQL} t), c AS (SELECT *, {hit} AS hit, {clean} AS clean FROM a)
+SELECT request_id::VARCHAR AS stream_id, msg_idx AS index, 't' || msg_idx AS name, md5(CASE WHEN NOT hit THEN a WHEN json_valid(clean) THEN clean ELSE '"[REDACTED:command]"' END) AS arguments,
+  CASE WHEN NOT hit THEN 'clean' WHEN json_valid(clean) THEN 'cleaned' ELSE 'replaced' END AS outcome, TRUE AS valid FROM c"""
+
+
 #: A last event long after all others, so that the watermark passes these.
 _CLOCK = "SELECT 'clock' AS key, timestamp'2030-01-01' AS ts, 0L AS id, "
 
@@ -191,9 +218,9 @@ UNION ALL SELECT key, "at" + 86400000, 'dropped', 'retention' FROM e WHERE next
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [t3_guarded_release, t4_stream_heads, t5_exact_stream, t11_stream_ends, t7_rate_limits, t8_mapping_state, t9_pending_state]
+    own = [t3_guarded_release, t4_stream_heads, t5_exact_stream, t11_stream_ends, t7_rate_limits, t8_mapping_state, t9_pending_state, t17_streamed_calls]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"t3_guarded_release": _t3_sql(), "t4_stream_heads": _t4_sql(), "t5_exact_stream": T5_SQL, "t11_stream_ends": T11_SQL, "t8_mapping_state": T8_SQL, "t9_pending_state": T9_SQL}
+    return {"t3_guarded_release": _t3_sql(), "t4_stream_heads": _t4_sql(), "t5_exact_stream": T5_SQL, "t11_stream_ends": T11_SQL, "t8_mapping_state": T8_SQL, "t9_pending_state": T9_SQL, "t17_streamed_calls": _t17_sql()}
