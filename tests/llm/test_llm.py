@@ -293,7 +293,7 @@ def test_bpe(spark, odd, empty):
 
 
 def test_registered_queries():
-    assert {n.split("_")[0] for n in queries()} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries()} == {f"op{k}" for k in range(1, 14)}
 
 
 def test_lm_splits_hot_pairs(spark, monkeypatch):
