@@ -451,3 +451,26 @@ BLOCKED_NETWORKS = [
 ]
 #: Networks inside those that are global (fixed values); the mapped ones are IPv4.
 GLOBAL_NETWORKS = ["::ffff:0:0/96", "192.0.0.9/32", "192.0.0.10/32", "2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28"]
+
+# ---- fixed values: fields of JSON bodies --------------------------------------
+
+#: Fields that are no content.
+IDENTITY_FIELDS = ["id", "call_id", "tool_call_id", "type", "role", "name", "status"]
+#: Fields of encrypted values, and ends of such names.
+CIPHER_FIELDS = ["encrypted_content", "encrypted_payload", "encrypted_text", "ciphertext", "cipher", "iv", "nonce", "tag", "auth_tag", "mac", "hmac", "signature", "sig", "ephemeral_key", "ephemeral_public_key"]
+CIPHER_ENDS = ["_ciphertext", "_encrypted", "_encrypted_content", "_auth_tag", "_nonce", "_iv", "_mac", "_signature"]
+#: Fields that locate media, fields that do so in some places, and the blocks whose source is media.
+MEDIA_FIELDS = ["image_url", "file_id"]
+MEDIA_URL_FIELDS = ["url", "uri"]
+MEDIA_BLOCKS = ["image", "input_image", "document", "input_document", "audio", "input_audio", "video", "input_video", "file", "input_file"]
+
+#: Shapes of script attacks that are sure; pages hold plain script tags.
+SURE_SCRIPTS = [
+    r"(?:%3c|\\x3c)\s*/?\s*script\b",
+    r"</\s*script\s*>\s*<\s*script\b",
+    r"javascript\s*:\s*(?:alert|prompt|confirm)\s*\(",
+    r"on(?:error|load|mouseover)\s*=\s*['\"]?\s*(?:alert|prompt|confirm|document\.cookie)",
+]
+#: Parts of the ids of rules that need a sure shape, and how many rules a response is cleaned by at most.
+SCRIPT_HINTS = ["xss", "script_event"]
+MOST_RESPONSE_RULES = 24

@@ -13,7 +13,7 @@ from tidewarden.functions.session import staged
 from tidewarden.operators import addresses, records, rewrite, scan, score
 from tidewarden.plans.scan_queries import any_sql, hit_sql
 from tidewarden.plans.seeds import DOCUMENTS_SQL, MESSAGES_SQL, documents, messages, quoted, table
-from tidewarden.sources import payloads
+from tidewarden.sources import json_tokens, payloads
 
 _TS = "timestamp '2024-01-20 00:00:00'"
 
@@ -59,7 +59,7 @@ S3_SQL = "SELECT conv_id || '-' || turn AS id, 0 AS msg_idx, CASE WHEN turn % 2
 
 def s6_json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text leaves of nested payloads, with their paths."""
-    leaves = payloads.json_leaves(_chat_json(spark, sf_dir), "conv_id", "payload", depth=4)
+    leaves = json_tokens.leaves(_chat_json(spark, sf_dir), ["conv_id"], "payload")
     return leaves.select("conv_id", "path", F.md5("text").alias("text"))
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewarden.plans import more_queries, policy_queries, record_queries, rewrite_queries, scan_queries, stateful_queries, stream_queries
+from tidewarden.plans import json_queries, more_queries, policy_queries, record_queries, rewrite_queries, scan_queries, stateful_queries, stream_queries
 
-_MODULES = [scan_queries, rewrite_queries, record_queries, stream_queries, stateful_queries, more_queries, policy_queries]
+_MODULES = [scan_queries, rewrite_queries, record_queries, stream_queries, stateful_queries, more_queries, policy_queries, json_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewarden.operators import learn, nested, scan
 from tidewarden.plans.record_queries import _chat_json
 from tidewarden.plans.seeds import quoted, table
-from tidewarden.sources import payloads
+from tidewarden.sources import json_tokens
 from tidewarden.streaming import guard
 
 
@@ -76,8 +76,8 @@ def w4_nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _chat_json(spark, sf_dir)
     p = p.withColumn("payload", F.replace("payload", F.lit('"role":"user"'), F.lit('"role":"user","note":"password: hunter2hunter2","id":"sk-' + 'live1234567890"')))
     red = p.withColumn("payload", nested.redact_json(F.col("payload"), scan.default_rules("relaxed_pii", "field_secrets")))
-    same = nested.shapes(p, "conv_id", "payload", 4).join(nested.shapes(red, "conv_id", "payload", 4), ["conv_id", "shape"])
-    marks = payloads.json_leaves(red, "conv_id", "payload", 4).groupBy("conv_id").agg(F.count_if(F.col("text").contains("[REDACTED:FIELD_SECRET]")).alias("marked"), F.count_if(F.col("text").contains("live1234567890")).alias("kept_ids"))
+    same = nested.shapes(p, "conv_id", "payload").join(nested.shapes(red, "conv_id", "payload"), ["conv_id", "shape"])
+    marks = json_tokens.leaves(red, ["conv_id"], "payload").groupBy("conv_id").agg(F.count_if(F.col("text").contains("[REDACTED:FIELD_SECRET]")).alias("marked"), F.count_if(F.col("text").contains("live1234567890")).alias("kept_ids"))
     return same.join(marks, "conv_id").select("conv_id", "marked", "kept_ids")
 
 
