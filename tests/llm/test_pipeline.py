@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 
 from tests.conftest import SMALL
 from tests.llm.test_llm import brute_components
+from tidewarden.llm import jaccard
 from tidewarden.llm.queries import BYTE_BPE
 
 
@@ -49,3 +50,9 @@ def test_odd_rows(spark):
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, empty, SMALL)
         assert out.count() == 0 and (k == 3 or out.columns == docs.columns)
+
+
+def test_repeated_rows_with_columns_that_have_no_order(spark):
+    rows = [(1, "one two three four five", {"a": 2}), (1, "one two three four five", {"a": 1}), (2, "six", {"b": 1})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>")
+    assert sorted((r["doc_id"], r["m"]) for r in jaccard.keep_one(df).collect()) == [(1, {"a": 1}), (2, {"b": 1})]

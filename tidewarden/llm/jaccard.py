@@ -40,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewarden.functions.session import shared_dir, small_batches, staged
@@ -610,7 +610,8 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row of each near-duplicate group: that of the smallest id, of equal ids with the smallest hash of the text.
 
     Rows of one id whose texts aren't near copies stay apart; of rows with equal
-    id and text one stays (the smallest of all columns in order). A row without
+    id and text one stays (the smallest of all columns in order; columns with maps or
+    variants, which have no order, count by their JSON). A row without
     id, and one without words, has no near copies and is kept; copies of the
     latter with the same id and text are one. Other columns are left as they are
     whatever their names.
@@ -623,10 +624,16 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marked = documents.withColumns({(own := _unused(documents, "_id")): F.col(id_col).cast("long"), (text := _unused(documents, "_h")): F.xxhash64(text_col)})
     chosen = marked.join(kept.select(F.col("id").alias(own), F.col("h").alias(text)), [own, text], "left_semi")
     if rows.join(kept, ["id", "h"], "left_semi").count() > kept.count():
-        chosen = chosen.groupBy(own, text).agg(F.min(F.struct(*documents.columns)).alias("_row")).select("_row.*")
+        chosen = chosen.groupBy(own, text).agg(F.min_by(F.struct(*documents.columns), _order(documents)).alias("_row")).select("_row.*")
     return chosen.select(*documents.columns).unionByName(documents.where(F.col(id_col).isNull()))
 
 
+def _order(df: DataFrame) -> Column:
+    """A struct of all columns that can be compared."""
+    unordered = [n for n, t in df.dtypes if "map<" in t or "variant" in t]
+    return F.struct(*[F.to_json(F.struct(c)) if c in unordered else F.col(c) for c in df.columns])
+
+
 def _unused(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     while name in df.columns:
