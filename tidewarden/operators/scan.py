@@ -184,6 +184,21 @@ def match_spans(text: Column, java_regex: str) -> Column:
     return F.transform(found, span)
 
 
+#: Characters on each side of a hit that its context shows, a fixed value.
+CONTEXT = 40
+
+
+def hit_context(text: Column, java_regex: str, characters: int = CONTEXT) -> Column:
+    """Each match with what stands around it, trimmed; ``…`` where the text goes on. Null texts have none."""
+
+    def segment(s: Column) -> Column:
+        left, right = F.greatest(s["start"] - characters, F.lit(0)), F.least(s["end"] + characters, F.length(text))
+        shown = F.concat(F.when(left > 0, "…").otherwise(""), F.substring(text, left + 1, right - left), F.when(right < F.length(text), "…").otherwise(""))
+        return F.regexp_replace(shown, r"^\s+|\s+$", "")
+
+    return F.transform(match_spans(text, java_regex), segment)
+
+
 def merge_spans(spans: Column) -> Column:
     """Sorted spans (``start, end``) with those that touch or overlap joined."""
     empty = F.array().cast("array<struct<start:int,end:int>>")

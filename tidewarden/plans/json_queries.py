@@ -1,4 +1,4 @@
-"""Registered queries: JSON bodies cleaned in place, kept fields, slim payloads, stages, a live pack."""
+"""Registered queries: JSON bodies cleaned in place, kept fields, slim payloads, responses, contexts, stages, a live pack."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from tidewarden.operators import nested, scan, stages
 from tidewarden.plans.rewrite_queries import _nested
 from tidewarden.plans.scan_queries import any_sql
 from tidewarden.plans.seeds import DOCUMENTS_SQL, documents, quoted, seeded, seeded_sql, table
-from tidewarden.sources import json_tokens, rules
+from tidewarden.sources import json_tokens, responses, rules
 from tidewarden.streaming import live_rules
 
 _MARK, _BLOCKED = "[cleaned]", "[blocked-call]"
@@ -179,10 +179,44 @@ def t14_live_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 T14_SQL = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT conv_id, turn, {quoted(r.rule_id)} AS rule_id, len(regexp_extract_all(text, {quoted(scan.to_re2(r))}))::BIGINT AS n, TRUE AS versioned FROM {_TURNS_SQL}" for r in scan.default_rules("direct")) + ") WHERE n > 0"
 
 
+def s7_responses_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of answers with output items, in eight shapes: text, message, call, action, choices, error, status, no JSON."""
+    d = _turns(spark, sf_dir)
+    t = F.col("text")
+    shapes = [
+        _struct(output_text=t, output=F.lit("x")),
+        _struct(output=F.array(_struct(type=F.lit("message"), content=F.array(_struct(type=F.lit("output_text"), text=t), _struct(type=F.lit("x"), text=F.lit("{}")))))),
+        _struct(output_text=F.lit(""), output=F.array(_struct(type=F.lit("function_call"), name=F.lit("f"), arguments=t))),
+        _struct(output=F.array(_struct(type=F.lit("bash"), action=_struct(cmd=F.substring(F.regexp_replace(t, "[^a-z]", ""), 1, 300))))),
+        _struct(choices=F.array(_struct(message=_struct(content=F.array(_struct(text=t), _struct(text=F.lit("!"))))))),
+        _struct(status=F.lit("failed"), error=_struct(code=F.substring(F.regexp_replace(t, "[^a-z]", ""), 1, 400))),
+        _struct(instructions=t, output=F.array(F.lit(1))),
+    ]
+    body = _by_key([*[F.to_json(s) for s in shapes], F.concat(F.lit("plain "), t)])
+    d = d.select("conv_id", "turn", body.alias("body"))
+    return d.select("conv_id", "turn", F.md5(responses.responses_output_text(F.col("body"))).alias("text"))
+
+
+S7_RESPONSES_SQL = f"""SELECT conv_id, turn, md5(CASE k % 8 WHEN 0 THEN text WHEN 1 THEN text || '{{}}' WHEN 2 THEN '[function_call:f(' || left(text, 200) || ')]' WHEN 3 THEN '[bash:' || left('{{"cmd":"' || left(a, 300) || '"}}', 200) || ']' WHEN 4 THEN text || '!'
+  WHEN 5 THEN '[status=failed error=' || left('{{"code":"' || left(a, 400) || '"}}', 300) || ']' WHEN 6 THEN '[status=unknown]' ELSE 'plain ' || text END) AS text FROM (SELECT *, regexp_replace(text, '[^a-z]', '', 'g') AS a FROM {_TURNS_SQL})"""
+
+
+def p11_hit_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each hit of a literal with what stands around it."""
+    shown = scan.hit_context(F.col("text"), "(?i)instructions")
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(shown).alias("hit", "context")).select("doc_id", "hit", F.md5("context").alias("context"))
+
+
+P11_SQL = f"""WITH p AS (SELECT doc_id, text, length(text) AS n, regexp_split_to_array(text, '(?i)instructions') AS parts FROM {DOCUMENTS_SQL}),
+h AS (SELECT doc_id, text, n, hit, (list_sum(list_transform(parts[1:hit + 1], lambda x: length(x))) + 12 * hit)::BIGINT AS s FROM (SELECT *, unnest(range(len(parts) - 1)) AS hit FROM p)),
+w AS (SELECT *, greatest(s - 40, 0) AS l, least(s + 52, n) AS r FROM h)
+SELECT doc_id, hit::INT AS hit, md5(regexp_replace(CASE WHEN l > 0 THEN '…' ELSE '' END || substr(text, l + 1, r - l) || CASE WHEN r < n THEN '…' ELSE '' END, '^\\s+|\\s+$', '', 'g')) AS context FROM w"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [w19_clean_bodies, w15_clean_responses, p22_p23_fields, p23_field_hits, p12_slim_payloads, d9_p20_stages, t14_live_rules]
+    own = [w19_clean_bodies, w15_clean_responses, p22_p23_fields, p23_field_hits, p12_slim_payloads, d9_p20_stages, t14_live_rules, s7_responses_texts, p11_hit_context]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"w19_clean_bodies": W19_SQL, "w15_clean_responses": _w15_sql(), "p22_p23_fields": P22_SQL, "p23_field_hits": P23_SQL, "p12_slim_payloads": P12_SQL, "d9_p20_stages": D9_SQL, "t14_live_rules": T14_SQL}
+    return {"w19_clean_bodies": W19_SQL, "w15_clean_responses": _w15_sql(), "p22_p23_fields": P22_SQL, "p23_field_hits": P23_SQL, "p12_slim_payloads": P12_SQL, "d9_p20_stages": D9_SQL, "t14_live_rules": T14_SQL, "s7_responses_texts": S7_RESPONSES_SQL, "p11_hit_context": P11_SQL}

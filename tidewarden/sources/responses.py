@@ -49,3 +49,60 @@ def chat_output_text(body: Column, rules: Sequence[Rule], notice: str) -> Column
         F.concat(F.lit("[error="), error, F.lit("]")),
         F.lit("[no_text_content]"),
     )
+
+
+#: The fields of a body, and of an item, that may hold its text, in order.
+OUTPUT_FIELDS = ["output_text", "output", "text", "choices"]
+ITEM_FIELDS = ["content", "message", "output", "choices", "summary"]
+
+
+def _kind(v: Column) -> Column:
+    return F.coalesce(F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0), F.lit("VOID"))
+
+
+def _at(v: Column, field: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(v, f"$.{field}", kind)
+
+
+def _item_text(v: Column, levels: int) -> Column:
+    """Text of one item: a string, the text of an object, or the summary of a call or an action."""
+    kind = F.coalesce(_at(v, "type", "string"), F.lit(""))
+    arguments = F.substring(F.coalesce(_at(v, "arguments", "string"), F.lit("")), 1, ARGUMENTS)
+    call = F.concat(F.lit("[function_call:"), F.coalesce(_at(v, "name", "string"), F.lit("?")), F.lit("("), arguments, F.lit(")]"))
+    action = F.concat(F.lit("["), kind, F.lit(":"), F.substring(F.coalesce(F.to_json(_at(v, "action")), F.lit("{}")), 1, ARGUMENTS), F.lit("]"))
+    deeper = [_filled(_flattened(_at(v, k), levels - 1)) for k in ITEM_FIELDS] if levels > 1 else []
+    return (
+        F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+        .when(_kind(v) != "OBJECT", "")
+        .when(_kind(_at(v, "text")) == "STRING", _at(v, "text", "string"))
+        .when(kind == "function_call", call)
+        .when(kind.isin("computer_call", "bash"), action)
+        .otherwise(F.coalesce(*deeper, F.lit("")))
+    )
+
+
+def _filled(text: Column) -> Column:
+    return F.when(text != "", text)
+
+
+def _flattened(v: Column, levels: int) -> Column:
+    items = F.when(_kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
+    return F.array_join(F.transform(items, lambda x: _item_text(x, levels)), "")
+
+
+def responses_output_text(body: Column, levels: int = 3) -> Column:
+    """Text of an answer with ``output`` items: its text fields flattened in order, else status and error, never the whole body.
+
+    Objects are looked into ``levels`` deep (a message of a choice has three). A body
+    that is no JSON object is its own text; null stays null. Actions and errors are
+    compact JSON.
+    """
+    v = F.try_parse_json(body)
+    status = F.coalesce(_at(v, "status", "string"), F.lit("unknown"))
+    error = _filled(F.when(_kind(_at(v, "error")) != "VOID", F.to_json(_at(v, "error"))))
+    said = F.coalesce(
+        *[_filled(_flattened(_at(v, k), levels)) for k in OUTPUT_FIELDS],
+        F.concat(F.lit("[status="), status, F.lit(" error="), F.substring(error, 1, ERROR), F.lit("]")),
+        F.concat(F.lit("[status="), status, F.lit("]")),
+    )
+    return F.when(_kind(v) == "OBJECT", said).otherwise(body)
