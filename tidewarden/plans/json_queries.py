@@ -153,14 +153,14 @@ def d9_p20_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two stages with errors by row, under three filter modes: the redaction takes no text over 4,000 characters, the guard none with direction marks."""
     redaction = stages.Stage("redaction", lambda t: stages.attempt(F.regexp_replace(t, r"\d", "#"), F.when(F.length(t) > 4000, F.lit("too_long"))), critical=False, redacts=True)
     guard = stages.Stage("guard", lambda t: stages.attempt(F.replace(t, F.lit("ignore"), F.lit("[removed]")), F.when(t.contains("‮"), F.lit("direction"))))
-    mode = F.element_at(F.array(F.lit(""), F.lit(stages.REDACT), F.lit(stages.PASSTHROUGH)), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+    mode = F.element_at(F.array(F.lit(""), F.lit(stages.REDACT), F.lit(stages.PASSTHROUGH), F.lit("")), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
     out = stages.run_stages(documents(spark, sf_dir), "text", [redaction, guard], mode, forward=True)
     return out.select("doc_id", F.md5("text").alias("text"), "disposition", F.array_join("actions", ",").alias("actions"), F.array_join("reasons", ",").alias("reasons"))
 
 
-D9_SQL = f"""WITH t AS (SELECT doc_id, text, doc_id % 3 AS m, doc_id % 3 < 2 AND length(text) > 4000 AS long, doc_id % 3 = 0 AND contains(text, '‮') AS bad FROM {DOCUMENTS_SQL}),
-r AS (SELECT *, CASE WHEN m < 2 AND NOT long THEN regexp_replace(text, '[0-9]', '#', 'g') ELSE text END AS red FROM t)
-SELECT doc_id, md5(CASE WHEN m = 0 AND NOT bad THEN replace(red, 'ignore', '[removed]') ELSE red END) AS text, CASE WHEN bad THEN 'block' ELSE 'allow' END AS disposition,
+D9_SQL = f"""WITH t AS (SELECT doc_id, text, doc_id % 4 AS m, doc_id % 4 <> 2 AND length(text) > 4000 AS long, doc_id % 4 IN (0, 3) AND contains(text, '‮') AS bad FROM {DOCUMENTS_SQL}),
+r AS (SELECT *, CASE WHEN m <> 2 AND NOT long THEN regexp_replace(text, '[0-9]', '#', 'g') ELSE text END AS red FROM t)
+SELECT doc_id, md5(CASE WHEN m IN (0, 3) AND NOT bad THEN replace(red, 'ignore', '[removed]') ELSE red END) AS text, CASE WHEN bad THEN 'block' ELSE 'allow' END AS disposition,
   concat_ws(',', CASE WHEN long THEN 'request_pipeline:degraded:redaction' END, CASE WHEN bad THEN 'request_pipeline:error:guard' END) AS actions, CASE WHEN bad THEN 'request_filter_error' ELSE '' END AS reasons FROM r"""
 
 
