@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewarden.operators import nested, stages
 from tidewarden.operators.scan import Rule
 from tidewarden.sources import json_tokens as jt
+from tidewarden.sources import responses
 from tidewarden.streaming import live_rules
 
 WORD = [Rule("g", "WORD", "secret")]
@@ -202,3 +203,20 @@ def test_pack_swapped_between_micro_batches(spark, tmp_path):
     assert held.refresh().rules[0].regex == "pear" and held.version == rows[1][1]
     write_pack(spark, pack, "(broken")
     assert held.refresh().rules[0].regex == "pear"
+
+
+def test_texts_of_answers_with_items(spark):
+    cases = [
+        ({"output_text": "", "output": [{"type": "message", "content": [{"text": "a"}, "b", 3]}, "c"]}, "abc"),
+        ({"output": {"summary": "s", "content": ""}}, "s"),
+        ({"choices": [{"message": {"content": [{"text": "deep"}]}}]}, "deep"),
+        ({"output": [{"type": "function_call", "arguments": "x" * 300}]}, f"[function_call:?({'x' * 200})]"),
+        ({"output": [{"type": "bash"}], "text": "later"}, "[bash:{}]"),
+        ({"status": "failed", "error": {"code": 1}}, '[status=failed error={"code":1}]'),
+        ({"instructions": "long", "output": None, "error": None}, "[status=unknown]"),
+        ("no json", "no json"),
+        (None, None),
+    ]
+    df = spark.createDataFrame([(i, b if b is None or isinstance(b, str) else json.dumps(b)) for i, (b, _) in enumerate(cases)], "i int, j string")
+    got = {r["i"]: r["t"] for r in df.select("i", responses.responses_output_text(F.col("j")).alias("t")).collect()}
+    assert [got[i] for i in range(len(cases))] == [t for _, t in cases]

@@ -70,24 +70,28 @@ def _item_text(v: Column, levels: int) -> Column:
     arguments = F.substring(F.coalesce(_at(v, "arguments", "string"), F.lit("")), 1, ARGUMENTS)
     call = F.concat(F.lit("[function_call:"), F.coalesce(_at(v, "name", "string"), F.lit("?")), F.lit("("), arguments, F.lit(")]"))
     action = F.concat(F.lit("["), kind, F.lit(":"), F.substring(F.coalesce(F.to_json(_at(v, "action")), F.lit("{}")), 1, ARGUMENTS), F.lit("]"))
-    deeper = [_filled(_flattened(_at(v, k), levels - 1)) for k in ITEM_FIELDS] if levels > 1 else []
+    deeper = _first_text(v, ITEM_FIELDS, levels - 1) if levels > 1 else F.lit("")
     return (
         F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
         .when(_kind(v) != "OBJECT", "")
         .when(_kind(_at(v, "text")) == "STRING", _at(v, "text", "string"))
         .when(kind == "function_call", call)
         .when(kind.isin("computer_call", "bash"), action)
-        .otherwise(F.coalesce(*deeper, F.lit("")))
+        .otherwise(F.coalesce(deeper, F.lit("")))
     )
 
 
-def _filled(text: Column) -> Column:
-    return F.when(text != "", text)
+def _first_text(v: Column, fields: Sequence[str], levels: int) -> Column:
+    """The first text that isn't empty of an object's fields; a list is the joined texts of its items. Null where there is none.
+
+    One expression for all fields, so a plan grows with ``levels``, not with the ways through the fields.
+    """
 
+    def text(x: Column) -> Column:
+        items = F.when(_kind(x) == "ARRAY", F.try_variant_get(x, "$", "array<variant>")).otherwise(F.array(x))
+        return F.array_join(F.transform(items, lambda i: _item_text(i, levels)), "")
 
-def _flattened(v: Column, levels: int) -> Column:
-    items = F.when(_kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
-    return F.array_join(F.transform(items, lambda x: _item_text(x, levels)), "")
+    return F.get(F.filter(F.transform(F.array(*[_at(v, k) for k in fields]), text), lambda t: t != ""), F.lit(0))
 
 
 def responses_output_text(body: Column, levels: int = 3) -> Column:
@@ -99,9 +103,9 @@ def responses_output_text(body: Column, levels: int = 3) -> Column:
     """
     v = F.try_parse_json(body)
     status = F.coalesce(_at(v, "status", "string"), F.lit("unknown"))
-    error = _filled(F.when(_kind(_at(v, "error")) != "VOID", F.to_json(_at(v, "error"))))
+    error = F.when(_kind(_at(v, "error")) != "VOID", F.to_json(_at(v, "error")))
     said = F.coalesce(
-        *[_filled(_flattened(_at(v, k), levels)) for k in OUTPUT_FIELDS],
+        _first_text(v, OUTPUT_FIELDS, levels),
         F.concat(F.lit("[status="), status, F.lit(" error="), F.substring(error, 1, ERROR), F.lit("]")),
         F.concat(F.lit("[status="), status, F.lit("]")),
     )
