@@ -87,3 +87,18 @@ def test_pending_records(spark, seed):
         ]
     )
     assert left <= 2
+
+
+@pytest.mark.parametrize("machine", [timed.RateLimit(2, 60), timed.PendingStore(30)])
+def test_waiting_events_and_timers_of_a_key_are_few_rows(spark, machine):
+    """The store has rows by key and micro-batch, not by event."""
+    schema = "key string, ts timestamp, id long, " + ("kind string" if isinstance(machine, timed.RateLimit) else "status string, kept long")
+    path = f"{shared_dir(spark)}/few-{uuid.uuid4().hex}"
+    width = len(schema.split(",")) - 3
+    rows = [(f"k{i % 2}", BASE + dt.timedelta(seconds=i * 7 % 1000), i, *("x", 1000)[:width]) for i in range(1000)]
+    for i in range(2):
+        spark.createDataFrame(rows[i::2], schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    query = timed.run_timed(stream, machine, late="30 days").writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(f"{path}-out")
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 12

@@ -6,7 +6,8 @@ came in. A state may have a deadline; it is met by a timer, and before any event
 that isn't earlier. A key whose state ends has nothing left in the store.
 
 Defined results: events without key, time or ``id`` are void; of events with one
-time and id the first that came counts; events older than the watermark are dropped
+time and id the first that came counts; a key's events that the watermark passes at
+once are held in memory together; events older than the watermark are dropped
 by Spark; events that the watermark hasn't passed when the stream ends stay in the
 state. Times are in milliseconds inside, timestamps outside.
 """
@@ -24,6 +25,8 @@ from tidewarden.streaming.ordered import use_rocksdb
 
 #: Least and usual seconds that a mapping is kept, seconds that it may be restored from, placeholders of a response.
 LEAST_AGE, AGE, RESTORE_AGE, RESTORE_MOST = 300, 86_400, 1800, 20
+#: Most events of a key in one value of the store, a fixed value.
+BLOCK = 4096
 #: Fixed value: least seconds that something may be executing.
 LEAST_EXECUTING = 5
 
@@ -63,27 +66,43 @@ class TimedState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.whole = [c.split()[1] in ("long", "bigint") for c in self.event_schema.split("; ")]  # with nulls they come as floats
-        event = ",".join(c.strip().replace(" ", ":", 1) for c in ["id long", *self.event_schema.split("; ")])
+        columns = self.event_schema.split("; ")
+        self.names = [c.split()[0] for c in columns]
+        self.whole = [c.split()[1] in ("long", "bigint") for c in columns]  # with nulls they come as floats
+        event = ",".join(c.strip().replace(" ", ":", 1) for c in ["at long", "id long", *columns])
         self.state = handle.getValueState("state", self.state_schema.replace("; ", ", "))
-        self.waiting = handle.getMapState("waiting", "at long", f"events array<struct<{event}>>")
+        # each call to the store costs more than an event: events wait in blocks, in the order that they came in
+        self.waiting = handle.getListState("waiting", f"events array<struct<{event}>>")
+
+    def _wait(self, events: list[tuple]) -> None:
+        for at in range(0, len(events), BLOCK):
+            self.waiting.appendValue((events[at : at + BLOCK],))
+
+    def _values(self, batch: pd.DataFrame) -> Iterator[tuple]:
+        """Values of the rows' events."""
+        of_columns = [[int(v) if whole and v is not None else v for v in map(_plain, batch[n])] for n, whole in zip(self.names, self.whole, strict=True)]
+        return zip(*of_columns, strict=True)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        came: dict[int, dict[int, tuple]] = {}
+        first = None
         for batch in rows:
-            for r in batch.itertuples(index=False):
-                if key[0] is not None and not pd.isna(r[1]) and not pd.isna(r[2]):
-                    # key, at, id, the event, ts
-                    values = tuple(int(v) if whole and v is not None else v for v, whole in zip(map(_plain, r[3:-1]), self.whole, strict=True))
-                    came.setdefault(int(r[1]), {}).setdefault(int(r[2]), values)
-        for at, events in came.items():
-            if self.waiting.containsKey((at,)):
-                held = {e[0]: tuple(e[1:]) for e in self.waiting.getValue((at,))[0]}
-                events = events | held
-            self.waiting.updateValue((at,), ([(i, *e) for i, e in events.items()],))
-            self.handle.registerTimer(at)
+            batch = batch[batch["at"].notna() & batch["id"].notna()]
+            if key[0] is not None and len(batch):
+                times = [int(t) for t in batch["at"]]
+                self._wait([(at, int(i), *e) for at, i, e in zip(times, batch["id"], self._values(batch), strict=True)])
+                first = min(times) if first is None else min(first, *times)
+        if first is not None:
+            self._set_timer(first)
         return iter(())
 
+    def _set_timer(self, at: int) -> None:
+        """A key has one timer: for its first event that waits, or its deadline if that is earlier."""
+        held = list(self.handle.listTimers())
+        if not held or at < min(held):
+            for t in held:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at)
+
     def _due(self, state: tuple | None, upto: int, out: list[tuple]) -> tuple | None:
         while state is not None and (at := self.deadline(state)) is not None and at <= upto:
             state, rows = self.due(state, at)
@@ -91,24 +110,40 @@ class TimedState(StatefulProcessor):
         return state
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # the first timer of a key does all that the watermark has passed, in order of time; its others find nothing
+        # one timer does all that the watermark has passed, in order of time
         passed = timerValues.getCurrentWatermarkInMs()
         before = state = self.state.get()
+        came: dict[tuple[int, int], tuple] = {}
+        later: list[tuple] = []
+        any_waited = False
+        for (events,) in self.waiting.get():
+            any_waited = True
+            for e in map(tuple, events):
+                if e[0] > passed:
+                    later.append(e)
+                else:
+                    came.setdefault(e[:2], e)
         out: list[tuple] = []
-        for at in sorted(k[0] for k in list(self.waiting.keys()) if k[0] <= passed):
+        for at, event_id in sorted(came):
             state = self._due(state, at, out)
-            events = self.waiting.getValue((at,))[0]
-            self.waiting.removeKey((at,))
-            for e in sorted((tuple(e) for e in events), key=lambda e: e[0]):
-                state, rows = self.take(state, at, e[0], e[1:])
-                out += rows
+            state, rows = self.take(state, at, event_id, came[at, event_id][2:])
+            out += rows
         state = self._due(state, passed, out)
+        if came:
+            self.waiting.clear()
+            self._wait(later)
+        elif not any_waited and state is None and before is None:
+            return
+        nexts = [e[0] for e in later]
         if state is not None:
-            self.state.update(state)
+            if state != before:
+                self.state.update(state)
             if (at := self.deadline(state)) is not None:
-                self.handle.registerTimer(at)
+                nexts.append(at)
         elif before is not None:
             self.state.clear()
+        if nexts:
+            self.handle.registerTimer(min(nexts))
         if out:
             yield pd.DataFrame([(key[0], *r) for r in out], columns=["key", *(c.split()[0] for c in self.out_schema.split("; "))])
 
