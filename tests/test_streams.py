@@ -9,7 +9,7 @@ import pytest
 
 from tidewarden.functions.session import shared_dir
 from tidewarden.operators import scan
-from tidewarden.streaming import calls, exact, guard
+from tidewarden.streaming import calls, exact, guard, ordered
 from tidewarden.streaming.ordered import run_ordered
 
 CHUNKS = "stream_id string, seq long, text string, last boolean"
@@ -174,6 +174,19 @@ def test_silent_streams_are_closed_by_processing_time(spark):
         query.stop()
 
 
+def test_early_chunks_wait_in_few_rows(spark):
+    """Chunks behind a gap are rows of the store by block, not by chunk; a gap that closes late gives every chunk once."""
+    n = 3 * ordered.BLOCK + 5
+    rows = [("s", i, f"{i},", i + 1 == n) for i in range(n)]
+    batches = [rows[2::2], [("s", 4, "again", False), *rows[5::4]], [rows[1], ("s", 2, "again", False)], [rows[0], *rows[3::4]]]
+    base = f"{shared_dir(spark)}/few-{uuid.uuid4().hex}"
+    query = run_ordered(folder(spark, batches), guard.HeadProbe([], budget=0)).writeStream.format("parquet").option("checkpointLocation", f"{base}-state").trigger(availableNow=True).start(base)
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) <= 5 and held[-1] == 1  # the mark of the end
+    assert "".join(r["text"] for r in spark.read.parquet(base).orderBy("seq").collect()) == "".join(r[2] for r in rows)
+
+
 def fragment(index, arguments, name=None):
     return json.dumps({"choices": [{"delta": {"tool_calls": [{"index": index, "function": {"name": name, "arguments": arguments}}]}}]})
 

@@ -48,18 +48,21 @@ class ToolCalls(_Scanned):
     def start(self) -> tuple:
         return ([],)
 
+    def opened(self, own: tuple) -> tuple:
+        return ({index: (name, [arguments]) for index, name, arguments in own[0]},)
+
+    def closed(self, own: tuple) -> tuple:
+        return ([(index, name, "".join(parts)) for index, (name, parts) in sorted(own[0].items())],)
+
     def take(self, own: tuple, seq: int, text: str, final: bool) -> tuple[tuple, list[tuple], bool]:
-        fragments = read_fragments(text)
-        if fragments:
-            calls = {c[0]: (c[1], c[2]) for c in own[0]}
-            for index, name, part in fragments:
-                held = calls.get(index, ("", ""))
-                calls[index] = (held[0] or name, held[1] + part)
-            own = ([(i, n, a) for i, (n, a) in sorted(calls.items())],)
+        for index, name, part in read_fragments(text):
+            held = own[0].get(index, ("", []))
+            held[1].append(part)
+            own[0][index] = (held[0] or name, held[1])
         return own, self.close_silent(own) if final else [], final
 
     def close_silent(self, own: tuple) -> list[tuple]:
-        return [self._whole(*c) for c in own[0]]
+        return [self._whole(*c) for c in self.closed(own)[0]]
 
     def _whole(self, index: int, name: str, arguments: str) -> tuple:
         outcome, out = "clean", arguments

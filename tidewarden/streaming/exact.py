@@ -43,6 +43,8 @@ class ValueFinder:
             return [], len(text)
         settled = len(text) if final else len(text) - self.live(text)
         found = sorted((rank, end + 1 - size, end + 1) for end, (rank, size) in self.automaton.iter(text))
+        if not found:
+            return [], settled
         # 1: taken by a match that counts, 2: by one that may still be overruled
         held, counted, cut = bytearray(len(text)), [], settled
         for _, start, end in found:

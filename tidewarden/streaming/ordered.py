@@ -2,8 +2,8 @@
 
 ``OrderedStream`` is the base of the stateful operators on chunks (``stream_id,
 seq, text, last``): whatever micro-batches the chunks come in, each stream's are
-taken in order of ``seq`` from 0. A chunk behind a gap waits in a map state; the
-end's place is part of the state, so it may come first. After the end the state is
+taken in order of ``seq`` from 0. Chunks behind a gap wait in blocks of BLOCK places
+in a map state; the end's place is part of the state, so it may come first. After the end the state is
 dropped but for a mark that makes later chunks void. A stream that is silent for
 ``silence`` is closed by a timer: what its operator holds goes out, waiting chunks
 behind a gap are void, and after the same time again the mark goes too.
@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+#: Places of a stream whose waiting chunks are one value of the store, a fixed value.
+BLOCK = 128
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -58,12 +60,24 @@ class OrderedStream(StatefulProcessor):
         """Rows of a stream that went silent."""
         raise NotImplementedError
 
+    def opened(self, own: tuple) -> tuple:
+        """The state as ``take`` and ``close_silent`` use it, once for each micro-batch."""
+        return own
+
+    def closed(self, own: tuple) -> tuple:
+        """The state as it is stored."""
+        return own
+
+    def _block(self, block: int) -> dict[int, str]:
+        held = self.early.getValue((block,))
+        return {seq: text for seq, text in held[0]} if held is not None else {}
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         own = ",".join(c.strip().replace(" ", ":", 1) for c in self.own_schema.split(", "))
-        # one value, as each call to the store costs more than a chunk; waiting: chunks in ``early``
+        # few values, as each call to the store costs more than a chunk; waiting: chunks in ``early``
         self.state = handle.getValueState("state", f"next_seq long, last_seq long, ended boolean, newest long, waiting long, own struct<{own}>")
-        self.early = handle.getMapState("early", "seq long", "text string")
+        self.early = handle.getMapState("early", "block long", "chunks array<struct<seq:bigint,text:string>>")
 
     def _rows(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
         if rows:
@@ -90,30 +104,42 @@ class OrderedStream(StatefulProcessor):
         if ended or key[0] is None:
             return
         out: list[tuple] = []
+        blocks: dict[int, dict[int, str]] = {}
+        if waiting:  # of chunks with one seq the one that waits came first
+            for block in sorted({seq // BLOCK for seq in came if seq >= next_seq}):
+                blocks[block] = self._block(block)
+                came |= blocks[block]
+        own = self.opened(own)
         while not ended:
-            if waiting and self.early.containsKey((next_seq,)):
-                text = self.early.getValue((next_seq,))[0]
-                self.early.removeKey((next_seq,))
-                waiting -= 1
-                came.pop(next_seq, None)
-            elif next_seq in came:
-                text = came.pop(next_seq)
-            else:
-                break
+            if next_seq not in came:
+                block = next_seq // BLOCK
+                if not waiting or block in blocks:
+                    break
+                blocks[block] = self._block(block)
+                came |= blocks[block]
+                continue
+            text = came.pop(next_seq)
+            waiting -= next_seq in blocks.get(next_seq // BLOCK, ())
             own, rows_of, ended = self.take(own, next_seq, text, next_seq == last_seq)
             out += rows_of
             ended = ended or next_seq == last_seq
             next_seq += 1
         if not ended:
-            for seq in came:
-                if seq > next_seq and not (waiting and self.early.containsKey((seq,))):
-                    self.early.updateValue((seq,), (came[seq],))
-                    waiting += 1
-        elif waiting:
+            left: dict[int, dict[int, str]] = {}
+            for seq, text in came.items():
+                if seq > next_seq:
+                    left.setdefault(seq // BLOCK, {})[seq] = text
+            waiting += sum(seq not in blocks.get(block, ()) for block, chunks in left.items() for seq in chunks)
+            for block in blocks.keys() | left.keys():
+                if block not in left and blocks[block]:
+                    self.early.removeKey((block,))
+                elif block in left and left[block] != blocks.get(block):
+                    self.early.updateValue((block,), (sorted(left[block].items()),))
+        elif waiting or any(blocks.values()):
             self.early.clear()
         if not self.event_time and self.silence_ms is not None:
             newest = timerValues.getCurrentProcessingTimeInMs()
-        self.state.update((next_seq, last_seq, ended, newest, 0 if ended else waiting, None if ended else tuple(own)))
+        self.state.update((next_seq, last_seq, ended, newest, 0 if ended else waiting, None if ended else tuple(self.closed(own))))
         self._set_timer(newest)
         yield from self._rows(key, out)
 
@@ -129,7 +155,7 @@ class OrderedStream(StatefulProcessor):
             self.early.clear()
         self.state.update((next_seq, last_seq, True, newest, 0, None))
         self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.silence_ms)
-        yield from self._rows(key, self.close_silent(own))
+        yield from self._rows(key, self.close_silent(self.opened(own)))
 
     def close(self) -> None:
         pass
