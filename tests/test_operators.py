@@ -166,3 +166,13 @@ def test_secrets_in_texts_like_base64_are_redacted(spark, text):
     assert rewrite.merge_hits(hits, ["source", "pattern"]).first()["count"] == 1
     assert "hunter2" not in rewrite.redact(df, "text", rules, protected="nothing like this").first()["text"]
     assert rewrite.redact(df, "text", rules, keep_base64=True).first()["text"] == text
+
+
+def test_json_leaves_read_the_payloads_once(spark):
+    from tidewarden.sources import payloads
+
+    rows = [(1, '{"a":{"b":[1,null,"x"]},"c":"{no json","d":" [2]","e":null,"f":{}}'), (2, None), (3, "plain"), (4, "[]"), (5, '[["p"],{"q":"{\\"r\\":3}"}]')]
+    df = spark.createDataFrame(rows, "id int, j string").repartition(2)
+    leaves = payloads.json_leaves(df, "id", "j")
+    assert {tuple(r) for r in leaves.collect()} == {(1, "$.a.b[0]", "1"), (1, "$.a.b[2]", "x"), (1, "$.c", "{no json"), (1, "$.d[0]", "2"), (3, "$", "plain"), (5, "$[0][0]", "p"), (5, "$[1].q.r", "3")}
+    assert leaves._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1

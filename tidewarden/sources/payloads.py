@@ -88,17 +88,16 @@ def context_items(df: DataFrame, id_col: str, json_col: str, keys: list[str]) ->
 
 def json_leaves(df: DataFrame, id_col: str, json_col: str, depth: int = 6) -> DataFrame:
     """All text leaves of a JSON column as ``path, text``; a container at the last of ``depth`` levels is one leaf with its JSON."""
-    level = df.select(id_col, F.lit("$").alias("path"), F.col(json_col).alias("v")).where(F.col("v").isNotNull())
-    out = None
-    for k in range(depth):
-        # a text that only looks like a container is a leaf
-        kind = F.when(F.try_parse_json("v").isNotNull(), F.substring(F.ltrim("v"), 1, 1)).otherwise(F.lit(""))
-        leaves = level.where(~kind.isin("{", "[") if k + 1 < depth else F.lit(True)).select(id_col, "path", F.col("v").alias("text"))
-        out = leaves if out is None else out.unionByName(leaves)
-        objects = level.where(kind == "{").select(id_col, "path", F.explode(F.from_json("v", "map<string,string>")).alias("k", "v")).select(id_col, F.concat("path", F.lit("."), "k").alias("path"), "v")
-        arrays = level.where(kind == "[").select(id_col, "path", F.posexplode(F.from_json("v", "array<string>")).alias("k", "v")).select(id_col, F.concat("path", F.lit("["), F.col("k").cast("string"), F.lit("]")).alias("path"), "v")
-        level = objects.unionByName(arrays).where(F.col("v").isNotNull())
-    return out
+    level = df.select(id_col, F.lit("$").alias("path"), F.col(json_col).alias("v"), F.lit(True).alias("open")).where(F.col("v").isNotNull())
+    for _ in range(depth - 1):
+        # one chain of explodes: a leaf is its own child; a text that only looks like a container is a leaf
+        level = level.withColumn("kind", F.when(F.col("open") & F.try_parse_json("v").isNotNull(), F.substring(F.ltrim("v"), 1, 1)).otherwise(F.lit("")))
+        objects = F.transform(F.map_entries(F.from_json("v", "map<string,string>")), lambda e: F.struct(F.concat("path", F.lit("."), e["key"]).alias("path"), e["value"].alias("v"), F.lit(True).alias("open")))
+        arrays = F.transform(F.from_json("v", "array<string>"), lambda x, k: F.struct(F.concat("path", F.lit("["), k.cast("string"), F.lit("]")).alias("path"), x.alias("v"), F.lit(True).alias("open")))
+        leaf = F.array(F.struct("path", "v", F.lit(False).alias("open")))
+        children = F.when(F.col("kind") == "{", objects).when(F.col("kind") == "[", arrays).otherwise(leaf)
+        level = level.select(id_col, F.explode_outer(children).alias("n")).select(id_col, "n.*").where(F.col("v").isNotNull())
+    return level.select(id_col, "path", F.col("v").alias("text"))
 
 
 def event_delta(event: Column) -> Column:
