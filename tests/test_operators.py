@@ -186,3 +186,18 @@ def test_filters_do_not_run_flags_again(spark):
 
     plan = d11_block_reasons(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.split("\n") if "Filter" in x and ("RLIKE" in x or "Contains(" in x)]
+
+
+def test_gray_zone_is_a_join_condition(spark):
+    from tidewarden.operators import decide
+
+    first = spark.createDataFrame([(1, 0.5), (2, 0.1), (3, 0.6), (4, None)], "doc_id int, risk double").repartition(2)
+    second = spark.createDataFrame([(1, 0.7), (2, 0.9), (3, 0.2), (4, 0.9)], "doc_id int, semantic double")
+    out = decide.escalated(first, "doc_id", second)
+    assert {r["doc_id"]: r["risk"] for r in out.collect()} == {1: 0.7, 2: 0.1, 3: 0.6, 4: 0.0}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
+
+
+@pytest.mark.parametrize(("text", "scripts", "run"), [("", 0, 0), ("ab", 0, 1), ("aabbb\n\n\n\n", 0, 4), ("é א ա x", 2, 1), (None, None, 0)])
+def test_scripts_and_runs(spark, text, scripts, run):
+    assert one(spark, text, detect.script_count) == scripts and one(spark, text, detect.longest_run) == run
