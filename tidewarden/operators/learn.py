@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
+from pyspark.ml.feature import IDF, Normalizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
+
+from tidewarden.functions.session import small_batches, staged
+
+
+def _spaced(text: Column) -> Column:
+    """Lower case, with ideographs as words of their own."""
+    return F.regexp_replace(F.lower(text), r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}])", " $1 ")
 
 
 def padded_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
     """Character n-grams inside words with a blank on both sides; ideographs count as words of their own."""
-    spaced = F.regexp_replace(F.lower(text), r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}])", " $1 ")
-    words = F.filter(F.split(spaced, r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(_spaced(text), r"\s+"), lambda w: w != "")
 
     def grams(w: Column) -> Column:
         p = F.concat(F.lit(" "), w, F.lit(" "))
@@ -27,22 +41,136 @@ def _windows(p: Column, n: int) -> Column:
     return F.filter(F.transform(places, lambda i: F.substring(p, i, F.lit(n))), lambda g: F.length(g) == n)
 
 
+#: Bytes of text that are hashed at a time; arrays of some 100 bytes for each byte are held.
+_SLICE = 1 << 18
+_C1, _C2 = np.uint32(0xCC9E2D51), np.uint32(0x1B873593)
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint32(by)) | (x >> np.uint32(32 - by))
+
+
+def _murmur(words: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Murmur3 (seed 42) of ``length`` bytes from each start; ``words`` has four bytes from each place on."""
+    h = np.full(len(start), 42, np.uint32)
+    for at in range(0, length - 3, 4):
+        h = _rotated(h ^ (_rotated(words[start + at] * _C1, 15) * _C2), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    if rest := length % 4:
+        tail = words[start + (length - rest)] & np.uint32((1 << 8 * rest) - 1)
+        h = h ^ (_rotated(tail * _C1, 15) * _C2)
+    h = h ^ np.uint32(length)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return h ^ (h >> np.uint32(16))
+
+
+def _buckets(text: np.ndarray, low: int, high: int, features: int) -> np.ndarray:
+    """The buckets of all n-grams of one text's bytes, in no order."""
+    word = ~_WHITE[text]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    number = np.cumsum(first)[word]
+    if not len(number):
+        return np.zeros(0, np.int32)
+    place = np.arange(len(number)) + 2 * number - 1  # a blank before and behind each word
+    padded = np.full(place[-1] + 2, 32, np.uint8)
+    padded[place] = text[word]
+    wide = np.concatenate([padded, np.zeros(4, np.uint8)]).astype(np.uint32)
+    words = wide[:-3] | wide[1:-2] << np.uint32(8) | wide[2:-1] << np.uint32(16) | wide[3:] << np.uint32(24)
+    begins = np.flatnonzero((padded & 0xC0) != 0x80)  # characters
+    ends = np.append(begins[1:], len(padded))
+    until = place[np.append(np.flatnonzero(np.diff(number)), len(number) - 1)] + 2
+    bound = until[np.searchsorted(until, begins, side="right")]  # where each character's word ends
+    out = []
+    for n in range(low, high + 1):
+        if len(begins) < n:
+            break
+        start, end = begins[: len(begins) - n + 1], ends[n - 1 :]
+        inside = end <= bound[: len(start)]
+        start, size = start[inside], (end - begins[: len(end)])[inside]
+        for length in np.flatnonzero(np.bincount(size)):
+            at = start if (size == length).all() else start[size == length]
+            out.append(np.mod(_murmur(words, at, int(length)).view(np.int32), np.int32(features)))
+    return np.concatenate(out) if out else np.zeros(0, np.int32)
+
+
+def _cut(text: np.ndarray) -> Iterator[np.ndarray]:
+    """A text in slices that end at white space; a longer word stays whole."""
+    at = 0
+    while len(text) - at > _SLICE:
+        blanks = np.flatnonzero(_WHITE[text[at + _SLICE :]])
+        end = at + _SLICE + (int(blanks[0]) if len(blanks) else len(text))
+        yield text[at:end]
+        at = min(end, len(text))
+    yield text[at:]
+
+
+def _hashed(low: int, high: int, features: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow``: the last column, a text, becomes a sparse vector of counts."""
+    small = np.uint16 if features <= 1 << 16 else np.int32  # sorted by digits
+
+    def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        found = np.concatenate([_buckets(x, low, high, features) for x in _cut(data)])
+        return np.unique(found.astype(small), return_counts=True)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // _SLICE)) + 1
+            for start, end in pairwise([0, *cuts.tolist(), len(texts)]):
+                part = batch.slice(start, end - start)
+                found = [counts(t.as_py()) for t in part.column(part.num_columns - 1)]
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(i) for i, _ in found])]), pa.int32())
+                indices = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([i for i, _ in found]).astype(np.int32)))
+                values = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([c for _, c in found]).astype(np.float64)))
+                n = len(found)
+                vector = pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, features, np.int32)), indices, values], ["type", "size", "indices", "values"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], vector], part.schema.names)
+
+    return rows
+
+
+def with_counts(df: DataFrame, text_col: str = "text", features: int = 1 << 16, low: int = 3, high: int = 5) -> DataFrame:
+    """The columns but the text, ``known`` (it has n-grams) and ``tf``: counts of its n-grams (``padded_ngrams``) by bucket, the same vector as HashingTF gives.
+
+    Hashed in numpy in slices of a text, so no n-gram is ever an object of its own.
+    """
+    small_batches(df.sparkSession)
+    kept = [c for c in df.columns if c != text_col]
+    schema = StructType([*(df.schema[c] for c in kept), StructField("known", BooleanType()), StructField("tf", VectorUDT())])
+    return df.select(*kept, F.coalesce(F.col(text_col).rlike(r"\S"), F.lit(False)).alias("known"), _spaced(F.col(text_col)).alias("tf")).mapInArrow(_hashed(low, high, features), schema)
+
+
 def fit(train: DataFrame, label_col: str, text_col: str = "text", features: int = 1 << 16, regularization: float = 1e-4) -> PipelineModel:
-    """Class-balanced logistic regression on log term frequencies."""
+    """Class-balanced logistic regression on log term frequencies.
+
+    ``train`` has the text, or ``tf`` from ``with_counts``. Texts are hashed once and
+    the counts staged: each step of the pipeline reads them again.
+    """
+    if "tf" not in train.columns:
+        train = staged(with_counts(train.select(label_col, text_col), text_col, features), "counts")
     share = train.agg(F.avg(F.col(label_col).cast("double"))).first()[0] or 0.5
     share = min(max(share, 1e-3), 1 - 1e-3)
-    rows = train.select(padded_ngrams(F.col(text_col)).alias("grams"), F.col(label_col).cast("double").alias("label"), F.when(F.col(label_col) == 1, 0.5 / share).otherwise(0.5 / (1 - share)).alias("weight"))
-    stages = [HashingTF(inputCol="grams", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="idf", minDocFreq=2), Normalizer(inputCol="idf", outputCol="features"), LogisticRegression(weightCol="weight", regParam=regularization, maxIter=40)]
+    rows = train.select("tf", F.col(label_col).cast("double").alias("label"), F.when(F.col(label_col) == 1, 0.5 / share).otherwise(0.5 / (1 - share)).alias("weight"))
+    stages = [IDF(inputCol="tf", outputCol="idf", minDocFreq=2), Normalizer(inputCol="idf", outputCol="features"), LogisticRegression(weightCol="weight", regParam=regularization, maxIter=40)]
     return Pipeline(stages=stages).fit(rows)
 
 
 def predict(df: DataFrame, model: PipelineModel, text_col: str = "text") -> DataFrame:
-    """Add ``confidence`` of label 1 and ``predicted``; texts without n-grams are ``-1`` (unknown)."""
-    rows = df.withColumns({"grams": padded_ngrams(F.col(text_col)), "weight": F.lit(1.0)})
-    scored = model.transform(rows)
+    """Add ``confidence`` of label 1 and ``predicted``; texts without n-grams are ``-1`` (unknown).
+
+    ``df`` has the text, or ``tf`` from ``with_counts``, then without the text.
+    """
+    kept = [c for c in df.columns if c not in ("known", "tf")]
+    rows = df if "tf" in df.columns else with_counts(df.withColumn("_counted", F.col(text_col)), "_counted", model.stages[0].idf.size)
+    scored = model.transform(rows.withColumn("weight", F.lit(1.0)))
     p = vector_to_array("probability")[1]
-    unknown = F.size("grams") == 0
-    return scored.select(*df.columns, F.when(~unknown, p).alias("confidence"), F.when(unknown, -1).otherwise((p >= 0.5).cast("int")).alias("predicted"))
+    unknown = ~F.col("known")
+    return scored.select(*kept, F.when(~unknown, p).alias("confidence"), F.when(unknown, -1).otherwise((p >= 0.5).cast("int")).alias("predicted"))
 
 
 def report(df: DataFrame, label_col: str, predicted_col: str = "predicted") -> DataFrame:
