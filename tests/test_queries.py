@@ -65,3 +65,10 @@ def test_every_token_is_decoded_for_blended_scores(spark, tmp_path):
     cur = con.execute(f"SELECT doc_id, risk FROM ({registry.oracle_sql()['d14_blended']})")
     assert table(got, ["doc_id", "risk"]) == table(cur.fetchall(), ["doc_id", "risk"])
     assert len(got) == n and all(risk > 0 for _, risk in got)
+
+
+def test_every_token_is_decoded_for_levels(spark, tmp_path):
+    con, n = _crowded(spark, tmp_path)
+    got = registry.queries()["d16_levels"](spark, str(tmp_path)).select("high", "medium", "low", "docs").first()
+    assert tuple(got) == con.execute(registry.oracle_sql()["d16_levels"]).fetchall()[0]
+    assert got["high"] == got["docs"] == n
