@@ -67,7 +67,7 @@ T10_SQL = "SELECT conv_id || '-' || turn AS stream_id, md5(text) AS arguments, T
 def m1_toxicity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report of a classifier of toxic documents on the held-out part of its labels."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", "toxic")
-    d = staged(learn.with_counts(d), "counts")  # both parts and all steps read them
+    d = staged(learn.packed_counts(d), "counts")  # both parts and all steps read them
     part = F.pmod(F.xxhash64("doc_id"), F.lit(100))
     model = learn.fit(d.where(part < 85), "toxic")
     return learn.report(learn.predict(d.where(part >= 85), model), "toxic")
